@@ -1,0 +1,68 @@
+"""A left lookup join that stays even when a few keys hold most of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textguard.session import written
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_KEYS = 100_000
+
+
+def byte_size(frame: DataFrame) -> int:
+    """Size of a frame's rows as JSON text, an upper stand-in for their size in memory."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    return frame.agg(size.alias("n")).first()["n"] or 0
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    row_key: Sequence[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = 100_000,
+) -> DataFrame:
+    """``left`` with the columns of ``right``, whose ``on`` values are unique.
+
+    A ``right`` that is measured to be small is broadcast and ``left`` is not shuffled. A
+    larger one is shuffled; the keys that more than ``hot_rows`` rows of ``left`` share are
+    answered by a broadcast of just those keys, and their rows (like those without a key) are
+    spread by ``row_key`` over all partitions. A hot key also has at least one in
+    ``HOT_KEYS`` of all rows, so there are never more than ``HOT_KEYS`` of them.
+
+    Both inputs are read more than once here: pass tables, or results of ``written``.
+    """
+    if byte_size(right) <= broadcast_bytes:
+        return left.join(F.broadcast(right), on, "left")
+
+    hot_rows = max(hot_rows, left.count() // HOT_KEYS)
+    hot_keys = written(
+        left.filter(F.col(on).isNotNull()).groupBy(on).count()
+        .filter(F.col("count") > hot_rows).select(on),
+        "hot-keys",
+    )
+    columns = [c for c in right.columns if c != on]
+    hot_rights = right.join(F.broadcast(hot_keys), on, "left_semi")
+    hot = hot_keys.join(hot_rights, on, "left").select(
+        on, F.lit(True).alias("_hot"), F.struct(*columns).alias("_from_hot")
+    )
+    apart = F.concat(F.lit("row:"), F.xxhash64(*row_key).cast("string"))
+    own = F.concat(F.lit("key:"), F.col(on).cast("string"))
+    marked = left.join(F.broadcast(hot), on, "left").withColumn(
+        "_key", F.when(F.col("_hot") | F.col(on).isNull(), apart).otherwise(own)
+    )
+    cold = right.select(own.alias("_key"), F.struct(*columns).alias("_from_cold"))
+    joined = marked.join(cold, "_key", "left")
+    return joined.select(
+        *left.columns,
+        *(
+            F.when(F.col("_hot"), F.col(f"_from_hot.{c}"))
+            .otherwise(F.col(f"_from_cold.{c}")).alias(c)
+            for c in columns
+        ),
+    )
