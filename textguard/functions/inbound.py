@@ -100,6 +100,16 @@ def flagged(text: Column | str) -> Column:
     return F.coalesce(F.contains(_column(text), F.lit(fixed.MARKER_PREFIX)), F.lit(False))
 
 
+def matched(
+    text: Column | str, rules: Sequence[Rule] | None = None, low: Column | None = None
+) -> Column:
+    """Does any rule match the text as it arrived?"""
+    rules = injection_rules(rules)
+    text = _column(text)
+    any_rule = reduce(or_, (F.rlike(text, F.lit(r.java)) for r in rules), F.lit(False))
+    return F.coalesce(_when_maybe(text, rules, low, any_rule, F.lit(False)), F.lit(False))
+
+
 def hit(
     text: Column | str, rules: Sequence[Rule] | None = None, low: Column | None = None
 ) -> Column:
@@ -109,11 +119,7 @@ def hit(
     behind, so testing the rules against the original text gives the same answer. Filter on
     this: a filter on the replaced text would run the whole chain a second time.
     """
-    rules = injection_rules(rules)
-    text = _column(text)
-    any_rule = reduce(or_, (F.rlike(text, F.lit(r.java)) for r in rules), F.lit(False))
-    found = _when_maybe(text, rules, low, any_rule, F.lit(False))
-    return F.coalesce(found, F.lit(False)) | flagged(text)
+    return matched(text, rules, low) | flagged(text)
 
 
 def rule_hits(text: Column | str, rule: Rule) -> Column:
