@@ -35,9 +35,9 @@ def sanitize_items(
     return F.transform(
         lowered,
         lambda x: F.struct(
-            x["item.title"].alias("title"),
-            clean(x["item.content"], rules, x["low"]).alias("content"),
-            x["item.url"].alias("url"),
+            x["item"]["title"].alias("title"),
+            clean(x["item"]["content"], rules, x["low"]).alias("content"),
+            x["item"]["url"].alias("url"),
         ),
     )
 

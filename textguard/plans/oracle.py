@@ -257,7 +257,7 @@ ORACLE = {
         "AS threat_intercepted, rank, source AS title, content, lang AS url FROM ("
         f"SELECT *, {flagged('content')} AS hit FROM ("
         f"SELECT doc_id AS request_id, source, lang, rank, {fold('lines[rank + 1]')} AS content "
-        "FROM (SELECT *, unnest(range(len(lines))) AS rank FROM "
+        "FROM (SELECT *, unnest(range(len(lines)))::INT AS rank FROM "
         f"(SELECT *, string_split(t, chr(10)) AS lines FROM ({DOCS})))))"
     ),
     "request_threat": (

@@ -186,7 +186,10 @@ def landed_pages(spark, folder):
     def body(content_key):
         return F.array(
             F.struct(title.alias("title"), first.alias(content_key), F.col("url").alias("url")),
-            F.struct(F.lit("second").alias("title"), F.lit("").alias(content_key)),
+            F.struct(
+                F.lit("second").alias("title"), F.lit("").alias(content_key),
+                F.lit(None).cast("string").alias("url"),  # to_json leaves the key out
+            ),
         )
 
     searxng = F.to_json(F.struct(body("content").alias("results")))
@@ -466,8 +469,9 @@ def config_gated_sanitize(spark, folder):
 
 
 def _stream(spark, folder, name):
-    path = f"{folder}/{name}.parquet"
-    return streams.read_files(spark, path, spark.read.parquet(path).schema)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # As a pattern the path may name one file or a folder of files.
+    return streams.read_files(spark, f"{folder}/{name}[.]parquet", schema)
 
 
 def _landed(spark, stream, name, partition_by=None):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def session(app: str = "textguard", master: str | None = None, **conf: object) -
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers where it is not installed.
+
+    Only a model scorer needs it; all other work is done by Spark's own functions.
+    """
+    context = spark.sparkContext
+    if any("textguard" in Path(f).name for f in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="textguard-package-")) / "textguard"
+    # Spark copies the archive to every executor from the driver.
+    context.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
