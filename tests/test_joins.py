@@ -1,0 +1,51 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textguard.operators.joins import byte_size, lookup_join
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """A third of the rows share one key, a tenth another that the right side lacks."""
+    n = F.col("id")
+    key = (
+        F.when(n % 3 == 0, F.lit("hot")).when(n % 10 == 1, F.lit("lost"))
+        .when(n % 50 == 2, F.lit(None)).otherwise(F.concat(F.lit("k"), n % 400))
+    )
+    left = spark.range(30_000).select(n.alias("row"), key.alias("k")).repartition(8, "row")
+    right = spark.range(300).select(
+        F.when(n == 0, "hot").otherwise(F.concat(F.lit("k"), n)).alias("k"),
+        F.when(n % 4 != 0, n).alias("v"), F.lit(True).alias("found"),
+    )
+    return left, right
+
+
+def test_both_ways_give_the_plain_join(spark, sides):
+    left, right = sides
+    expected = sorted(left.join(right, "k", "left").select("row", "k", "v", "found").collect())
+    small = lookup_join(left, right, "k", ["row"])
+    large = lookup_join(left, right, "k", ["row"], broadcast_bytes=0, hot_rows=500)
+    for joined in (small, large):
+        assert sorted(joined.select("row", "k", "v", "found").collect()) == expected
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+
+
+def test_hot_keys_are_spread(spark, sides):
+    left, right = sides
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(left, right, "k", ["row"], broadcast_bytes=0, hot_rows=500)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plain = left.join(right, "k", "left")
+        skewed = [r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    assert sum(sizes) == 30_000 and max(sizes) < 30_000 / 8 * 1.3
+    assert max(skewed) > 10_000
+
+
+def test_byte_size(spark):
+    assert byte_size(spark.range(0)) == 0
+    assert byte_size(spark.range(10)) == 10 * len('{"id":0}')

@@ -19,7 +19,7 @@ from textguard.functions.dialect import PREFIX, SPACE, to_java
 DETECTORS = ("api_key", "env_variable", "dns_exfiltration", "markdown_pixel")
 
 # A key word can only begin with one of these letters; testing that first is cheaper.
-_KEY = PREFIX + "(?=[sSpPkKtTſK])" + to_java(fixed.API_KEY).removeprefix(PREFIX)
+_KEY = PREFIX + "(?=[sSpPkKtT\u017f\u212a])" + to_java(fixed.API_KEY).removeprefix(PREFIX)
 
 # Only the first cloud prefix of a run of [A-Z_] can begin a match: a later one needs the
 # same '=' behind the same run. The atomic group settles on it, so a run is read once.

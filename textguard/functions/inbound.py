@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import fixed
+from textguard.functions.dialect import PREFIX, to_java
 from textguard.sources.rules import Rule, injection_rules
 
 
@@ -25,9 +26,12 @@ def _column(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+# Non-ASCII letters that a case-insensitive regex takes for these, and lower() leaves alone.
+_TWINS = {"i": "\u0131\u0130", "k": "\u212a", "s": "\u017f"}
+
+
 def _needles(rule: Rule) -> list[str]:
-    # s, i and k each have a non-ASCII twin that a case-insensitive regex accepts and
-    # lower() leaves alone, so words are cut there and only the other pieces are searched.
+    # Words are cut at letters that have such a twin; only the other pieces are searched.
     pieces = [p for w in rule.words for p in re.split("[sik]", w) if len(p) > 2]
     return list(dict.fromkeys(pieces))
 
@@ -100,26 +104,45 @@ def flagged(text: Column | str) -> Column:
     return F.coalesce(F.contains(_column(text), F.lit(fixed.MARKER_PREFIX)), F.lit(False))
 
 
-def matched(
-    text: Column | str, rules: Sequence[Rule] | None = None, low: Column | None = None
-) -> Column:
-    """Does any rule match the text as it arrived?"""
+def _any_of(rules: Sequence[Rule]) -> str | None:
+    """One pattern that is found where any of the rules is; None where they cannot be joined."""
+    patterns = [r.pattern for r in rules]
+    if any(re.search(r"\\[1-9]|\(\?P", p) for p in patterns):
+        return None  # group numbers and names belong to one pattern
+    joined = to_java("|".join(f"(?:{p})" for p in patterns)).removeprefix(PREFIX)
+    firsts = {r.words[0][0] if r.words else "" for r in rules}
+    if "" in firsts:
+        return f"{PREFIX}(?:{joined})"
+    # Cheaper than trying every rule at every letter: can a rule begin here at all?
+    letters = "".join(c + c.upper() + _TWINS.get(c, "") for c in sorted(firsts))
+    return f"{PREFIX}(?=[{letters}])(?:{joined})"
+
+
+def matched(text: Column | str, rules: Sequence[Rule] | None = None) -> Column:
+    """Does any rule match the text as it arrived?
+
+    The text is named once, so this is also right for a filter, where Spark does not share
+    common subexpressions.
+    """
     rules = injection_rules(rules)
-    text = _column(text)
-    any_rule = reduce(or_, (F.rlike(text, F.lit(r.java)) for r in rules), F.lit(False))
-    return F.coalesce(_when_maybe(text, rules, low, any_rule, F.lit(False)), F.lit(False))
+    if not rules:
+        return F.lit(False)
+    text, pattern = _column(text), _any_of(rules)
+    if pattern:
+        found = F.rlike(text, F.lit(pattern))
+    else:
+        found = reduce(or_, (F.rlike(text, F.lit(r.java)) for r in rules))
+    return F.coalesce(found, F.lit(False))
 
 
-def hit(
-    text: Column | str, rules: Sequence[Rule] | None = None, low: Column | None = None
-) -> Column:
+def hit(text: Column | str, rules: Sequence[Rule] | None = None) -> Column:
     """``flagged(sanitize(text))`` without running the replacement chain.
 
     The first rule to match sees the original text and the last one leaves its marker
     behind, so testing the rules against the original text gives the same answer. Filter on
     this: a filter on the replaced text would run the whole chain a second time.
     """
-    return matched(text, rules, low) | flagged(text)
+    return matched(text, rules) | flagged(text)
 
 
 def rule_hits(text: Column | str, rule: Rule) -> Column:

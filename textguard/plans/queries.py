@@ -367,16 +367,19 @@ def _clean_documents(spark, folder):
     return documents(spark, folder).select("doc_id", inbound.sanitize("text").alias("text"))
 
 
-def semantic_candidates(spark, folder):
+def _open_documents(spark, folder):
     # A text no rule matches is its own sanitised form, so the chain need not run here.
-    rows = documents(spark, folder).filter(~inbound.matched("text"))
-    return second.candidates(rows, "text").select("text_hash", "copies")
+    return documents(spark, folder).filter(~inbound.matched("text"))
+
+
+def semantic_candidates(spark, folder):
+    found = second.candidates(_open_documents(spark, folder), "text")
+    return found.select("text_hash", "copies")
 
 
 def semantic_prompt(spark, folder):
-    return second.candidates(_clean_documents(spark, folder), "text").select(
-        "text_hash", "prompt"
-    )
+    found = second.candidates(_open_documents(spark, folder), "text")
+    return found.select("text_hash", "prompt")
 
 
 def _labelled_verdicts(spark, folder, clean):

@@ -20,7 +20,7 @@ RULES_SCHEMA = (
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern. ``words`` are lower-case words that every match contains."""
+    """One pattern. ``words`` are lower-case words every match contains, the first at its start."""
 
     rule_id: str
     ord: int
