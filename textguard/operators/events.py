@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from textguard.operators.joins import BROADCAST_BYTES, byte_size, lookup_join
 from textguard.session import written
 
+_GRID = 1000
 EVENT_SCHEMA = "event_time timestamp, source_id string, kind string, rule_id string, matches bigint"
 
 
@@ -61,59 +62,105 @@ def window_counts(
 
 
 def percentiles(
-    frame: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+    frame: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    in_order: int = 1_000_000,
 ) -> DataFrame:
     """Exact interpolated percentiles: the ``by`` columns, ``prob``, ``value``.
 
-    A quantile sketch brackets each percentile first. Values below the bracket are only
-    counted; those inside, about one in a thousand, are counted per distinct value and put in
-    order. So no task holds all values of a group. Where a bracket turns out not to hold its
-    percentile, the work is done again with wider ones. The table is read when this is called,
-    twice; the result is small and comes from a written table.
+    Values are put in order only within a bracket around each percentile; those below it are
+    just counted. While a bracket may hold more than ``in_order`` different values, a quantile
+    sketch narrows it some two hundred times, so no task ever sorts a whole group. The table
+    is read when this is called, once and once more per narrowing; the result is small.
     """
     group = F.to_json(F.struct(*by)) if by else F.lit("")
     values = frame.select(
         group.alias("_g"), *by, F.col(value).cast("double").alias("_v")
     ).filter("_v IS NOT NULL")
-    for margin in (0.0005, 0.01, 1.0):
-        result = written(_bracketed(values, probs, list(by), margin), "percentiles")
-        if result.filter(F.col("value").isNull()).isEmpty():
-            break
-    return result
-
-
-def _bracketed(values: DataFrame, probs: Sequence[float], by: list[str], margin: float) -> DataFrame:
-    ends = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
-    sketch = values.groupBy("_g").agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", [q for pair in ends for q in pair], 10_000).alias("_q"),
-    )
-    wanted = F.array(
+    whole = F.array(
         *(
             F.struct(
                 F.lit(float(p)).alias("prob"),
-                F.col("_q")[2 * i].alias("_low"),
-                F.col("_q")[2 * i + 1].alias("_high"),
+                F.lit(float("-inf")).alias("_low"),
+                F.lit(float("nan")).alias("_high"),  # the largest double
             )
-            for i, p in enumerate(probs)
+            for p in probs
         )
     )
-    brackets = written(sketch.select("_g", "_n", wanted.alias("_wanted")), "brackets")
+    start = values.groupBy("_g").agg(F.count("*").alias("_n")).select(
+        "_g", "_n", F.col("_n").alias("_size"), whole.alias("_wanted")
+    )
+    start = brackets = written(start, "brackets")
+    in_order = max(in_order, 100)
+    while (brackets.agg(F.max("_size")).first()[0] or 0) > in_order:
+        brackets = written(_narrowed(values, brackets, list(by)), "brackets")
+    result = written(_picked(values, brackets, list(by)), "percentiles")
+    if result.filter(F.col("value").isNotNull()).count() < start.count() * len(probs):
+        # A sketch was off by more than it may be.
+        result = written(_picked(values, start, list(by)), "percentiles")
+    return result
+
+
+def _in_brackets(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Each value with its group's brackets, one row per percentile; ``_w`` rows each."""
     if byte_size(brackets) <= BROADCAST_BYTES:
         weighted = values.withColumn("_w", F.lit(1))
     else:  # equal values become one row, so that the join can spread a large group by value
         weighted = values.groupBy("_g", *by, "_v").agg(F.count("*").alias("_w"))
+    return lookup_join(weighted, brackets, "_g", ["_v"]).select(
+        "_g", *by, "_n", "_v", "_w", F.inline("_wanted")
+    )
+
+
+def _rank() -> Column:
+    return (F.col("_n") - 1) * F.col("prob")
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    inside = F.when((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")), F.col("_v"))
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    sketch = _in_brackets(values, brackets, by).groupBy("_g", "_n", "prob").agg(
+        F.sum(F.when(F.col("_v") < F.col("_low"), F.col("_w")).otherwise(0)).alias("_below"),
+        F.sum(F.when(inside.isNotNull(), F.col("_w")).otherwise(0)).alias("_inside"),
+        F.percentile_approx(inside, grid, 10_000).alias("_q"),
+    )
+    # The place of the wanted rank on the grid, with two steps and two rows to either side.
+    inside_rows = F.greatest("_inside", F.lit(1))
+    at = F.floor((_rank() - F.col("_below")) / inside_rows * _GRID)
+    room = F.ceil(2 * _GRID / inside_rows) + 2
+
+    def value_at(place: Column) -> Column:
+        return F.element_at("_q", F.greatest(F.least(place, F.lit(_GRID)), F.lit(0)).cast("int") + 1)
+
+    low, high = value_at(at - room), value_at(at + 1 + room)
+    size = F.when(F.col("_low") == F.col("_high"), 1).otherwise(
+        F.ceil(F.col("_inside") * (2 * room + 2) / _GRID)
+    )
+    return (
+        sketch.select(
+            "_g", "_n", "prob", "_inside", low.alias("_low"), high.alias("_high")
+        )
+        .withColumn("_size", size)
+        .groupBy("_g", "_n")  # one row per percentile asked for
+        .agg(
+            F.max("_size").alias("_size"),
+            F.collect_list(F.struct("prob", "_low", "_high")).alias("_wanted"),
+        )
+    )
+
+
+def _picked(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     counts = (
-        lookup_join(weighted, brackets, "_g", ["_v"])
-        .select("_g", *by, "_n", "_v", "_w", F.inline("_wanted"))
+        _in_brackets(values, brackets, by)
         .filter("_v <= _high")
         .withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))  # NULL: below
         .groupBy("_g", *by, "prob", "_n", "_v").agg(F.sum("_w").alias("_c"))
     )
     order = Window.partitionBy("_g", "prob").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rank = (F.col("_n") - 1) * F.col("prob")
-    at = F.floor(rank)
+    at = F.floor(_rank())
 
     def value_at(position: Column) -> Column:
         holds = (position >= F.col("_upto") - F.col("_c")) & (position < F.col("_upto"))
@@ -122,7 +169,7 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: list[str], margin:
     picked = counts.withColumn("_upto", upto).groupBy("_g", *by, "prob").agg(
         value_at(at).alias("_a"),
         value_at(F.least(at + 1, F.col("_n") - 1)).alias("_b"),
-        F.first(rank - at).alias("_f"),
+        F.first(_rank() - at).alias("_f"),
     )
     return picked.select(
         *by, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value")
