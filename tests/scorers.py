@@ -23,3 +23,8 @@ def evil(name):
 
 def everything(name):
     return lambda prompts: prompts.map(lambda p: "malicious")
+
+
+def by_name(name):
+    """Condemns the texts that hold the model's own name."""
+    return lambda prompts: prompts.map(lambda p: "MALICIOUS" if name in p else "SAFE")

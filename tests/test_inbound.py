@@ -99,6 +99,18 @@ def test_custom_rules_take_the_place_of_the_builtin_ones(spark):
     assert all(clean == brute.clean(text) for text, clean in rows)
 
 
+def test_flag_of_rules_that_touch_the_marker(spark):
+    own = rules.custom_rules(["SECUR", r"x+", r"TRIGGERED\]", r"\[S", "y"])
+    patterns = [r.pattern for r in own]
+    rnd = random.Random(9)
+    parts = ["x", "y", "[S", "SECURITY", fixed.MARKER_PREFIX, fixed.MARKER, " ", "TRIGGERED]", "z"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6))) for _ in range(5_000)]
+    rows = _frame(spark, texts).select("t", inbound.sanitize("t", own), inbound.hit("t", own))
+    for text, clean, found in rows.collect():
+        assert clean == brute.clean(text, patterns)
+        assert found == (fixed.MARKER_PREFIX in clean)
+
+
 def test_rules_held_in_the_row(spark):
     data = [
         ("system override aa", ["a+", "SECUR"]), ("system override aa", []),

@@ -1,10 +1,12 @@
 import json
 
 from pyspark.sql import functions as F
+from scorers import by_name
 
 from tests import brute
 from textguard.functions import fixed
 from textguard.operators import gating
+from textguard.plans import flows
 from textguard.sources import rules, settings
 
 PROFILES = [
@@ -71,3 +73,23 @@ def test_rules_without_search_words(spark):
     )
     row = frame.select(gating.gated_sanitize("t", own)).first()
     assert row[0] == brute.clean(TEXT, ["t.xt"])
+
+
+def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
+    who = ["default", "off", "strict", "model", "blocks", "odd", "unknown"]
+    rows = [(i, name, text) for i, name in enumerate(who) for text in ("plain a.b", "llama3:8b")]
+    rows += [(7, "strict", "see qwen2.5-coder:1.5b"), (8, "off", "see qwen2.5-coder:1.5b")]
+    frame = spark.createDataFrame(rows, "id int, who string, t string")
+    judged = flows.settings_flow(
+        frame, _profiles(spark, tmp_path), "t", "who", ["id", "t"], make_scorer=by_name
+    )
+    assert judged.columns == ["id", "who", "t", "threat"]
+    found = sorted(tuple(r) for r in judged.collect())
+    expected = []
+    for i, name, text in rows:
+        if (name, text) in (("model", "llama3:8b"), ("strict", "see qwen2.5-coder:1.5b")):
+            text = fixed.SEMANTIC_MARKER
+        elif name == "blocks":
+            text = text.replace("a.b", fixed.MARKER)
+        expected.append((i, name, text, fixed.MARKER_PREFIX in text))
+    assert found == sorted(expected)

@@ -29,6 +29,17 @@ def text_hash(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
+def hashed(frame: DataFrame, sanitized: str) -> DataFrame:
+    """Add ``text_hash`` where it is not there yet.
+
+    Stored with a ``written`` table it lets the skew check of a large join read that one column
+    in place of the texts.
+    """
+    if "text_hash" in frame.columns:
+        return frame
+    return frame.withColumn("text_hash", text_hash(sanitized))
+
+
 def candidates(frame: DataFrame, sanitized: str, enabled: Column | None = None) -> DataFrame:
     """The distinct texts to score: ``text_hash``, ``prompt``, ``copies``.
 
@@ -37,7 +48,7 @@ def candidates(frame: DataFrame, sanitized: str, enabled: Column | None = None)
     """
     wanted = inbound.open_for_model(sanitized)
     rows = frame.filter(wanted if enabled is None else wanted & enabled)
-    return rows.groupBy(text_hash(sanitized).alias("text_hash")).agg(
+    return hashed(rows, sanitized).groupBy("text_hash").agg(
         model.prompt(F.first(sanitized)).alias("prompt"), F.count("*").alias("copies")
     )
 
@@ -95,13 +106,11 @@ def apply_verdicts(
 
     ``malicious`` says whether the text was replaced.
     """
-    hashed = frame.withColumn("text_hash", text_hash(sanitized))
-    joined = lookup_join(hashed, condemned(verdicts), "text_hash", row_key)
+    joined = lookup_join(hashed(frame, sanitized), condemned(verdicts), "text_hash", row_key)
     replaced = F.coalesce("malicious", F.lit(False)) & inbound.open_for_model(sanitized)
     if enabled is not None:
         replaced = replaced & enabled
-    return (
-        joined.withColumn("malicious", replaced)
-        .withColumn(sanitized, model.apply_verdict(sanitized, "malicious"))
-        .drop("text_hash")
+    judged = joined.withColumn("malicious", replaced).withColumn(
+        sanitized, model.apply_verdict(sanitized, "malicious")
     )
+    return judged.drop("text_hash")  # it was that of the text before

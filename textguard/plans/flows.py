@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions import egress, inbound
+from textguard.functions import egress, fixed, inbound
+from textguard.operators import gating
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
 from textguard.session import written
 from textguard.sources import search
 from textguard.sources.requests import split_valid_pairs, split_valid_requests
-from textguard.sources.rules import Rule
+from textguard.sources.rules import INJECTION, Rule
 
 MakeScorer = Callable[[str], second.Scorer]
 
@@ -76,13 +77,10 @@ def pair_flow(
     if not make_scorer:
         return req.pair_report(valid, rules), invalid
     column = "sanitized_inbound_preview"
-    clean = written(
-        egress.with_dlp_report(
-            valid.withColumn(column, inbound.sanitize("incoming_content", rules)),
-            "outbound_intent",
-        ),
-        "pairs",
+    clean = egress.with_dlp_report(
+        valid.withColumn(column, inbound.sanitize("incoming_content", rules)), "outbound_intent"
     )
+    clean = written(second.hashed(clean, column), "pairs")
     verdicts = second.score(second.candidates(clean, column), make_scorer, model_name)
     judged = second.apply_verdicts(clean, verdicts, column, ["pair_id"]).drop("malicious")
     return req.with_agent_status(judged), invalid
@@ -99,7 +97,35 @@ def text_flow(
     """Any table with its text column sanitised, and ``threat`` beside it."""
     clean = frame.withColumn(text, inbound.sanitize(text, rules))
     if make_scorer:
-        clean = written(clean, "sanitized-texts")
+        clean = written(second.hashed(clean, text), "sanitized-texts")
         verdicts = second.score(second.candidates(clean, text), make_scorer, model_name)
         clean = second.apply_verdicts(clean, verdicts, text, row_key).drop("malicious")
     return clean.withColumn("threat", inbound.flagged(text))
+
+
+def settings_flow(
+    frame: DataFrame,
+    settings: DataFrame,
+    text: str,
+    profile_id: str,
+    row_key: Sequence[str],
+    make_scorer: MakeScorer | None = None,
+    rules: Sequence[Rule] = INJECTION,
+) -> DataFrame:
+    """A table sanitised by each row's own protection settings, with ``threat`` beside it.
+
+    ``settings`` comes from ``with_defaults``. Rows whose settings ask for a model are scored by
+    the one they name; protection that is off leaves the text as it is, so nothing is scored.
+    """
+    kept = frame.columns
+    clean = gating.with_settings(frame, settings, profile_id, row_key)
+    clean = clean.withColumn(text, gating.gated_sanitize(text, rules))
+    if make_scorer:
+        clean = second.hashed(clean.select(*kept, "protected", "use_model", "model_name"), text)
+        clean = written(clean, "gated-texts")
+        for name in fixed.MODELS:
+            asked = F.col("protected") & F.col("use_model") & (F.col("model_name") == name)
+            prompts = second.candidates(clean, text, enabled=asked)
+            verdicts = second.score(prompts, make_scorer, name)
+            clean = second.apply_verdicts(clean, verdicts, text, row_key, asked).drop("malicious")
+    return clean.select(*kept, inbound.flagged(text).alias("threat"))

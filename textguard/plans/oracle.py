@@ -124,47 +124,38 @@ def judged(condition: str) -> str:
 
 _N = r"regexp_extract(source, '(\d+)', 1)::INT"
 SETTINGS = f"""
-SELECT source, n % 7 != 6 AS known,
-  CASE WHEN n % 7 != 6 AND n % 5 = 0 THEN false ELSE true END AS protected,
-  CASE WHEN n % 7 != 6 AND n % 5 = 1 THEN 'strict'
-       WHEN n % 7 != 6 AND n % 5 = 2 THEN 'permissive' ELSE 'balanced' END AS security_profile,
-  NOT (n % 7 != 6 AND n % 5 = 2) AS indirect_injection,
-  NOT (n % 7 != 6 AND n % 5 = 3) AS jailbreaks,
-  NOT (n % 7 != 6 AND n % 5 = 3) AS destructive_commands,
-  (n % 7 != 6 AND n % 5 != 4 AND n % 3 = 0) AS pii_leak_prevention,
-  (n % 7 != 6 AND (n % 5 = 1 OR n = 12)) AS use_model,
+SELECT source,
+  CASE WHEN n % 5 = 0 THEN false ELSE true END AS protected,
+  CASE WHEN n % 5 = 1 THEN 'strict'
+       WHEN n % 5 = 2 THEN 'permissive' ELSE 'balanced' END AS security_profile,
+  NOT (n % 5 = 2) AS indirect_injection,
+  NOT (n % 5 = 3) AS jailbreaks,
+  NOT (n % 5 = 3) AS destructive_commands,
+  (n % 5 != 4 AND n % 3 = 0) AS pii_leak_prevention,
+  ((n % 5 = 1 OR n = 12)) AS use_model,
   CASE WHEN n = 12 THEN 'phi3:mini' ELSE 'qwen2.5-coder:1.5b' END AS model_name,
-  CASE WHEN n % 7 != 6 AND n % 5 = 4 THEN {quoted('|'.join(BLOCKED))} ELSE '' END AS blocklist
+  CASE WHEN n % 5 = 4 THEN {quoted('|'.join(BLOCKED))} ELSE '' END AS blocklist
 FROM (SELECT DISTINCT source, {_N} AS n FROM documents)
 """
 
 
-def gated(text: str) -> str:
-    for r in INJECTION:
-        done = f"regexp_replace({text}, {quoted(r.pattern)}, {quoted(fixed.MARKER)}, 'g')"
-        text = f"(CASE WHEN s.{r.module} THEN {done} ELSE {text} END)"
-    return text
-
-
 def blocked(text: str) -> str:
     for phrase in BLOCKED:
         text = f"replace({text}, {quoted(phrase)}, {quoted(fixed.MARKER)})"
     return text
 
 
-def _gated_query() -> str:
-    """One step per rule, each reading the step before it."""
+def _gated_rows() -> str:
+    """One step per rule, each reading the step before it; then block list and main switch."""
     step = f"SELECT d.doc_id, d.t AS raw, d.t, s.* FROM ({DOCS}) d JOIN ({SETTINGS}) s USING (source)"
     for r in INJECTION:
         done = f"regexp_replace(t, {quoted(r.pattern)}, {quoted(fixed.MARKER)}, 'g')"
         step = (
             f"SELECT * REPLACE (CASE WHEN {r.module} THEN {done} ELSE t END AS t) FROM ({step})"
         )
-    leak = matches("raw", [r.pattern for r in DLP])
     return (
-        f"SELECT doc_id, CASE WHEN NOT protected THEN raw WHEN blocklist != '' THEN {blocked('t')} "
-        f"ELSE t END AS sanitized, use_model, CASE WHEN pii_leak_prevention AND {leak} "
-        f"THEN 'BLOCK' ELSE 'ALLOW' END AS action FROM ({step})"
+        "SELECT * REPLACE (CASE WHEN NOT protected THEN raw "
+        f"WHEN blocklist != '' THEN {blocked('t')} ELSE t END AS t) FROM ({step})"
     )
 
 
@@ -288,7 +279,7 @@ ORACLE = {
     "event_log": (
         "SELECT strftime(DATE '2024-01-01' + (doc_id % 5)::INT, '%Y-%m-%d') AS day, "
         "doc_id::VARCHAR AS source_id, kind, rule_id, matches "
-        f"FROM ({long_findings(RULES)}) WHERE matches > 0 AND doc_id % 5 IN (1, 2)"
+        f"FROM ({long_findings(RULES)}) WHERE matches > 0"
     ),
     "event_feed_filter": (
         "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' "
@@ -332,9 +323,18 @@ ORACLE = {
     "settings_defaults": (
         "SELECT source AS profile_id, protected, security_profile, indirect_injection, "
         "jailbreaks, destructive_commands, pii_leak_prevention, use_model, model_name, blocklist "
-        f"FROM ({SETTINGS}) WHERE known"
+        f"FROM ({SETTINGS})"
+    ),
+    "config_gated_sanitize": (
+        "SELECT doc_id, t AS sanitized, use_model, CASE WHEN pii_leak_prevention AND "
+        f"{matches('raw', [r.pattern for r in DLP])} THEN 'BLOCK' ELSE 'ALLOW' END AS action "
+        f"FROM ({_gated_rows()})"
+    ),
+    "settings_guarded": (
+        f"SELECT doc_id, sanitized, {flagged('sanitized')} AS threat FROM (SELECT doc_id, "
+        + judged(f"protected AND use_model AND coalesce({_ANSWER} = 'Malicious.', false)")
+        + f" AS sanitized FROM ({_gated_rows()}))"
     ),
-    "config_gated_sanitize": _gated_query(),
     "stream_sanitize": f"SELECT *, {flagged('sanitized')} AS threat FROM ({_SANITIZED})",
     "stream_dlp": f"SELECT doc_id, NOT {LEAK} AS safe, {ACTION} AS action FROM ({DOCS})",
     "stream_event_counts": _COUNTS,

@@ -320,14 +320,14 @@ def rule_monitor(spark, folder):
 
 
 def event_log(spark, folder):
-    """Findings written to the event log and read back from two of its days."""
+    """Findings written to the event log and read back as a feed."""
     found = findings.findings(documents(spark, folder), "doc_id", "text")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
     path = new_path(spark, "event-log")
     events.append_events(events.as_events(found, "doc_id", day), path)
     log = spark.read.parquet(path)
     feed = events.event_feed(
-        log, "event_day", F.lit("2024-01-02").cast("date"), F.lit("2024-01-04").cast("date"),
+        log, "event_day", F.lit("2024-01-01").cast("date"), F.lit("2024-01-06").cast("date"),
         kind=["injection", "dlp"],
     )
     return feed.select(
@@ -430,7 +430,7 @@ def guarded_documents(spark, folder):
 
 
 def source_settings(spark, folder):
-    """Settings for most sources, made from the source's number; missing parts stay NULL."""
+    """Settings for every source, made from the source's number; missing parts stay NULL."""
     sources = table(spark, folder, "documents", "source").distinct()
     n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     modules = F.struct(
@@ -439,7 +439,7 @@ def source_settings(spark, folder):
         F.when(n % 5 == 3, False).alias("destructive_commands"),
         F.when(n % 3 == 0, True).alias("pii_leak_prevention"),
     )
-    return sources.filter(n % 7 != 6).select(
+    return sources.select(
         F.col("source").alias("profile_id"),
         F.when(n % 5 == 0, False).alias("global_protection_enabled"),
         F.when(n % 5 == 1, "strict").when(n % 5 == 2, "permissive").alias("security_profile"),
@@ -468,6 +468,14 @@ def config_gated_sanitize(spark, folder):
     )
 
 
+def settings_guarded(spark, folder):
+    profiles = written(settings.with_defaults(source_settings(spark, folder)), "settings")
+    return flows.settings_flow(
+        documents(spark, folder, "source"), profiles, "text", "source", ["doc_id"],
+        make_scorer=keyword_scorer,
+    ).withColumnRenamed("text", "sanitized").drop("source")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -523,6 +531,6 @@ QUERIES = {
         request_pages, agent_status, pair_quarantine, overview_stats, rule_monitor, event_log,
         event_feed_filter, latency_percentiles, event_counts_tumbling, semantic_candidates,
         semantic_prompt, semantic_apply, semantic_scored, guarded_documents, settings_defaults,
-        config_gated_sanitize, stream_sanitize, stream_dlp, stream_event_counts,
+        config_gated_sanitize, settings_guarded, stream_sanitize, stream_dlp, stream_event_counts,
     )
 }
