@@ -110,12 +110,13 @@ def _any_of(rules: Sequence[Rule]) -> str | None:
     if any(re.search(r"\\[1-9]|\(\?P", p) for p in patterns):
         return None  # group numbers and names belong to one pattern
     joined = to_java("|".join(f"(?:{p})" for p in patterns)).removeprefix(PREFIX)
-    firsts = {r.words[0][0] if r.words else "" for r in rules}
-    if "" in firsts:
-        return f"{PREFIX}(?:{joined})"
-    # Cheaper than trying every rule at every letter: can a rule begin here at all?
-    letters = "".join(c + c.upper() + _TWINS.get(c, "") for c in sorted(firsts))
-    return f"{PREFIX}(?=[{letters}])(?:{joined})"
+    starts = [r.words[0][:3] if r.words else "" for r in rules]
+    # Cheaper than trying every rule at every letter: can a rule begin with these letters?
+    first = "".join(
+        "[" + "".join(c + c.upper() + _TWINS.get(c, "") for c in sorted(set(letters))) + "]"
+        for letters in zip(*starts)
+    )
+    return f"{PREFIX}(?={first})(?:{joined})" if first else f"{PREFIX}(?:{joined})"
 
 
 def matched(text: Column | str, rules: Sequence[Rule] | None = None) -> Column:
