@@ -20,6 +20,10 @@ HOSTILE = {
     "link starts": "![x](http://" * 80_000,
     "image starts": "![" * 500_000,
     "unclosed links": "![](http://a.png? " * 50_000,
+    "links no bracket closes": "![" + "](http://a.png? " * 60_000,
+    "links in one run": "![" + "](http://a.png?" * 60_000,
+    "brackets": "![" + "]" * 1_000_000,
+    "lines": "![a](http://x\n" * 80_000,
     "empty hosts": "![ ](http://.png?" * 50_000 + ")",
     "a real one at the end": "![x](http://" * 50_000 + "a.png?)",
     "one host run": "a" * 1_000_000,
@@ -47,15 +51,16 @@ def test_same_as_plain_python(spark):
         F.struct(*(n.alias(k) for k, n in egress.match_counts("t").items())).alias("n"),
         egress.pixel_urls("t").alias("urls"),
         egress.leaks("t").alias("leaks"),
-        egress.violations("t").alias("violations"),
     ).collect()
+    reported = {r.t: r for r in egress.with_dlp_report(frame, "t").collect()}
     seen = dict.fromkeys(egress.DETECTORS, 0)
     for r in rows:
         expected = brute.counts(r.t)
         assert r.n.asDict() == expected, r.t
         assert r.urls == brute.urls(r.t), r.t
-        assert r.leaks == any(expected.values())
-        assert [tuple(v) for v in r.violations] == [(k, n) for k, n in expected.items() if n]
+        assert r.leaks == any(expected.values()) == (not reported[r.t].safe)
+        found = [tuple(v) for v in reported[r.t].violations]
+        assert found == [(k, n) for k, n in expected.items() if n]
         for k, n in expected.items():
             seen[k] += n
     assert all(n > 500 for n in seen.values()), seen

@@ -32,18 +32,19 @@ _ENV = (
 _DNS_ENDS = (".canarytokens.com", ".burpcollaborator.net", ".interactsh.com")
 _DNS = f"{PREFIX}(?<![a-zA-Z0-9.-]){fixed.DNS_EXFILTRATION}"
 
-# A pixel's link part holds no ')', so it lies between two neighbouring ')' of a line. In
-# such a piece each run without whitespace is tried once, from its first link start: it
-# either holds an image ending and the link is taken to the end of the piece, or it holds
-# none and is passed over whole.
-_LINK_START = r"\]\(https?://"
-_IMAGE_END = r"\.(?:png|jpg|gif)\?"
-_NOT_SPACE = f"[^{SPACE}]"
-_LINK = (
-    f"{PREFIX}(?i){_LINK_START.replace('https', '(https')}(?>{_NOT_SPACE}+?{_IMAGE_END}).*)"
-    f"|{_LINK_START}{_NOT_SPACE}*+"
+# A pixel is an image start and then, on the same line, the first link that works: a run
+# without whitespace that holds an image ending, and a ')' after it. The loop takes up what
+# is no such link and never gives anything back: a run without an image ending whole, as no
+# later link start of that run can do better, and the rest of the line where no ')' follows.
+# An image start that nothing answers thus uses up its line, with an empty link.
+_LINK = r"\]\((https?://"
+_IMAGE = rf"(?>[^{SPACE})]+?\.(?:png|jpg|gif)\?)[^)\n]*+"
+_NO_LINK = _LINK.replace("(https", "https")
+_PIXEL = (
+    rf"{PREFIX}(?i)\!\[(?:[^\]\n]++|\](?!\(https?://)"
+    rf"|{_NO_LINK}(?!{_IMAGE})[^{SPACE})]*+|{_NO_LINK}{_IMAGE}(?!\)))*+"
+    rf"(?:{_LINK}{_IMAGE})\))?+"
 )
-_AFTER_OPENING = PREFIX + r"\!\[(.*)"
 
 
 def _column(text: Column | str) -> Column:
@@ -55,39 +56,13 @@ def _contains_any(text: Column, parts) -> Column:
 
 
 def _may_hold_pixel(text: Column) -> Column:
-    return (
-        F.contains(text, F.lit("!["))
-        & F.contains(text, F.lit(")"))
-        & F.rlike(text, F.lit(f"{PREFIX}(?i){_LINK_START}"))
-        & F.rlike(text, F.lit(f"{PREFIX}(?i){_IMAGE_END}"))
-    )
-
-
-def _line_pixels(line: Column) -> Column:
-    """Links of one line, read piece by piece; ``open`` says a '![' is still unanswered."""
-    pieces = F.split(line, r"\)")
-    pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))  # each ends in ')'
-    start = F.struct(
-        F.lit(False).alias("open"), F.array().cast("array<string>").alias("urls")
-    )
-
-    def step(state: Column, piece: Column) -> Column:
-        rest = F.when(state["open"], piece).otherwise(F.regexp_extract(piece, _AFTER_OPENING, 1))
-        url = F.array_join(F.regexp_extract_all(rest, F.lit(_LINK), F.lit(1)), "")
-        opened = state["open"] | F.contains(piece, F.lit("!["))
-        return F.struct(
-            ((url == "") & opened).alias("open"),
-            F.concat(state["urls"], F.array_remove(F.array(url), "")).alias("urls"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda state: state["urls"])
+    return F.contains(text, F.lit("![")) & F.contains(text, F.lit("]("))
 
 
 def pixel_urls(text: Column | str) -> Column:
     """The link of every tracking-pixel image, in text order."""
     text = _column(text)
-    lines = F.filter(F.split(text, "\n"), _may_hold_pixel)  # a match never crosses a line end
-    found = F.flatten(F.transform(lines, _line_pixels))
+    found = F.array_remove(F.regexp_extract_all(text, F.lit(_PIXEL), F.lit(1)), "")
     return F.when(_may_hold_pixel(text), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -105,13 +80,17 @@ def match_counts(text: Column | str) -> dict[str, Column]:
     return {name: _count(n) for name, n in zip(DETECTORS, counts)}
 
 
-def violations(text: Column | str) -> Column:
-    """``array<struct<type, matches>>`` of the detectors that matched, in report order."""
-    entries = [
-        F.struct(F.lit(name).alias("type"), n.alias("matches"))
-        for name, n in match_counts(text).items()
-    ]
-    return F.filter(F.array(*entries), lambda v: v["matches"] > 0)
+def kept(counts: dict[str, Column], **more: dict[str, str]) -> Column:
+    """``array<struct<type, matches>>`` of the counts above zero, in their order.
+
+    ``more`` adds fields that depend on the type. The counts are named twice: pass columns.
+    """
+    parts = []
+    for name, n in counts.items():
+        fields = [F.lit(values[name]).alias(field) for field, values in more.items()]
+        entry = F.array(F.struct(*fields, F.lit(name).alias("type"), n.alias("matches")))
+        parts.append(F.when(n > 0, entry).otherwise(F.slice(entry, 1, 0)))
+    return F.concat(*parts)
 
 
 def leaks(text: Column | str) -> Column:
@@ -137,14 +116,17 @@ def with_dlp_report(
 
     Rows where ``enabled`` is false are let through unread.
     """
-    found = violations(payload)
+    counts = match_counts(payload)
     if enabled is not None:
-        found = F.when(enabled, found).otherwise(F.filter(found, lambda v: F.lit(False)))
-    # Two steps, so that the counts are made once and read twice.
-    return frame.withColumn("violations", found).withColumns(
-        {
-            "safe": F.size("violations") == 0,
-            "action": action(F.size("violations") > 0),
-            "is_null": F.col(payload).isNull(),
-        }
+        counts = {k: F.when(enabled, n).otherwise(0) for k, n in counts.items()}
+    # In steps, so that each count is made once.
+    counted = frame.withColumns({f"_n_{k}": n for k, n in counts.items()})
+    columns = {k: F.col(f"_n_{k}") for k in counts}
+    unsafe = reduce(or_, (n > 0 for n in columns.values()))
+    return counted.select(
+        *frame.columns,
+        kept(columns).alias("violations"),
+        (~unsafe).alias("safe"),
+        action(unsafe).alias("action"),
+        F.col(payload).isNull().alias("is_null"),
     )

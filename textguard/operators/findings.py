@@ -34,16 +34,11 @@ def findings(
     frame: DataFrame, key: str, text: str, rules: Sequence[Rule] = INJECTION + DLP
 ) -> DataFrame:
     """One row per text and rule that matched: ``key``, ``kind``, ``rule_id``, ``matches``."""
+    counts = rule_counts(text, rules)
     kinds = {r.rule_id: r.kind for r in rules}
-    found = F.array(
-        *(
-            F.struct(
-                F.lit(kinds[i]).alias("kind"), F.lit(i).alias("rule_id"), n.alias("matches")
-            )
-            for i, n in rule_counts(text, rules).items()
-        )
-    )
-    return frame.select(key, F.inline(F.filter(found, lambda f: f["matches"] > 0)))
+    counted = frame.select(key, *(n.alias(f"_n_{i}") for i, n in counts.items()))
+    found = egress.kept({i: F.col(f"_n_{i}") for i in counts}, kind=kinds)
+    return counted.select(key, F.inline(found)).withColumnRenamed("type", "rule_id")
 
 
 def rule_monitor(
