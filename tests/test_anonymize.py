@@ -12,7 +12,7 @@ PARTS = ["/home/", "~/", "a", ".json", ".env", " ", "\t", "\x1d", "\xa0", "\xe9"
 
 def test_known_queries(spark):
     queries = [
-        "how to read a configuration file located at /home/zeus/secrets.json inside python",
+        "how to read a configuration file located at /home/ana/secrets.json inside python",
         ".env", "", " \t",
     ]
     rows = spark.createDataFrame([(q,) for q in queries], "q string").select(

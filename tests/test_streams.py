@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from textguard.functions import egress, inbound
-from textguard.operators import events
+from textguard.operators import events, findings
 from textguard.plans import planted
 from textguard.streaming import streams
 
@@ -41,6 +41,20 @@ def test_block_and_allow_rows_part(spark, tmp_path):
     assert not blocked.filter("safe").count()
 
 
+def test_event_log_from_a_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "log")
+    _rows(spark, 0, 160).write.parquet(source)
+    stream = streams.read_files(spark, source, spark.read.parquet(source).schema)
+    day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("id") % 3).cast("int"))
+    log = events.as_events(findings.findings(stream, "id", "t"), "id", day)
+    log = log.withColumn("event_day", F.to_date("event_time"))
+    _run(log, out, tmp_path, partition_by="event_day")
+    back = spark.read.parquet(out)
+    batch = events.as_events(findings.findings(_rows(spark, 0, 160), "id", "t"), "id", day)
+    assert sorted(back.drop("event_day").collect()) == sorted(batch.collect())
+    assert back.select("event_day").distinct().count() == 3
+
+
 def _events(spark, minutes, kind):
     at = F.timestamp_add("MINUTE", F.col("m"), F.lit("2024-05-01 00:00:00").cast("timestamp"))
     frame = spark.createDataFrame([(m,) for m in minutes], "m int")
