@@ -31,7 +31,7 @@ def test_each_open_text_is_scored_once(frame):
 
 
 def test_a_model_out_of_reach_leaves_the_texts(frame):
-    verdicts = second.score(second.candidates(frame, "t"), bad_words, "m1", batch_rows=1)
+    verdicts = second.score(second.candidates(frame, "t"), bad_words, "m1", batch_rows=1, tasks=3)
     status = {r.text_hash: (r.verdict, r.status) for r in verdicts.collect()}
     assert sorted(s for _, s in status.values()) == ["ok", "ok", "ok", "unavailable"]
     rows = sorted(second.apply_verdicts(frame, verdicts, "t", ["id"]).collect())

@@ -1,3 +1,5 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from textguard.functions import egress, inbound
@@ -74,6 +76,9 @@ def test_live_counts(spark, tmp_path):
 
     assert step([1, 2, 61], "a") == {(0, "a"): 2, (1, "a"): 1}  # the open window is there too
     assert step([3, 62, 170], "b") == {(0, "a"): 2, (0, "b"): 1, (1, "a"): 1, (1, "b"): 1, (2, "b"): 1}
+    today, later = dt.date(2024, 5, 1), dt.date(2024, 5, 2)
+    assert streams.current_counts(spark, out, ["kind"], since=today).count() == 5
+    assert streams.current_counts(spark, out, ["kind"], since=later).isEmpty()
     # Minute 170 closed everything before 140: the late row is dropped, the others count.
     assert step([4, 175, 150], "a") == {
         (0, "a"): 2, (0, "b"): 1, (1, "a"): 1, (1, "b"): 1, (2, "b"): 1, (2, "a"): 2

@@ -27,10 +27,12 @@ def as_events(findings: DataFrame, key: str, event_time: Column) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append to the log, one folder per day, so that a feed reads only the days it asks for."""
-    events.withColumn("event_day", F.to_date("event_time")).write.mode("append").partitionBy(
-        "event_day"
-    ).parquet(path)
+    """Append to the log, one folder per day, so that a feed reads only the days it asks for.
+
+    Rebalancing by day keeps the files few; Spark splits a day that is large.
+    """
+    daily = events.withColumn("event_day", F.to_date("event_time"))
+    daily.hint("rebalance", "event_day").write.mode("append").partitionBy("event_day").parquet(path)
 
 
 def event_feed(

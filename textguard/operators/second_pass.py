@@ -58,12 +58,14 @@ def score(
     make_scorer: Callable[[str], Scorer],
     model_name: str,
     batch_rows: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run a model over ``prompts`` and write the verdict table.
 
     ``make_scorer(model_name)`` is called once per task and gives a function from a series of
     prompts to a series of answers (None for no answer). ``ScorerUnavailable`` leaves the
-    batch without verdicts; any other error fails the job.
+    batch without verdicts; any other error fails the job. ``tasks`` spreads few prompts over
+    more tasks than their size asks for, which pays where a model is slow.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +85,10 @@ def score(
                     }
                 )
 
-    scored = prompts.select("text_hash", "prompt").mapInPandas(run, VERDICT_SCHEMA)
+    prompts = prompts.select("text_hash", "prompt")
+    if tasks:
+        prompts = prompts.repartition(tasks, "text_hash")
+    scored = prompts.mapInPandas(run, VERDICT_SCHEMA)
     return written(scored, "verdicts")  # a later join would otherwise score again
 
 

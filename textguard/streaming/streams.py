@@ -70,13 +70,19 @@ def keep_counts(
 ) -> StreamingQuery:
     """Keep window counts current under ``path``; read them with ``current_counts``.
 
-    Each batch writes the windows it changed to a folder of its own. A batch that is run again
-    overwrites its folder, so nothing is counted twice. Open windows are there from their
-    first event on, which append mode would hold back.
+    Each batch writes the windows it changed to folders of its own, below those of their days. A
+    batch that is run again overwrites its folders, so nothing is counted twice. Open windows
+    are there from their first event on, which append mode would hold back.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        changed = batch.select(
+            "*", F.to_date("window_start").alias("day"), F.lit(batch_id).alias("batch_id")
+        )
+        # Counts are few: one file per day and batch.
+        changed.repartition("day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("day", "batch_id").parquet(path)
 
     writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     if available_now:
@@ -84,10 +90,11 @@ def keep_counts(
     return writer.foreachBatch(write).start()
 
 
-def current_counts(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
-    """The newest count of each window."""
-    return (
-        spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-        .groupBy("window_start", *by)
-        .agg(F.max_by("n", "batch_id").alias("n"))
-    )
+def current_counts(
+    spark: SparkSession, path: str, by: Sequence[str], since: object = None
+) -> DataFrame:
+    """The newest count of each window; ``since`` reads only the days from that one on."""
+    counts = spark.read.parquet(path)
+    if since is not None:
+        counts = counts.filter(F.col("day") >= F.lit(since))
+    return counts.groupBy("window_start", *by).agg(F.max_by("n", "batch_id").alias("n"))
