@@ -479,10 +479,11 @@ def settings_guarded(spark, folder):
 # --- streams -------------------------------------------------------------------------------
 
 
-def _stream(spark, folder, name):
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+def _stream(spark, folder, name, *keys):
+    batch = spark.read.parquet(f"{folder}/{name}.parquet")
     # As a pattern the path may name one file or a folder of files.
-    return streams.read_files(spark, f"{folder}/{name}[.]parquet", schema)
+    stream = streams.read_files(spark, f"{folder}/{name}[.]parquet", batch.schema)
+    return spread(stream, *keys, like=batch) if keys else stream
 
 
 def _landed(spark, stream, name, partition_by=None):
@@ -495,7 +496,7 @@ def _landed(spark, stream, name, partition_by=None):
 
 
 def _stream_documents(spark, folder):
-    rows = _stream(spark, folder, "documents").select("doc_id", "text")
+    rows = _stream(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return rows.withColumn("text", planted.with_phrase("text", F.col("doc_id")))
 
 

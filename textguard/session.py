@@ -73,12 +73,13 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
+def spread(frame: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """Repartition a scan that yields fewer partitions than there are cores.
 
     A table of many files passes unchanged; one small file would otherwise keep the regex
-    work in a single task. ``keys`` should be (nearly) unique columns.
+    work in a single task. ``keys`` should be (nearly) unique columns. For a stream, ``like`` is
+    a batch scan of the same files.
     """
     want = frame.sparkSession.sparkContext.defaultParallelism
-    have = frame.rdd.getNumPartitions()  # plan metadata only, nothing is run
+    have = (like or frame).rdd.getNumPartitions()  # plan metadata only, nothing is run
     return frame if have >= want else frame.repartition(want, *keys)
