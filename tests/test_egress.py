@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from textguard.functions import egress
+from textguard.sources import rules
 
 PARTS = {
     "markdown_pixel": ["![", "![a](http://x", "](http://", "](https://h", ".png?", ".GIF?", ".jpg?z",
@@ -53,7 +54,7 @@ def test_same_as_plain_python(spark):
         egress.leaks("t").alias("leaks"),
     ).collect()
     reported = {r.t: r for r in egress.with_dlp_report(frame, "t").collect()}
-    seen = dict.fromkeys(egress.DETECTORS, 0)
+    seen = dict.fromkeys(brute.OUTBOUND, 0)
     for r in rows:
         expected = brute.counts(r.t)
         assert r.n.asDict() == expected, r.t
@@ -94,3 +95,23 @@ def test_reports(spark):
     ]
     off = egress.with_dlp_report(frame, "t", enabled=F.lit(False)).collect()
     assert {(r.safe, r.action, len(r.violations)) for r in off} == {(True, "ALLOW", 0)}
+
+
+def test_detectors_can_be_added_changed_and_switched_off(spark):
+    chosen = rules.toggle(rules.DLP, env_variable=False) + (
+        rules.Rule("card", 5, "dlp", "pii_leak_prevention", r"\b\d{4}-\d{4}\b"),
+    )
+    changed = (rules.Rule("api_key", 1, "dlp", "pii_leak_prevention", "open sesame"),)
+    texts = ["AWS_A=b", "1234-5678 and 1111-2222", "open sesame", "key-abcdefghijklmn 1234-5678"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+
+    def found(rule_set):
+        rows = egress.with_dlp_report(frame, "t", rule_set).select(
+            "safe", "violations", egress.leaks("t", rule_set).alias("leaks")
+        ).collect()
+        assert all(r.leaks != r.safe for r in rows)
+        return [[tuple(v) for v in r.violations] for r in rows]
+
+    assert found(chosen) == [[], [("card", 2)], [], [("api_key", 1), ("card", 1)]]
+    assert found(changed) == [[], [], [("api_key", 1)], []]
+    assert found(()) == [[], [], [], []]

@@ -7,6 +7,7 @@ the text, so whole texts are scanned and no length limit is needed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from textguard.functions import fixed
 from textguard.functions.dialect import PREFIX, SPACE, to_java
-
-DETECTORS = ("api_key", "env_variable", "dns_exfiltration", "markdown_pixel")
+from textguard.functions.inbound import rule_hits
+from textguard.sources.rules import DLP, Rule
 
 # A key word can only begin with one of these letters; testing that first is cheaper.
 _KEY = PREFIX + "(?=[sSpPkKtT\u017f\u212a])" + to_java(fixed.API_KEY).removeprefix(PREFIX)
@@ -70,14 +71,32 @@ def _count(n: Column) -> Column:
     return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
-def match_counts(text: Column | str) -> dict[str, Column]:
-    """Non-overlapping matches per detector, in report order; NULL text counts nothing."""
+def _builtin(rule: Rule) -> bool:
+    """Is this a detector as it came? One that was changed is used as it is written."""
+    return any(rule.rule_id == r.rule_id and rule.pattern == r.pattern for r in DLP)
+
+
+def match_counts(text: Column | str, rules: Sequence[Rule] = DLP) -> dict[str, Column]:
+    """Non-overlapping matches of each enabled rule, by id in the given order.
+
+    NULL text counts nothing.
+    """
     text = _column(text)
-    env = F.when(_contains_any(text, _ENV_STARTS), F.regexp_count(text, F.lit(_ENV)))
-    dns = F.when(_contains_any(text, _DNS_ENDS), F.regexp_count(text, F.lit(_DNS)))
-    pixel = F.when(_may_hold_pixel(text), F.size(pixel_urls(text)))
-    counts = (F.regexp_count(text, F.lit(_KEY)), env, dns, pixel)
-    return {name: _count(n) for name, n in zip(DETECTORS, counts)}
+    found = {
+        "api_key": F.regexp_count(text, F.lit(_KEY)),
+        "env_variable": F.when(
+            _contains_any(text, _ENV_STARTS), F.regexp_count(text, F.lit(_ENV))
+        ),
+        "dns_exfiltration": F.when(
+            _contains_any(text, _DNS_ENDS), F.regexp_count(text, F.lit(_DNS))
+        ),
+        "markdown_pixel": F.when(_may_hold_pixel(text), F.size(pixel_urls(text))),
+    }
+    return {
+        r.rule_id: _count(found[r.rule_id]) if _builtin(r) else rule_hits(text, r)
+        for r in rules
+        if r.enabled
+    }
 
 
 def kept(counts: dict[str, Column], **more: dict[str, str]) -> Column:
@@ -85,24 +104,30 @@ def kept(counts: dict[str, Column], **more: dict[str, str]) -> Column:
 
     ``more`` adds fields that depend on the type. The counts are named twice: pass columns.
     """
-    parts = []
+    names = "".join(f"{field}:string," for field in more)
+    parts = [F.array().cast(f"array<struct<{names}type:string,matches:bigint>>")]
     for name, n in counts.items():
         fields = [F.lit(values[name]).alias(field) for field, values in more.items()]
         entry = F.array(F.struct(*fields, F.lit(name).alias("type"), n.alias("matches")))
-        parts.append(F.when(n > 0, entry).otherwise(F.slice(entry, 1, 0)))
+        parts.append(F.when(n > 0, entry).otherwise(parts[0]))
     return F.concat(*parts)
 
 
-def leaks(text: Column | str) -> Column:
-    """Does any detector match? The cheap ones are asked first and the first hit ends it."""
+def leaks(text: Column | str, rules: Sequence[Rule] = DLP) -> Column:
+    """Does any enabled rule match? Cheap tests are made first and the first hit ends it."""
     text = _column(text)
-    found = (
-        (_contains_any(text, _DNS_ENDS) & F.rlike(text, F.lit(_DNS)))
-        | (_contains_any(text, _ENV_STARTS) & F.rlike(text, F.lit(_ENV)))
-        | F.rlike(text, F.lit(_KEY))
-        | (_may_hold_pixel(text) & (F.size(pixel_urls(text)) > 0))
-    )
-    return F.coalesce(found, F.lit(False))
+    found = {
+        "dns_exfiltration": _contains_any(text, _DNS_ENDS) & F.rlike(text, F.lit(_DNS)),
+        "env_variable": _contains_any(text, _ENV_STARTS) & F.rlike(text, F.lit(_ENV)),
+        "markdown_pixel": _may_hold_pixel(text) & (F.size(pixel_urls(text)) > 0),
+        "api_key": F.rlike(text, F.lit(_KEY)),
+    }
+    builtin = {r.rule_id for r in rules if r.enabled and _builtin(r)}
+    tests = [test for name, test in found.items() if name in builtin]
+    tests += [
+        F.rlike(text, F.lit(r.java)) for r in rules if r.enabled and not _builtin(r)
+    ]
+    return F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False))
 
 
 def action(unsafe: Column) -> Column:
@@ -110,19 +135,22 @@ def action(unsafe: Column) -> Column:
 
 
 def with_dlp_report(
-    frame: DataFrame, payload: str, enabled: Column | None = None
+    frame: DataFrame,
+    payload: str,
+    rules: Sequence[Rule] = DLP,
+    enabled: Column | None = None,
 ) -> DataFrame:
     """Add ``safe``, ``violations`` and ``action``, and ``is_null`` for a missing payload.
 
     Rows where ``enabled`` is false are let through unread.
     """
-    counts = match_counts(payload)
+    counts = match_counts(payload, rules)
     if enabled is not None:
         counts = {k: F.when(enabled, n).otherwise(0) for k, n in counts.items()}
     # In steps, so that each count is made once.
     counted = frame.withColumns({f"_n_{k}": n for k, n in counts.items()})
     columns = {k: F.col(f"_n_{k}") for k in counts}
-    unsafe = reduce(or_, (n > 0 for n in columns.values()))
+    unsafe = reduce(or_, (n > 0 for n in columns.values()), F.lit(False))
     return counted.select(
         *frame.columns,
         kept(columns).alias("violations"),

@@ -8,33 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import egress, inbound
 from textguard.sources.rules import DLP, INJECTION, Rule
 
 
-def rule_counts(text: Column | str, rules: Sequence[Rule]) -> dict[str, Column]:
-    """Matches per rule id, in the given order."""
-    dlp = egress.match_counts(text)
-    builtin = {r.rule_id: r.pattern for r in DLP}
-    return {
-        r.rule_id: (
-            dlp[r.rule_id]
-            if builtin.get(r.rule_id) == r.pattern
-            else inbound.rule_hits(text, r)
-        )
-        for r in rules
-        if r.enabled
-    }
-
-
 def findings(
     frame: DataFrame, key: str, text: str, rules: Sequence[Rule] = INJECTION + DLP
 ) -> DataFrame:
     """One row per text and rule that matched: ``key``, ``kind``, ``rule_id``, ``matches``."""
-    counts = rule_counts(text, rules)
+    counts = egress.match_counts(text, rules)
     kinds = {r.rule_id: r.kind for r in rules}
     counted = frame.select(key, *(n.alias(f"_n_{i}") for i, n in counts.items()))
     found = egress.kept({i: F.col(f"_n_{i}") for i in counts}, kind=kinds)
@@ -49,7 +34,7 @@ def rule_monitor(
     One aggregation carries all rules at once and is combined before the shuffle; the rules
     become rows only after it.
     """
-    counts = rule_counts(text, rules)
+    counts = egress.match_counts(text, rules)
     kinds = {r.rule_id: r.kind for r in rules}
     counted = frame.select(*by, *(n.alias(f"n_{i}") for i, n in counts.items()))
     totals = counted.groupBy(*by).agg(
@@ -75,11 +60,12 @@ def overview(
     inbound_text: str,
     outbound_text: str,
     rules: Sequence[Rule] | None = None,
+    dlp_rules: Sequence[Rule] = DLP,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Requests seen, injections blocked and leak events, overall or per group."""
     return frame.groupBy(*by).agg(
         F.count("*").alias("requests"),
         F.count_if(inbound.hit(inbound_text, rules)).alias("injections_blocked"),
-        F.count_if(egress.leaks(outbound_text)).alias("dlp_events"),
+        F.count_if(egress.leaks(outbound_text, dlp_rules)).alias("dlp_events"),
     )

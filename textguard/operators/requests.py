@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textguard.functions import egress, fixed, inbound, model
 from textguard.operators.joins import lookup_join
 from textguard.operators.second_pass import condemned, text_hash
-from textguard.sources.rules import Rule
+from textguard.sources.rules import DLP, Rule
 
 
 def sanitize_items(
@@ -126,7 +126,9 @@ def item_pages(
     return items.groupBy(request_id, page.alias("page")).agg(without_rank.alias("results"))
 
 
-def pair_report(pairs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+def pair_report(
+    pairs: DataFrame, rules: Sequence[Rule] | None = None, dlp_rules: Sequence[Rule] = DLP
+) -> DataFrame:
     """Inbound verdict, outbound report and the agent's status for each pair of texts.
 
     One projection over one scan.
@@ -134,6 +136,7 @@ def pair_report(pairs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFr
     reported = egress.with_dlp_report(
         pairs.withColumn("sanitized_inbound_preview", inbound.sanitize("incoming_content", rules)),
         "outbound_intent",
+        dlp_rules,
     )
     return with_agent_status(reported)
 

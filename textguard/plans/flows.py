@@ -14,7 +14,7 @@ from textguard.operators import second_pass as second
 from textguard.session import written
 from textguard.sources import search
 from textguard.sources.requests import split_valid_pairs, split_valid_requests
-from textguard.sources.rules import INJECTION, Rule
+from textguard.sources.rules import DLP, INJECTION, Rule
 
 MakeScorer = Callable[[str], second.Scorer]
 
@@ -69,16 +69,19 @@ def sanitize_flow(
 def pair_flow(
     pairs: DataFrame,
     rules: Sequence[Rule] | None = None,
+    dlp_rules: Sequence[Rule] = DLP,
     make_scorer: MakeScorer | None = None,
     model_name: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Pair reports and the invalid pairs with a reason."""
     valid, invalid = split_valid_pairs(pairs)
     if not make_scorer:
-        return req.pair_report(valid, rules), invalid
+        return req.pair_report(valid, rules, dlp_rules), invalid
     column = "sanitized_inbound_preview"
     clean = egress.with_dlp_report(
-        valid.withColumn(column, inbound.sanitize("incoming_content", rules)), "outbound_intent"
+        valid.withColumn(column, inbound.sanitize("incoming_content", rules)),
+        "outbound_intent",
+        dlp_rules,
     )
     clean = written(second.hashed(clean, column), "pairs")
     verdicts = second.score(second.candidates(clean, column), make_scorer, model_name)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textguard.functions import egress, inbound
-from textguard.sources.rules import Rule
+from textguard.sources.rules import DLP, Rule
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None):
@@ -28,9 +28,9 @@ def sanitized(stream: DataFrame, text: str, rules: Sequence[Rule] | None = None)
     )
 
 
-def decided(stream: DataFrame, payload: str) -> DataFrame:
+def decided(stream: DataFrame, payload: str, rules: Sequence[Rule] = DLP) -> DataFrame:
     """Add the leak report; written with ``partition_by='action'``, BLOCK and ALLOW rows part."""
-    return egress.with_dlp_report(stream, payload)
+    return egress.with_dlp_report(stream, payload, rules)
 
 
 def counted(
