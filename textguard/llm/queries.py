@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textguard.llm import bpe, token_count
+from textguard.llm import bpe, simhash, token_count
 from textguard.llm.common import table
+from textguard.session import written
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +19,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    prints = written(simhash.fingerprinted(docs, shingle=3).drop("text"), "fingerprints")
+    groups = simhash.clustered(prints, F.col("doc_id"), distance=3)
+    return groups.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -26,6 +35,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
 }
 
