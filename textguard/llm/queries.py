@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, simhash, token_count
+from textguard.llm import bpe, quality, simhash, token_count, toxicity
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -19,6 +19,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     prints = written(simhash.fingerprinted(docs, shingle=3).drop("text"), "fingerprints")
@@ -26,6 +33,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    return quality.judged(docs, quality.fit(docs, labels)).drop("text")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -35,7 +48,9 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
 }
 
