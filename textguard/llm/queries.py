@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, quality, simhash, token_count, toxicity
+from textguard.llm import bpe, mixing, quality, simhash, token_count, toxicity
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -46,12 +46,19 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return limited.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mix = mixing.mixed(docs, ["doc_id"])
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
