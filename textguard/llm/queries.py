@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, mixing, quality, simhash, token_count, toxicity, warc
+from textguard.llm import bpe, html_text, mixing, quality, simhash, token_count, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -26,6 +26,12 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_text.main_text(pages, html_text.train())
+    return html_text.with_length(found).select("page_id", "url", "text", "n_chars")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     prints = written(simhash.fingerprinted(docs, shingle=3).drop("text"), "fingerprints")
@@ -60,6 +66,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
