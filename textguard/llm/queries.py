@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, html_text, mixing, quality, simhash, token_count, toxicity, warc
+from textguard.llm import bpe, embedding, html_text, mixing, quality, simhash, token_count, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -26,6 +26,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return embedding.near_duplicates(vectors, threshold=0.93)
+
+
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_text.main_text(pages, html_text.train())
@@ -66,6 +71,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_embedding": op4_embedding,
     "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
@@ -76,6 +82,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op4_embedding": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL
+        ), u AS (
+            SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+            WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE a.norm > 0 AND b.norm > 0
+              AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+        ), reach AS (
+            SELECT a AS vec_id, b AS other FROM l
+            UNION
+            SELECT reach.vec_id, l.b FROM reach JOIN l ON reach.other = l.a
+        ), c AS (
+            SELECT vec_id, min(other) AS least FROM reach GROUP BY vec_id
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links,
+               least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
+        FROM embeddings e
+        LEFT JOIN n ON n.vec_id = e.vec_id
+        LEFT JOIN c ON c.vec_id = e.vec_id
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
