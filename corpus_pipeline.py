@@ -4,13 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textguard.session import written
+from textguard.llm import bpe, mixing, pii, quality, simhash
+from textguard.llm.queries import KEY
+from textguard.session import spread, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: No stage can be said in SQL.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the line labels keep."""
+    docs = spread(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.keep(docs, quality.fit(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of five words."""
+    return simhash.one_of_each(spread(docs), shingle=5, distance=3, prints=4)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; ``n_chars`` counts the new text."""
+    made = pii.pseudonymised(spread(docs), KEY, count="__count").drop("__count")
+    return made.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(spread(docs), ["doc_id"])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and whether they decode to the text again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(spread(docs), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, path)
+    same = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return decoded.select(
+        "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless")
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing_sources", mixing_sources),
+    ("tokens", tokens),
+]
+
+#: Line labels, SimHash, keyed surrogates and merges cannot be said in SQL.
 ORACLE_SQL = None
 
 

@@ -37,8 +37,8 @@ def test_fingerprint():
     for n in (0, 1, 2, 3, 4, 30, 700):
         text = " \n".join(rng.choice(["Ab", "é", "the", "X1", "zz"]) for _ in range(n))
         for k in (1, 3, 5):
-            assert simhash.fingerprint(text, k) & (1 << 64) - 1 == plain_print(text, k)
-    assert simhash.fingerprint("a b " * 70_000, 3) & (1 << 64) - 1 == plain_print("a b " * 70_000, 3)
+            assert simhash.fingerprints(text, k)[0] & (1 << 64) - 1 == plain_print(text, k)
+    assert simhash.fingerprints("a b " * 70_000, 3)[0] & (1 << 64) - 1 == plain_print("a b " * 70_000, 3)
 
 
 def test_near_pairs(spark):
@@ -87,6 +87,23 @@ def test_edge_rows(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_more_prints_find_more(spark):
+    rng = random.Random(8)
+    rows, kept_most = [], 0
+    for i in range(120):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+        rows.append((10 * i, " ".join(words)))
+        words[rng.randrange(300)] = "changed"
+        words[rng.randrange(300)] = "changed"
+        rows.append((10 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for prints in (1, 4):
+        kept = {r.doc_id for r in simhash.one_of_each(docs, prints=prints).collect()}
+        assert {10 * i for i in range(120)} <= kept
+        kept_most, before = len(kept), kept_most
+    assert kept_most < before - 20
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()

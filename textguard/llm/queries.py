@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, embedding, html_text, mixing, quality, simhash, token_count, toxicity, warc
+from textguard.llm import bpe, embedding, html_text, mixing, pii, quality, simhash, token_count, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -19,6 +19,15 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+#: The key of the registered queries. A deployment keeps its own.
+KEY = b"registered queries"
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, KEY)
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
@@ -70,6 +79,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_embedding": op4_embedding,
     "op5_html_text": op5_html_text,
@@ -84,12 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op4_embedding": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND label IS NOT NULL
         ), u AS (
             SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
-            WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), l AS (
             SELECT a.vec_id AS a, b.vec_id AS b
             FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id

@@ -22,16 +22,16 @@ SEGMENT = 2
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
-    """The SimHash of a text, as a signed 64-bit integer; 0 for a text without words.
+def fingerprints(text: str, shingle: int, prints: int = 1, seed: int = 42) -> list[int]:
+    """SimHashes of a text, as signed 64-bit integers; all 0 for a text without words.
 
     A-Z are lowered, words are split at ASCII white space, shingles are runs of ``shingle`` words
     with repeats (a shorter text is one shingle). A bit is 1 if it is set in over half of the
-    shingles' XXH64.
+    shingles' hashes. The first hash is XXH64, the others are mixed from it.
     """
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return [0] * prints
     whole = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -39,17 +39,27 @@ def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((prints, BITS), np.int64)
     for at in range(0, n, CHUNK):
         pairs = zip(starts[at : min(n, at + CHUNK)].tolist(), last[at : at + CHUNK].tolist())
         hashes = np.array([digest(whole[a:b], seed) for a, b in pairs], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # Sums of up to 255 rows fit a byte, which is several times faster than wide sums.
-        head = len(bits) // 255 * 255
-        counts += np.add.reduce(bits[:head].reshape(-1, 255, BITS), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
-        counts += bits[head:].sum(0, dtype=np.int64)
-    packed = np.packbits((2 * counts > n).astype(np.uint8), bitorder="little")
-    return int(packed.view("<i8")[0])
+        for which in range(prints):
+            own = _mixed(hashes, which) if which else hashes
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            # Sums of up to 255 rows fit a byte, which is several times faster than wide sums.
+            head = len(bits) // 255 * 255
+            small = np.add.reduce(bits[:head].reshape(-1, 255, BITS), axis=1, dtype=np.uint8)
+            counts[which] += small.sum(0, dtype=np.int64) + bits[head:].sum(0, dtype=np.int64)
+    packed = np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little")
+    return packed.view("<i8")[:, 0].tolist()
+
+
+def _mixed(hashes: np.ndarray, which: int) -> np.ndarray:
+    """Other 64-bit hashes of the same shingles."""
+    z = hashes + np.uint64(which * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
 
 
 def fingerprinted(frame: DataFrame, shingle: int, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -60,7 +70,7 @@ def fingerprinted(frame: DataFrame, shingle: int, text: str = "text", out: str =
 
     def make() -> Callable[[pa.RecordBatch], Columns]:
         return lambda batch: {
-            out: pa.array([fingerprint(t, shingle) for t in texts(batch, text)], pa.int64())
+            out: pa.array([fingerprints(t, shingle)[0] for t in texts(batch, text)], pa.int64())
         }
 
     return append(frame, make, [T.StructField(out, T.LongType())])
@@ -142,17 +152,41 @@ def as_hex(fingerprint: str) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
+def one_of_each(
+    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3, prints: int = 4
+) -> DataFrame:
     """The rows of a frame without near-duplicates: of each group that with the smallest key.
 
-    Of repeated keys one row stays. The frame is written once with its fingerprints; groups are
-    found on keys alone. Columns and their order stay.
+    Texts link if any of their ``prints`` SimHashes differ in at most ``distance`` bits; several
+    hashes find more of the texts that are only somewhat alike. Texts without words are one
+    group. Null keys come last, and of repeated keys one row stays. The frame is written once
+    with its fingerprints, groups are found on them alone, and columns and their order stay.
     """
     columns = frame.columns
-    marked = fingerprinted(frame, shingle, text, "__print").withColumn("__row", F.monotonically_increasing_id())
-    marked = written(marked, "fingerprinted")
-    narrow = marked.select(F.col("__print").alias("fingerprint"), F.col(key).alias("__key"), "__row")
-    # Null keys come last within a group.
-    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
-    kept = clustered(narrow, order).filter(F.col("component_id.row") == F.col("__row")).select("__row")
+
+    def make() -> Callable[[pa.RecordBatch], Columns]:
+        kind = pa.list_(pa.int64())
+        return lambda batch: {
+            "__prints": pa.array([fingerprints(t, shingle, prints) for t in texts(batch, text)], kind)
+        }
+
+    marked = append(frame, make, [T.StructField("__prints", T.ArrayType(T.LongType()))])
+    marked = written(marked.withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    narrow = marked.select("__prints", order.alias("order"))
+    classes = narrow.groupBy("__prints").agg(F.min("order").alias("order"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    links = None
+    for which in range(prints):
+        one = classes.select("id", F.col("__prints")[which].alias("fingerprint"))
+        firsts = written(one.groupBy("fingerprint").agg(F.min("id").alias("first")), "firsts")
+        same = one.join(firsts, "fingerprint").select(F.col("id").alias("a"), F.col("first").alias("b"))
+        near = near_pairs(firsts.select("fingerprint"), distance)
+        for end in ("a", "b"):
+            near = near.join(firsts.withColumnsRenamed({"fingerprint": end, "first": f"__{end}"}), end)
+        both = same.unionByName(near.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+        links = both if links is None else links.unionByName(both)
+    joined = components(links)
+    grouped = classes.join(joined, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    kept = grouped.groupBy("group").agg(F.min("order").alias("least")).select(F.col("least.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*columns)
