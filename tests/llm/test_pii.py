@@ -16,9 +16,9 @@ def test_detection():
         "+1 (212) 555-0100 (212) 555-0100 212-555-0100 +1!! (212)!! 555-0100!!": ["phone:12125550100"] * 4,
         "from 10.1.2.3 4111 1111 1111 1111 300.1.1.1 1.2.3": ["ip:10.1.2.3", "card:4111111111111111"],
         "4111111111111111 5500000000000004 12 34": ["card:4111111111111111", "card:5500000000000004"],
-        "DE89 3702 0044 0532 0130 00, DE88 3702 0044 0532 0130 00": ["iban:DE89370400440532013000"[:0] or "iban:DE89370200440532013000"],
+        "DE89 3704 0044 0532 0130 00, DE88 3704 0044": ["iban:DE89370400440532013000"],
         'k = "0123456789ABCDEF0123456789abcdef"': [],
-        'k = "0123456789abcdef0123456789abcdef" 078-05-1120': ["secret:0123456789abcdef0123456789abcdef", "ssn:078-05-1120".replace("-", "")],
+        'k = "0123456789abcdef0123456789abcdef" 078-05-1120': ["secret:0123456789abcdef0123456789abcdef", "ssn:078051120"],
         "Mrs. Vera Stone and Mr Stone": ["given_f_latin:vera", "surname_latin:stone", "surname_latin:stone"],
         "Dr. Maria Curie; Иван Петров; the John doe": ["given_f_latin:maria", "surname_latin:curie", "given_m_cyrillic:иван", "surname_cyrillic:петров"],
         "Licensed under CC BY-NC 4.0. Version 2.0, 1234567 items": [],
@@ -26,10 +26,7 @@ def test_detection():
     }
     for text, want in cases.items():
         found = [f"{e.kind}:{e.form}" for e in pii.detect(text)]
-        if text.startswith("DE"):
-            assert all(f.startswith("iban:DE") for f in found)
-        else:
-            assert found == want, text
+        assert found == want, text
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 26, 1000])
@@ -60,7 +57,7 @@ def test_formats():
     assert pii.surrogate(KEY, "given_f_latin", "vera")[-1] in "ae"
     assert "а" <= pii.surrogate(KEY, "surname_cyrillic", "петров")[0] <= "я"
     assert pii.replaced("Mr STONE, Mrs. Vera Stone", KEY, {})[1] == 2
-    assert pii.replaced("call (212) 555-0100.", KEY, {})[0] == "call (" + re.search(r"\((\d{3})\) \d{3}-\d{4}", pii.replaced("call (212) 555-0100.", KEY, {})[0])[1] + ") " + pii.replaced("call (212) 555-0100.", KEY, {})[0][12:]
+    assert re.fullmatch(r"call \(\d{3}\) \d{3}-\d{4}\.", pii.replaced("call (212) 555-0100.", KEY, {})[0])
 
 
 def texts(n):
