@@ -12,14 +12,14 @@ PARTS = ["/home/", "~/", "a", ".json", ".env", " ", "\t", "\x1d", "\xa0", "\xe9"
 
 def test_known_queries(spark):
     queries = [
-        "how to read a configuration file located at /home/ana/secrets.json inside python",
+        "why does ~/notes/draft.md crash with app.json on my machine",
         ".env", "", " \t",
     ]
     rows = spark.createDataFrame([(q,) for q in queries], "q string").select(
         anonymize.secured_query("q")
     ).collect()
     assert [r[0] for r in rows] == [
-        "how to read a configuration file located at  inside python documentation context",
+        "why does  crash with  on my machine documentation context",
         ".env documentation context", " documentation context", " documentation context",
     ]
 

@@ -48,4 +48,21 @@ def test_hot_keys_are_spread(spark, sides):
 
 def test_byte_size(spark):
     assert byte_size(spark.range(0)) == 0
-    assert byte_size(spark.range(10)) == 10 * len('{"id":0}')
+    # Rows of few or unset fields still take a word for each field.
+    wide = spark.range(1000).select("id", *(F.lit(None).cast("string").alias(f"c{i}") for i in range(10)))
+    assert byte_size(wide) >= 1000 * (8 * 11 + 8)
+    assert byte_size(spark.range(10)) >= 10 * 24
+
+
+def test_wide_rows_of_hot_keys_are_copied_not_broadcast(spark):
+    n = F.col("id")
+    left = spark.range(30_000).select(
+        F.when(n % 3 == 0, "hot").when(n % 50 == 1, None).otherwise(F.concat(F.lit("k"), n % 40)).alias("k"),
+        n.alias("row"),
+    )
+    keys = spark.createDataFrame([("hot",), *((f"k{i}",) for i in range(30))], "k string")
+    right = keys.withColumn("wide", F.concat("k", F.repeat(F.lit("x"), 3000)))
+    joined = lookup_join(left, right, "k", ["row"], broadcast_bytes=100, hot_rows=5_000)
+    plain = left.join(right, "k", "left")
+    assert joined.columns == ["k", "row", "wide"]
+    assert joined.exceptAll(plain.select(*joined.columns)).isEmpty() and joined.count() == 30_000

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from scorers import bad_words, broken, everything
+from scorers import bad_words, broken, by_name, everything
 
 from textguard.functions import fixed, model
 from textguard.operators import second_pass as second
@@ -42,6 +42,25 @@ def test_a_model_out_of_reach_leaves_the_texts(frame):
     assert [r.malicious for r in rows] == [False, True, True, False, False, False, True]
 
 
+def test_one_text_out_of_reach_leaves_no_other_unanswered(spark):
+    rows = [(f"bad {i}",) for i in range(40)] + [("down",)]
+    prompts = second.candidates(spark.createDataFrame(rows, "t string").coalesce(1), "t")
+    found = [
+        sorted(map(tuple, second.score(prompts, bad_words, "m1", batch_rows=n).collect()))
+        for n in (1, 7, 64)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert [s for _, _, s in found[0]].count("unavailable") == 1
+
+
+def test_each_prompt_by_its_own_model(spark):
+    rows = [("any:1b", "see any:1b"), ("other", "see any:1b"), (None, "x")]
+    frame = spark.createDataFrame(rows, "m string, t string")
+    prompts = second.candidates(frame, "t", F.col("m").isNotNull(), "m").withColumnRenamed("m", "model_name")
+    found = {r.model_name: r.verdict for r in second.score_by_model(prompts, by_name).collect()}
+    assert found == {"any:1b": "MALICIOUS", "other": "SAFE"}
+
+
 def test_other_errors_are_not_hidden(frame):
     with pytest.raises(Exception, match="ZeroDivisionError"):
         second.score(second.candidates(frame, "t"), broken, "m1")

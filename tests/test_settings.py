@@ -83,7 +83,7 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
     judged = flows.settings_flow(
         frame, _profiles(spark, tmp_path), "t", "who", ["id", "t"], make_scorer=by_name
     )
-    assert judged.columns == ["id", "who", "t", "threat"]
+    assert judged.columns == ["id", "who", "t", "threat", "reason"]
     found = sorted(tuple(r) for r in judged.collect())
     expected = []
     for i, name, text in rows:
@@ -91,5 +91,6 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
             text = fixed.SEMANTIC_MARKER
         elif name == "blocks":
             text = text.replace("a.b", fixed.MARKER)
-        expected.append((i, name, text, fixed.MARKER_PREFIX in text))
+        reason = "profile not listed" if name == "odd" else None
+        expected.append((i, name, text, fixed.MARKER_PREFIX in text, reason))
     assert found == sorted(expected)

@@ -74,6 +74,7 @@ def test_live_counts(spark, tmp_path):
         rows = streams.current_counts(spark, out, ["kind"]).collect()
         return {(r.window_start.hour, r.kind): r.n for r in rows}
 
+    assert streams.current_counts(spark, out, ["kind"]).isEmpty()  # nothing is written yet
     assert step([1, 2, 61], "a") == {(0, "a"): 2, (1, "a"): 1}  # the open window is there too
     assert step([3, 62, 170], "b") == {(0, "a"): 2, (0, "b"): 1, (1, "a"): 1, (1, "b"): 1, (2, "b"): 1}
     today, later = dt.date(2024, 5, 1), dt.date(2024, 5, 2)
@@ -85,6 +86,32 @@ def test_live_counts(spark, tmp_path):
     }
 
 
+def test_a_closed_day_is_compacted(spark, tmp_path):
+    source, out, old = (str(tmp_path / n) for n in ("in", "counts", "old"))
+    rows = _events(spark, range(0, 600, 7), "a")
+    rows.write.parquet(source)
+    stream = streams.read_files(spark, source, rows.schema)
+    counts = streams.counted(stream, "ts", ["kind"], "1 hour", "30 minutes")
+    streams.keep_counts(counts, out, str(tmp_path / "p"), available_now=True).awaitTermination()
+    streams.compact(spark, out, ["kind"], dt.date(2024, 5, 1), old)
+    before = streams.current_counts(spark, out, ["kind"])
+    assert sorted(spark.read.parquet(old).collect()) == sorted(before.collect())
+
+
+def test_appending_a_batch_again_does_not_double_it(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.range(50).select(
+        F.timestamp_seconds(F.col("id") * 40_000).alias("event_time"), F.col("id").cast("string").alias("source_id")
+    )
+    for batch in ("a", "b", "a"):
+        events.append_events(rows, log, batch)
+    feed = events.event_feed(spark.read.parquet(log), since="1970-01-03", until="1970-01-05")
+    assert spark.read.parquet(log).count() == 100
+    assert feed.count() == 2 * rows.filter("event_time >= '1970-01-03' AND event_time < '1970-01-05'").count()
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_day" in plan
+
+
 def test_stream_and_batch_windows_agree(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "counts")
     rows = _events(spark, range(0, 600, 7), "a")

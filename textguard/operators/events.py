@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from textguard.operators.joins import BROADCAST_BYTES, byte_size, lookup_join
 from textguard.session import written
 
-_GRID = 1000
 EVENT_SCHEMA = "event_time timestamp, source_id string, kind string, rule_id string, matches bigint"
 
 
@@ -26,13 +25,31 @@ def as_events(findings: DataFrame, key: str, event_time: Column) -> DataFrame:
     )
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
     """Append to the log, one folder per day, so that a feed reads only the days it asks for.
 
-    Rebalancing by day keeps the files few; Spark splits a day that is large.
+    Rebalancing by day keeps the files few; Spark splits a day that is large. ``batch`` names
+    what is appended: appending it again overwrites the folders it has, so a rerun does not
+    double it. A log is written either always with or always without names.
     """
     daily = events.withColumn("event_day", F.to_date("event_time"))
-    daily.hint("rebalance", "event_day").write.mode("append").partitionBy("event_day").parquet(path)
+    if batch is None:
+        daily.hint("rebalance", "event_day").write.mode("append").partitionBy("event_day").parquet(path)
+        return
+    named = daily.withColumn("batch", F.lit(batch)).hint("rebalance", "event_day")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "event_day", "batch"
+    ).parquet(path)
+
+
+def append_stream(
+    events: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append a stream to the log; a micro-batch that is run again overwrites its own events."""
+    writer = events.writeStream.option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.foreachBatch(lambda rows, n: append_events(rows, path, f"{n:010d}")).start()
 
 
 def event_feed(
@@ -42,11 +59,19 @@ def event_feed(
     until: object = None,
     **equals: Sequence[object],
 ) -> DataFrame:
-    """Events in ``[since, until)`` whose named columns hold one of the given values."""
+    """Events in ``[since, until)`` whose named columns hold one of the given values.
+
+    Of a log with day folders only the days asked for are read.
+    """
+    days = "event_day" in events.columns and time == "event_time"
     if since is not None:
         events = events.filter(F.col(time) >= F.lit(since))
+        if days:
+            events = events.filter(F.col("event_day") >= F.lit(since).cast("date"))
     if until is not None:
         events = events.filter(F.col(time) < F.lit(until))
+        if days:
+            events = events.filter(F.col("event_day") <= F.lit(until).cast("date"))
     for name, values in equals.items():
         events = events.filter(F.col(name).isin(*values))
     return events
@@ -72,107 +97,55 @@ def percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles: the ``by`` columns, ``prob``, ``value``.
 
-    Values are put in order only within a bracket around each percentile; those below it are
-    just counted. While a bracket may hold more than ``in_order`` different values, a quantile
-    sketch narrows it some two hundred times, so no task ever sorts a whole group. The table
-    is read when this is called, once and once more per narrowing; the result is small.
+    Equal values are counted first, so a value that fills the table is one row. Where no group
+    has more than ``in_order`` different values, each group's counts are summed in order. Beyond
+    that the counts of all groups are ranged by value over all tasks and the sums of the ranges
+    before are added, so no task puts a whole group in order. Both ways are exact, and neither
+    repeats. Repeated ``probs`` give repeated rows.
     """
+    by = list(by)
     group = F.to_json(F.struct(*by)) if by else F.lit("")
-    values = frame.select(
-        group.alias("_g"), *by, F.col(value).cast("double").alias("_v")
-    ).filter("_v IS NOT NULL")
-    whole = F.array(
-        *(
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.lit(float("-inf")).alias("_low"),
-                F.lit(float("nan")).alias("_high"),  # the largest double
-            )
-            for p in probs
-        )
-    )
-    start = values.groupBy("_g").agg(F.count("*").alias("_n")).select(
-        "_g", "_n", F.col("_n").alias("_size"), whole.alias("_wanted")
-    )
-    start = brackets = written(start, "brackets")
-    in_order = max(in_order, 100)
-    while (brackets.agg(F.max("_size")).first()[0] or 0) > in_order:
-        brackets = written(_narrowed(values, brackets, list(by)), "brackets")
-    result = written(_picked(values, brackets, list(by)), "percentiles")
-    if result.filter(F.col("value").isNotNull()).count() < start.count() * len(probs):
-        # A sketch was off by more than it may be.
-        result = written(_picked(values, start, list(by)), "percentiles")
-    return result
-
-
-def _in_brackets(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """Each value with its group's brackets, one row per percentile; ``_w`` rows each."""
-    if byte_size(brackets) <= BROADCAST_BYTES:
-        weighted = values.withColumn("_w", F.lit(1))
-    else:  # equal values become one row, so that the join can spread a large group by value
-        weighted = values.groupBy("_g", *by, "_v").agg(F.count("*").alias("_w"))
-    return lookup_join(weighted, brackets, "_g", ["_v"]).select(
-        "_g", *by, "_n", "_v", "_w", F.inline("_wanted")
-    )
-
-
-def _rank() -> Column:
-    return (F.col("_n") - 1) * F.col("prob")
-
-
-def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    inside = F.when((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")), F.col("_v"))
-    grid = [i / _GRID for i in range(_GRID + 1)]
-    sketch = _in_brackets(values, brackets, by).groupBy("_g", "_n", "prob").agg(
-        F.sum(F.when(F.col("_v") < F.col("_low"), F.col("_w")).otherwise(0)).alias("_below"),
-        F.sum(F.when(inside.isNotNull(), F.col("_w")).otherwise(0)).alias("_inside"),
-        F.percentile_approx(inside, grid, 10_000).alias("_q"),
-    )
-    # The place of the wanted rank on the grid, with two steps and two rows to either side.
-    inside_rows = F.greatest("_inside", F.lit(1))
-    at = F.floor((_rank() - F.col("_below")) / inside_rows * _GRID)
-    room = F.ceil(2 * _GRID / inside_rows) + 2
-
-    def value_at(place: Column) -> Column:
-        return F.element_at("_q", F.greatest(F.least(place, F.lit(_GRID)), F.lit(0)).cast("int") + 1)
-
-    low, high = value_at(at - room), value_at(at + 1 + room)
-    size = F.when(F.col("_low") == F.col("_high"), 1).otherwise(
-        F.ceil(F.col("_inside") * (2 * room + 2) / _GRID)
-    )
-    return (
-        sketch.select(
-            "_g", "_n", "prob", "_inside", low.alias("_low"), high.alias("_high")
-        )
-        .withColumn("_size", size)
-        .groupBy("_g", "_n")  # one row per percentile asked for
-        .agg(
-            F.max("_size").alias("_size"),
-            F.collect_list(F.struct("prob", "_low", "_high")).alias("_wanted"),
-        )
-    )
-
-
-def _picked(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    counts = (
-        _in_brackets(values, brackets, by)
-        .filter("_v <= _high")
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))  # NULL: below
-        .groupBy("_g", *by, "prob", "_n", "_v").agg(F.sum("_w").alias("_c"))
-    )
-    order = Window.partitionBy("_g", "prob").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    at = F.floor(_rank())
+    values = frame.select(group.alias("_g"), *by, F.col(value).cast("double").alias("_v"))
+    counts = values.filter("_v IS NOT NULL").groupBy("_g", *by, "_v").agg(F.count("*").alias("_c"))
+    counts = written(counts, "value-counts")
+    sizes = counts.groupBy("_g").agg(F.count("*").alias("_different"), F.sum("_c").alias("_n"))
+    sizes = written(sizes, "group-sizes")
+    if (sizes.agg(F.max("_different")).first()[0] or 0) > in_order:
+        placed = counts.repartitionByRange(_parts(frame), "_g", "_v")
+        placed = written(placed.withColumn("_part", F.spark_partition_id()), "ranges")
+        earlier = Window.partitionBy("_g").orderBy("_part")
+        sums = placed.groupBy("_g", "_part").agg(F.sum("_c").alias("_sum"))
+        before = F.sum("_sum").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.select("_g", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+        counts = placed.join(sums, ["_g", "_part"])
+        order = Window.partitionBy("_g", "_part").orderBy("_v")
+    else:
+        counts = counts.withColumn("_before", F.lit(0))
+        order = Window.partitionBy("_g").orderBy("_v")
+    upto = F.col("_before") + F.sum("_c").over(order)
+    wanted = F.explode(F.array(*(F.lit(float(p)) for p in dict.fromkeys(probs))))
+    rank = (F.col("_n") - 1) * F.col("prob")
+    at = F.floor(rank)
+    ranked = counts.withColumn("_upto", upto).join(sizes, "_g").withColumn("prob", wanted)
 
     def value_at(position: Column) -> Column:
         holds = (position >= F.col("_upto") - F.col("_c")) & (position < F.col("_upto"))
         return F.max(F.when(holds, F.col("_v")))
 
-    picked = counts.withColumn("_upto", upto).groupBy("_g", *by, "prob").agg(
+    picked = ranked.groupBy("_g", *by, "prob").agg(
         value_at(at).alias("_a"),
         value_at(F.least(at + 1, F.col("_n") - 1)).alias("_b"),
-        F.first(_rank() - at).alias("_f"),
+        F.first(rank - at).alias("_f"),
     )
-    return picked.select(
+    found = picked.select(
         *by, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value")
     )
+    times = {float(p): list(probs).count(p) for p in probs}
+    if max(times.values(), default=1) == 1:
+        return found
+    repeats = F.element_at(F.create_map(*(F.lit(x) for kv in times.items() for x in kv)), F.col("prob"))
+    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), repeats))).drop("_i")
+
+
+def _parts(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,11 +11,17 @@ from textguard.session import written
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 100_000
+SALTS = 32
 
 
 def byte_size(frame: DataFrame) -> int:
-    """Size of a frame's rows as JSON text, an upper stand-in for their size in memory."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    """An upper bound for a frame's rows in memory.
+
+    A row takes a word for each field, set or not, and some more for itself and its place in a
+    hash map; its values take no more than twice their JSON text.
+    """
+    fields = sum(1 + t.count("struct") + t.count(":") for _, t in frame.dtypes)
+    size = F.sum(2 * F.octet_length(F.to_json(F.struct("*"))) + 8 * fields + 48)
     return frame.agg(size.alias("n")).first()["n"] or 0
 
 
@@ -33,7 +39,9 @@ def lookup_join(
     larger one is shuffled; the keys that more than ``hot_rows`` rows of ``left`` share are
     answered by a broadcast of just those keys, and their rows (like those without a key) are
     spread by ``row_key`` over all partitions. A hot key also has at least one in
-    ``HOT_KEYS`` of all rows, so there are never more than ``HOT_KEYS`` of them.
+    ``HOT_KEYS`` of all rows, so there are never more than ``HOT_KEYS`` of them. Should the rows
+    of ``right`` for them be too wide to broadcast, they are copied ``SALTS`` times instead and
+    a hot key's rows are dealt over the copies.
 
     Both inputs are read more than once here: pass tables, or results of ``written``.
     """
@@ -48,6 +56,8 @@ def lookup_join(
     )
     columns = [c for c in right.columns if c != on]
     hot_rights = right.join(F.broadcast(hot_keys), on, "left_semi")
+    if byte_size(hot_rights) > broadcast_bytes:
+        return _salted(left, right, on, row_key, hot_keys)
     hot = hot_keys.join(hot_rights, on, "left").select(
         on, F.lit(True).alias("_hot"), F.struct(*columns).alias("_from_hot")
     )
@@ -66,3 +76,16 @@ def lookup_join(
             for c in columns
         ),
     )
+
+
+def _salted(
+    left: DataFrame, right: DataFrame, on: str, row_key: Sequence[str], hot_keys: DataFrame
+) -> DataFrame:
+    columns = [c for c in right.columns if c != on]
+    marks = F.broadcast(hot_keys.select(on, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot") | F.col(on).isNull(), F.pmod(F.xxhash64(*row_key), F.lit(SALTS)))
+    dealt = left.join(marks, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    joined = dealt.join(copied.withColumn("_salt", F.col("_salt").cast("bigint")), [on, "_salt"], "left")
+    return joined.select(*left.columns, *columns)

@@ -60,18 +60,21 @@ def apply_verdicts_to_items(
 ) -> DataFrame:
     """Replace the condemned items inside each request's array.
 
-    ``requests`` holds sanitised items and is read twice: pass a table or a ``written`` one.
+    Requests are told apart by their id and all their items, so repeated or NULL ids do no harm;
+    requests that are equal in both get equal answers. ``requests`` holds sanitised items and is
+    read twice.
     """
-    rows = requests.select(request_id, F.posexplode(items).alias("_pos", "_item")).select(
-        request_id, "_pos", F.col("_item.content").alias("content")
+    keyed = requests.withColumn("_key", F.sha2(F.to_json(F.struct(request_id, items)), 256))
+    rows = keyed.select("_key", F.posexplode(items).alias("_pos", "_item")).select(
+        "_key", "_pos", F.col("_item.content").alias("content")
     )
     rows = rows.filter(inbound.open_for_model("content")).select(
-        request_id, "_pos", text_hash("content").alias("text_hash")
+        "_key", "_pos", text_hash("content").alias("text_hash")
     )
     bad = (
-        lookup_join(rows, condemned(verdicts), "text_hash", [request_id, "_pos"])
+        lookup_join(rows, condemned(verdicts), "text_hash", ["_key", "_pos"])
         .filter("malicious")
-        .groupBy(request_id)  # at most the items of one input row
+        .groupBy("_key")  # at most the positions of one array
         .agg(F.collect_set("_pos").alias("_bad"))
     )
     replaced = F.transform(
@@ -84,7 +87,7 @@ def apply_verdicts_to_items(
             item["url"].alias("url"),
         ),
     )
-    return requests.join(bad, request_id, "left").withColumn(items, replaced).drop("_bad")
+    return keyed.join(bad, "_key", "left").withColumn(items, replaced).drop("_bad", "_key")
 
 
 def threat_by_request(

@@ -29,27 +29,37 @@ def text_hash(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def hashed(frame: DataFrame, sanitized: str) -> DataFrame:
+def hashed(frame: DataFrame, sanitized: str, model_name: str | None = None) -> DataFrame:
     """Add ``text_hash`` where it is not there yet.
 
-    Stored with a ``written`` table it lets the skew check of a large join read that one column
-    in place of the texts.
+    ``model_name`` names a column: the hash then stands for a text and the model asked about it.
     """
     if "text_hash" in frame.columns:
         return frame
-    return frame.withColumn("text_hash", text_hash(sanitized))
+    text = F.col(sanitized)
+    if model_name:
+        text = F.concat(F.coalesce(F.col(model_name), F.lit("")), F.lit("\0"), text)
+    return frame.withColumn("text_hash", text_hash(text))
 
 
-def candidates(frame: DataFrame, sanitized: str, enabled: Column | None = None) -> DataFrame:
+def candidates(
+    frame: DataFrame,
+    sanitized: str,
+    enabled: Column | None = None,
+    model_name: str | None = None,
+) -> DataFrame:
     """The distinct texts to score: ``text_hash``, ``prompt``, ``copies``.
 
-    Copies are counted before the shuffle, so a text that fills a third of the table arrives
-    as one row per input partition.
+    With ``model_name``, a column, they are distinct by text and model, which comes along.
+    Copies are counted before the shuffle by hashing, so a text that fills a third of the table
+    arrives as one row per input partition and no text is sorted.
     """
     wanted = inbound.open_for_model(sanitized)
     rows = frame.filter(wanted if enabled is None else wanted & enabled)
-    return hashed(rows, sanitized).groupBy("text_hash").agg(
-        model.prompt(F.first(sanitized)).alias("prompt"), F.count("*").alias("copies")
+    named = [model_name] if model_name else []
+    texts = rows.groupBy(*named, sanitized).agg(F.count("*").alias("copies"))
+    return hashed(texts, sanitized, model_name).select(
+        *named, "text_hash", model.prompt(sanitized).alias("prompt"), "copies"
     )
 
 
@@ -60,35 +70,59 @@ def score(
     batch_rows: int = 64,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Run a model over ``prompts`` and write the verdict table.
+    """Run one model over ``prompts`` and write the verdict table; see ``score_by_model``."""
+    named = prompts.withColumn("model_name", F.lit(model_name))
+    return score_by_model(named, make_scorer, batch_rows, tasks).drop("model_name")
+
 
-    ``make_scorer(model_name)`` is called once per task and gives a function from a series of
-    prompts to a series of answers (None for no answer). ``ScorerUnavailable`` leaves the
-    batch without verdicts; any other error fails the job. ``tasks`` spreads few prompts over
-    more tasks than their size asks for, which pays where a model is slow.
+def score_by_model(
+    prompts: DataFrame,
+    make_scorer: Callable[[str], Scorer],
+    batch_rows: int = 64,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Run over each prompt the model that its ``model_name`` names; write the verdict table.
+
+    ``make_scorer(model_name)`` is called once per task and model and gives a function from a
+    series of prompts to a series of answers (None for no answer). Where it or the function
+    raises ``ScorerUnavailable``, the texts of that call are asked about one by one, and only
+    those that fail alone have no verdict, so ``batch_rows`` does not change the result; any
+    other error fails the job. A scorer should bound its own waiting and raise. ``tasks``
+    spreads few prompts over more tasks than their size asks for, which pays where a model is
+    slow.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer(model_name)
+        scorers: dict[str, Scorer] = {}
+
+        def answers(name: str, asked: pd.Series) -> list:
+            try:
+                if name not in scorers:
+                    scorers[name] = make_scorer(name)
+                return list(scorers[name](asked))
+            except ScorerUnavailable:
+                if len(asked) == 1:
+                    return [None]
+                return [answers(name, asked.iloc[[i]])[0] for i in range(len(asked))]
+
         for batch in batches:
-            for at in range(0, len(batch), batch_rows):
-                part = batch.iloc[at : at + batch_rows]
-                try:
-                    answers = pd.Series(list(scorer(part["prompt"])), dtype=object)
-                except ScorerUnavailable:
-                    answers = pd.Series([None] * len(part), dtype=object)
-                yield pd.DataFrame(
-                    {
-                        "text_hash": part["text_hash"].to_numpy(),
-                        "verdict": answers,
-                        "status": answers.map(lambda a: "unavailable" if a is None else "ok"),
-                    }
-                )
-
-    prompts = prompts.select("text_hash", "prompt")
+            for name, rows in batch.groupby("model_name", dropna=False, sort=False):
+                for at in range(0, len(rows), batch_rows):
+                    part = rows.iloc[at : at + batch_rows]
+                    found = pd.Series(answers(name, part["prompt"]), dtype=object)
+                    yield pd.DataFrame(
+                        {
+                            "model_name": name,
+                            "text_hash": part["text_hash"].to_numpy(),
+                            "verdict": found,
+                            "status": found.map(lambda a: "unavailable" if a is None else "ok"),
+                        }
+                    )
+
+    prompts = prompts.select("model_name", "text_hash", "prompt")
     if tasks:
         prompts = prompts.repartition(tasks, "text_hash")
-    scored = prompts.mapInPandas(run, VERDICT_SCHEMA)
+    scored = prompts.mapInPandas(run, f"model_name string, {VERDICT_SCHEMA}")
     return written(scored, "verdicts")  # a later join would otherwise score again
 
 

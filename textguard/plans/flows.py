@@ -7,14 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions import egress, fixed, inbound
+from textguard.functions import egress, inbound
 from textguard.operators import gating
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
-from textguard.session import written
 from textguard.sources import search
 from textguard.sources.requests import split_valid_pairs, split_valid_requests
 from textguard.sources.rules import DLP, INJECTION, Rule
+from textguard.sources.settings import unlisted
 
 MakeScorer = Callable[[str], second.Scorer]
 
@@ -24,8 +24,10 @@ def search_flow(
     landed: DataFrame,
     rules: Sequence[Rule] | None = None,
     brave_key: bool = True,
+    make_scorer: MakeScorer | None = None,
+    model_name: str = "",
 ) -> tuple[DataFrame, DataFrame]:
-    """Search responses and refused requests.
+    """Search responses and refused requests, with the second pass where a model is given.
 
     ``requests`` has ``request_id`` and ``q``; ``landed`` has at most one response for each.
     The raw query is echoed, the anonymised one is what the provider was sent. A request
@@ -43,9 +45,18 @@ def search_flow(
         "fetch_status",
         req.sanitize_items(items, rules, search=True).alias("results"),
     )
+    if make_scorer:
+        responses = _guarded_items(responses, make_scorer, model_name)
     return responses, refused
 
 
+def _guarded_items(requests: DataFrame, make_scorer: MakeScorer, model_name: str) -> DataFrame:
+    """Requests with the condemned of their sanitised ``results`` replaced."""
+    texts = requests.select(F.explode("results.content").alias("content"))
+    verdicts = second.score(second.candidates(texts, "content"), make_scorer, model_name)
+    return req.apply_verdicts_to_items(requests, verdicts)
+
+
 def sanitize_flow(
     requests: DataFrame,
     rules: Sequence[Rule] | None = None,
@@ -59,10 +70,7 @@ def sanitize_flow(
     valid, invalid = split_valid_requests(requests)
     clean = valid.withColumn("results", req.sanitize_items("results", rules))
     if make_scorer:
-        clean = written(clean, "sanitized-requests")
-        texts = clean.select(F.explode("results.content").alias("content"))
-        verdicts = second.score(second.candidates(texts, "content"), make_scorer, model_name)
-        clean = req.apply_verdicts_to_items(clean, verdicts)
+        clean = _guarded_items(clean, make_scorer, model_name)
     return req.with_request_report(clean), invalid
 
 
@@ -83,7 +91,6 @@ def pair_flow(
         "outbound_intent",
         dlp_rules,
     )
-    clean = written(second.hashed(clean, column), "pairs")
     verdicts = second.score(second.candidates(clean, column), make_scorer, model_name)
     judged = second.apply_verdicts(clean, verdicts, column, ["pair_id"]).drop("malicious")
     return req.with_agent_status(judged), invalid
@@ -100,7 +107,6 @@ def text_flow(
     """Any table with its text column sanitised, and ``threat`` beside it."""
     clean = frame.withColumn(text, inbound.sanitize(text, rules))
     if make_scorer:
-        clean = written(second.hashed(clean, text), "sanitized-texts")
         verdicts = second.score(second.candidates(clean, text), make_scorer, model_name)
         clean = second.apply_verdicts(clean, verdicts, text, row_key).drop("malicious")
     return clean.withColumn("threat", inbound.flagged(text))
@@ -115,20 +121,19 @@ def settings_flow(
     make_scorer: MakeScorer | None = None,
     rules: Sequence[Rule] = INJECTION,
 ) -> DataFrame:
-    """A table sanitised by each row's own protection settings, with ``threat`` beside it.
+    """A table sanitised by each row's own protection settings: ``threat`` and ``reason`` beside it.
 
     ``settings`` comes from ``with_defaults``. Rows whose settings ask for a model are scored by
-    the one they name; protection that is off leaves the text as it is, so nothing is scored.
+    the one they name, listed or not, all in one job; protection that is off leaves the text as
+    it is, so nothing is scored. ``reason`` says what in a row's settings is not listed.
     """
     kept = frame.columns
     clean = gating.with_settings(frame, settings, profile_id, row_key)
-    clean = clean.withColumn(text, gating.gated_sanitize(text, rules))
+    clean = clean.withColumns({text: gating.gated_sanitize(text, rules), "reason": unlisted()})
     if make_scorer:
-        clean = second.hashed(clean.select(*kept, "protected", "use_model", "model_name"), text)
-        clean = written(clean, "gated-texts")
-        for name in fixed.MODELS:
-            asked = F.col("protected") & F.col("use_model") & (F.col("model_name") == name)
-            prompts = second.candidates(clean, text, enabled=asked)
-            verdicts = second.score(prompts, make_scorer, name)
-            clean = second.apply_verdicts(clean, verdicts, text, row_key, asked).drop("malicious")
-    return clean.select(*kept, inbound.flagged(text).alias("threat"))
+        asked = F.col("protected") & F.col("use_model")
+        prompts = second.candidates(clean, text, asked, "model_name")
+        verdicts = second.score_by_model(prompts, make_scorer)
+        keyed = second.hashed(clean, text, "model_name")
+        clean = second.apply_verdicts(keyed, verdicts, text, row_key, asked).drop("malicious")
+    return clean.select(*kept, inbound.flagged(text).alias("threat"), "reason")

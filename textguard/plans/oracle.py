@@ -92,6 +92,12 @@ _SEARXNG = "fetch_status = 200 AND p IN (0, 3)"
 _BRAVE = "fetch_status = 200 AND p = 1"
 _ITEM = "SELECT request_id, rank, title, content, url"
 
+PAGE_REQUESTS = (
+    "SELECT page_id AS request_id, CASE WHEN page_id % 7 = 3 THEN '' WHEN page_id % 7 = 5 "
+    f"THEN NULL ELSE {planted.with_paths_sql('b.text', 'page_id')} END AS q FROM pages "
+    "JOIN benchmark b ON b.item_id = page_id % (SELECT count(*) FROM benchmark)"
+)
+
 # --- pairs ---------------------------------------------------------------------------------
 
 PAIRS = (
@@ -165,6 +171,64 @@ _COUNTS = (
     "count(*) AS n FROM events GROUP BY 1, 2"
 )
 
+
+
+def _responses(content: str) -> str:
+    """Search responses; ``content`` is what becomes of a sanitised content ``t``."""
+    return (
+        f"SELECT r.request_id, q AS query, {anonymized('q')} AS secured_query, true AS verified, "
+        "f.fetch_status, i.rank, i.title, i.content, i.url "
+        f"FROM ({PAGE_REQUESTS}) r "
+        f"LEFT JOIN (SELECT DISTINCT request_id, fetch_status FROM {LANDED}) f USING (request_id) "
+        f"LEFT JOIN (SELECT request_id, rank, title, {content} AS content, url FROM "
+        f"(SELECT *, {fold('content')} AS t FROM {LANDED} WHERE ({_SEARXNG}) OR ({_BRAVE}))) i "
+        "USING (request_id) WHERE coalesce(q, '') != ''"
+    )
+
+
+def _requests(request_id: str, content: str) -> str:
+    """Lines as items; ``content`` is what becomes of a sanitised line ``t``."""
+    return (
+        f"SELECT {request_id} AS request_id, 'PROCESSED' AS status, bool_or(hit) OVER "
+        "(PARTITION BY doc_id) AS threat_intercepted, rank, source AS title, content, "
+        f"lang AS url FROM (SELECT *, {flagged('content')} AS hit FROM ("
+        f"SELECT *, {content} AS content FROM ("
+        f"SELECT doc_id, source, lang, rank, {fold('lines[rank + 1]')} AS t "
+        "FROM (SELECT *, unnest(range(len(lines)))::INT AS rank FROM "
+        f"(SELECT *, string_split(t, chr(10)) AS lines FROM ({DOCS}))))))"
+    )
+
+
+def _statuses(clean: str) -> str:
+    """Pair reports; ``clean`` is what becomes of a sanitised inbound text ``t``."""
+    return (
+        "SELECT pair_id, 'COMPLETED' AS simulation_status, hit AS inbound_threat_detected, "
+        "clean AS sanitized_inbound_preview, NOT leak AS safe, "
+        "CASE WHEN leak THEN 'BLOCK' ELSE 'ALLOW' END AS action, "
+        "CASE WHEN hit OR leak THEN 'ISOLATED' ELSE 'SECURE' END AS agent_status FROM ("
+        f"SELECT *, {flagged('clean')} AS hit FROM (SELECT *, {clean} AS clean FROM ("
+        f"SELECT pair_id, {fold('incoming')} AS t, "
+        f"{_OUT} AS leak FROM ({PAIRS}) WHERE outgoing IS NOT NULL)))"
+    )
+
+
+_GUARDED = (
+    f"SELECT doc_id, sanitized, {flagged('sanitized')} AS threat FROM (SELECT doc_id, "
+    + judged(f"coalesce({_ANSWER} = 'Malicious.', false)")
+    + f" AS sanitized FROM ({CLEAN}))"
+)
+_SCORED = (
+    f"SELECT DISTINCT sha256(t) AS text_hash, {_ANSWER} AS verdict, "
+    f"CASE WHEN {_ANSWER} IS NULL THEN 'unavailable' ELSE 'ok' END AS status "
+    f"FROM ({CLEAN}) WHERE {is_open('t')}"
+)
+_LOG = (
+    "SELECT strftime(DATE '2024-01-01' + (doc_id % 5)::INT, '%Y-%m-%d') AS day, "
+    "doc_id::VARCHAR AS source_id, kind, rule_id, matches "
+    f"FROM ({long_findings(RULES)}) WHERE matches > 0"
+)
+_BY_SETTINGS = judged(f"protected AND use_model AND coalesce({_ANSWER} = 'Malicious.', false)")
+
 ORACLE = {
     "sanitize_documents": _SANITIZED,
     "sanitize_pages": (
@@ -234,22 +298,18 @@ ORACLE = {
         f"SELECT request_id, fetch_status, count(*) FILTER ({_SEARXNG} OR {_BRAVE}) AS n_items "
         f"FROM {LANDED} GROUP BY 1, 2"
     ),
-    "search_responses": (
-        f"SELECT r.request_id, q AS query, {anonymized('q')} AS secured_query, true AS verified, "
-        "f.fetch_status, i.rank, i.title, i.content, i.url "
-        f"FROM ({REQUESTS}) r "
-        f"LEFT JOIN (SELECT DISTINCT request_id, fetch_status FROM {LANDED}) f USING (request_id) "
-        f"LEFT JOIN (SELECT request_id, rank, title, {fold('content')} AS content, url "
-        f"FROM {LANDED} WHERE ({_SEARXNG}) OR ({_BRAVE})) i USING (request_id) "
-        "WHERE coalesce(q, '') != ''"
+    "search_responses": _responses("t"),
+    "search_guarded": _responses(judged(f"coalesce({_ANSWER} = 'Malicious.', false)")),
+    "search_sink": f"SELECT * EXCLUDE (secured_query) FROM ({_responses('t')})",
+    "search_partial": (
+        "SELECT page_id AS request_id, 200 AS fetch_status, page_id % 3 = 2 AS parse_ok, "
+        "CASE WHEN page_id % 3 = 2 THEN 3 ELSE 1 END::BIGINT AS n_items, "
+        f"{planted.with_phrase_sql('html', 'page_id')} AS content FROM pages"
     ),
-    "sanitize_requests": (
-        "SELECT request_id, 'PROCESSED' AS status, bool_or(hit) OVER (PARTITION BY request_id) "
-        "AS threat_intercepted, rank, source AS title, content, lang AS url FROM ("
-        f"SELECT *, {flagged('content')} AS hit FROM ("
-        f"SELECT doc_id AS request_id, source, lang, rank, {fold('lines[rank + 1]')} AS content "
-        "FROM (SELECT *, unnest(range(len(lines)))::INT AS rank FROM "
-        f"(SELECT *, string_split(t, chr(10)) AS lines FROM ({DOCS})))))"
+    "sanitize_requests": _requests("doc_id", "t"),
+    "requests_sink": _requests("doc_id", "t"),
+    "requests_guarded": _requests(
+        "doc_id // 2", judged(f"coalesce({_ANSWER} = 'Malicious.', false)")
     ),
     "request_threat": (
         f"SELECT conv_id, bool_or({HIT}) AS threat_intercepted, count(*) AS n_items, "
@@ -260,14 +320,9 @@ ORACLE = {
         f"string_agg(role || ':' || {fold('t')}, '|' ORDER BY turn) AS results "
         f"FROM ({CONVS}) GROUP BY 1, 2"
     ),
-    "agent_status": (
-        "SELECT pair_id, 'COMPLETED' AS simulation_status, hit AS inbound_threat_detected, "
-        "clean AS sanitized_inbound_preview, NOT leak AS safe, "
-        "CASE WHEN leak THEN 'BLOCK' ELSE 'ALLOW' END AS action, "
-        "CASE WHEN hit OR leak THEN 'ISOLATED' ELSE 'SECURE' END AS agent_status FROM ("
-        f"SELECT *, {flagged('clean')} AS hit FROM (SELECT pair_id, {fold('incoming')} AS clean, "
-        f"{_OUT} AS leak FROM ({PAIRS}) WHERE outgoing IS NOT NULL))"
-    ),
+    "agent_status": _statuses("t"),
+    "pairs_sink": _statuses("t"),
+    "pairs_guarded": _statuses(judged(f"coalesce({_ANSWER} = 'Malicious.', false)")),
     "pair_quarantine": (
         f"SELECT pair_id, 'outbound_intent missing' AS reason FROM ({PAIRS}) WHERE outgoing IS NULL"
     ),
@@ -276,11 +331,8 @@ ORACLE = {
         f"count(*) FILTER ({LEAK}) AS dlp_events FROM ({DOCS}) GROUP BY source"
     ),
     "rule_monitor": monitor(RULES, "lang"),
-    "event_log": (
-        "SELECT strftime(DATE '2024-01-01' + (doc_id % 5)::INT, '%Y-%m-%d') AS day, "
-        "doc_id::VARCHAR AS source_id, kind, rule_id, matches "
-        f"FROM ({long_findings(RULES)}) WHERE matches > 0"
-    ),
+    "event_log": _LOG,
+    "stream_event_log": _LOG,
     "event_feed_filter": (
         "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' "
         "AND ts < TIMESTAMP '2024-01-20' AND event_type IN ('error', 'signup') "
@@ -295,6 +347,16 @@ ORACLE = {
         )
         + ")"
     ),
+    "latency_percentiles_hot": (
+        "SELECT event_type, prob, round(v, 6) AS value FROM ("
+        + " UNION ALL ".join(
+            f"SELECT event_type, {p}::DOUBLE AS prob, quantile_cont("
+            f"CASE WHEN event_id % 2 = 0 THEN 0 ELSE value END, {p}) AS v "
+            "FROM events GROUP BY event_type"
+            for p in (0.5, 0.5, 0.95)
+        )
+        + ")"
+    ),
     "event_counts_tumbling": _COUNTS,
     "semantic_candidates": (
         f"SELECT sha256(t) AS text_hash, count(*) AS copies FROM ({CLEAN}) "
@@ -310,16 +372,10 @@ ORACLE = {
         f"SELECT doc_id, {is_open('t')} AND coalesce(toxic, false) AS malicious, "
         f"{judged('coalesce(toxic, false)')} AS sanitized FROM c LEFT JOIN bad USING (t)"
     ),
-    "semantic_scored": (
-        f"SELECT DISTINCT sha256(t) AS text_hash, {_ANSWER} AS verdict, "
-        f"CASE WHEN {_ANSWER} IS NULL THEN 'unavailable' ELSE 'ok' END AS status "
-        f"FROM ({CLEAN}) WHERE {is_open('t')}"
-    ),
-    "guarded_documents": (
-        f"SELECT doc_id, sanitized, {flagged('sanitized')} AS threat FROM (SELECT doc_id, "
-        + judged(f"coalesce({_ANSWER} = 'Malicious.', false)")
-        + f" AS sanitized FROM ({CLEAN}))"
-    ),
+    "semantic_scored": _SCORED,
+    "semantic_outage": _SCORED,
+    "guarded_documents": _GUARDED,
+    "stream_guarded": _GUARDED,
     "settings_defaults": (
         "SELECT source AS profile_id, protected, security_profile, indirect_injection, "
         "jailbreaks, destructive_commands, pii_leak_prevention, use_model, model_name, blocklist "
@@ -332,8 +388,12 @@ ORACLE = {
     ),
     "settings_guarded": (
         f"SELECT doc_id, sanitized, {flagged('sanitized')} AS threat FROM (SELECT doc_id, "
-        + judged(f"protected AND use_model AND coalesce({_ANSWER} = 'Malicious.', false)")
-        + f" AS sanitized FROM ({_gated_rows()}))"
+        f"{_BY_SETTINGS} AS sanitized FROM ({_gated_rows()}))"
+    ),
+    "settings_unlisted_model": (
+        f"SELECT doc_id, sanitized, {flagged('sanitized')} AS threat, reason FROM (SELECT doc_id, "
+        f"{_BY_SETTINGS} AS sanitized, CASE WHEN security_profile = 'strict' THEN "
+        f"'model not listed' END AS reason FROM ({_gated_rows()}))"
     ),
     "stream_sanitize": f"SELECT *, {flagged('sanitized')} AS threat FROM ({_SANITIZED})",
     "stream_dlp": f"SELECT doc_id, NOT {LEAK} AS safe, {ACTION} AS action FROM ({DOCS})",

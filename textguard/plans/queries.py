@@ -11,7 +11,7 @@ from textguard.functions.dialect import to_java
 from textguard.operators import events, findings, gating
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
-from textguard.plans import flows, planted
+from textguard.plans import flows, planted, sinks
 from textguard.session import new_path, spread, written
 from textguard.sources import rules, search, settings
 from textguard.sources.requests import split_valid_pairs
@@ -229,20 +229,71 @@ def provider_routing(spark, folder):
     )
 
 
-def search_responses(spark, folder):
-    responses, _ = flows.search_flow(
-        search_requests(spark, folder), search.parse_body(landed_pages(spark, folder))
-    )
-    kept = ("request_id", "query", "secured_query", "verified", "fetch_status")
+def page_requests(spark, folder):
+    """A request for every page, so that every landed response is asked for."""
+    items = table(spark, folder, "benchmark", "item_id", "text")
+    page, n = F.col("page_id"), items.count()
+    rows = table(spark, folder, "pages", "page_id").withColumn("item_id", page % max(n, 1))
+    q = F.when(page % 7 == 3, "").when(page % 7 == 5, None)
+    q = q.otherwise(planted.with_paths("text", page))
+    return rows.join(items, "item_id").select(page.alias("request_id"), q.alias("q"))
+
+
+def search_responses(spark, folder, **model):
+    landed = search.parse_body(landed_pages(spark, folder))
+    responses, _ = flows.search_flow(page_requests(spark, folder), landed, **model)
+    return _flat_responses(responses)
+
+
+def _flat_responses(responses):
+    kept = [
+        c for c in ("request_id", "query", "secured_query", "verified", "fetch_status")
+        if c in responses.columns
+    ]
     return responses.select(*kept, F.posexplode_outer("results").alias("rank", "item")).select(
         *kept, "rank", "item.title", "item.content", "item.url"
     )
 
 
+def search_guarded(spark, folder):
+    return search_responses(spark, folder, make_scorer=keyword_scorer, model_name="keywords")
+
+
+def search_partial(spark, folder):
+    """Responses with an item in the middle that is a number, or null, or an object."""
+    page = F.col("page_id")
+    rows = spread(table(spark, folder, "pages", "page_id", "url", "html"), "page_id")
+    item = F.to_json(F.struct(planted.with_phrase("html", page).alias("content"), "url"))
+    middle = F.when(page % 3 == 0, "5").when(page % 3 == 1, "null").otherwise('{"title":"x"}')
+    body = F.concat(
+        F.lit('{"results":['), item, F.lit(","), middle, F.lit(","), item, F.lit("]}")
+    )
+    landed = rows.select(
+        page.alias("request_id"), F.lit("searxng").alias("provider"),
+        F.lit(200).alias("fetch_status"), body.alias("body"),
+    )
+    found = search.normalize(search.parse_body(landed))
+    return found.select(
+        "request_id", "fetch_status", "parse_ok",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.element_at("items", 1)["content"].alias("content"),
+    )
+
+
+def search_sink(spark, folder):
+    """Search responses written as JSON and read again."""
+    landed = search.parse_body(landed_pages(spark, folder))
+    responses, _ = flows.search_flow(page_requests(spark, folder), landed)
+    path = new_path(spark, "search-responses")
+    sinks.write_search_responses(responses, path)
+    schema = responses.drop("secured_query").schema
+    return _flat_responses(spark.read.schema(schema).json(path))
+
+
 # --- requests ------------------------------------------------------------------------------
 
 
-def sanitize_requests(spark, folder):
+def line_requests(spark, folder, request_id=None):
     """Each document is a request, each of its lines an item."""
     lines = F.transform(
         F.split("text", "\n"),
@@ -250,14 +301,39 @@ def sanitize_requests(spark, folder):
             F.col("source").alias("title"), line.alias("content"), F.col("lang").alias("url")
         ),
     )
-    requests = documents(spark, folder, "source", "lang").select(
-        F.col("doc_id").alias("request_id"), lines.alias("results")
+    request_id = F.col("doc_id") if request_id is None else request_id
+    return documents(spark, folder, "source", "lang").select(
+        request_id.alias("request_id"), lines.alias("results")
+    )
+
+
+def sanitize_requests(spark, folder):
+    responses, _ = flows.sanitize_flow(line_requests(spark, folder))
+    return _flat_requests(responses)
+
+
+def requests_guarded(spark, folder):
+    """With a model, and with ids that repeat."""
+    shared = F.floor(F.col("doc_id") / 2)
+    responses, _ = flows.sanitize_flow(
+        line_requests(spark, folder, shared), None, keyword_scorer, "keywords"
     )
-    responses, _ = flows.sanitize_flow(requests)
+    return _flat_requests(responses)
+
+
+def requests_sink(spark, folder):
+    """Sanitise responses written as JSON and read again."""
+    responses, _ = flows.sanitize_flow(line_requests(spark, folder))
+    path = new_path(spark, "sanitize-responses")
+    sinks.write_sanitize_responses(responses, path)
+    return _flat_requests(spark.read.schema(responses.schema).json(path))
+
+
+def _flat_requests(responses):
     return responses.select(
         "request_id", "status", "threat_intercepted",
-        F.posexplode("results").alias("rank", "item"),
-    ).select(
+        F.posexplode_outer("results").alias("rank", "item"),
+    ).filter("rank IS NOT NULL").select(
         "request_id", "status", "threat_intercepted", "rank",
         "item.title", "item.content", "item.url",
     )
@@ -295,8 +371,24 @@ def conversation_pairs(spark, folder):
     )
 
 
-def agent_status(spark, folder):
+def agent_status(spark, folder, **model):
+    reports, _ = flows.pair_flow(conversation_pairs(spark, folder), **model)
+    return _flat_reports(reports)
+
+
+def pairs_guarded(spark, folder):
+    return agent_status(spark, folder, make_scorer=keyword_scorer, model_name="keywords")
+
+
+def pairs_sink(spark, folder):
+    """Pair reports written as JSON and read again."""
     reports, _ = flows.pair_flow(conversation_pairs(spark, folder))
+    path = new_path(spark, "pair-reports")
+    sinks.write_pair_reports(reports, path)
+    return _flat_reports(spark.read.schema(reports.schema).json(path))
+
+
+def _flat_reports(reports):
     return reports.select(
         "pair_id", "simulation_status", "inbound_threat_detected", "sanitized_inbound_preview",
         "outbound_dlp_report.safe", "outbound_dlp_report.action", "agent_status",
@@ -351,6 +443,14 @@ def latency_percentiles(spark, folder):
     return found.select("event_type", "prob", F.round("value", 6).alias("value"))
 
 
+def latency_percentiles_hot(spark, folder):
+    """Half the values equal, few of them put in order at once, one percentile asked for twice."""
+    log = table(spark, folder, "events", "event_id", "event_type", "value")
+    hot = log.withColumn("value", F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(F.col("value")))
+    found = events.percentiles(hot, "value", [0.5, 0.5, 0.95], by=["event_type"], in_order=100)
+    return found.select("event_type", "prob", F.round("value", 6).alias("value"))
+
+
 def _hour_text(frame):
     return frame.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -419,6 +519,23 @@ def semantic_scored(spark, folder):
     return second.score(prompts, keyword_scorer, "keywords")
 
 
+def outage_scorer(model_name: str):
+    """The stand-in model, but out of reach for any call with a link in it."""
+    answer = keyword_scorer(model_name)
+
+    def scorer(prompts):
+        if prompts.str.contains("://", regex=False).any():
+            raise second.ScorerUnavailable
+        return answer(prompts)
+
+    return scorer
+
+
+def semantic_outage(spark, folder):
+    prompts = second.candidates(_clean_documents(spark, folder), "text")
+    return second.score(prompts, outage_scorer, "keywords")
+
+
 def guarded_documents(spark, folder):
     return flows.text_flow(
         documents(spark, folder), "text", ["doc_id"],
@@ -470,6 +587,21 @@ def config_gated_sanitize(spark, folder):
 
 def settings_guarded(spark, folder):
     profiles = written(settings.with_defaults(source_settings(spark, folder)), "settings")
+    return flows.settings_flow(
+        documents(spark, folder, "source"), profiles, "text", "source", ["doc_id"],
+        make_scorer=keyword_scorer,
+    ).withColumnRenamed("text", "sanitized").drop("source", "reason")
+
+
+def settings_unlisted_model(spark, folder):
+    """The strict profiles name a model that no list has; it is asked all the same."""
+    own = F.when(F.col("security_profile") == "strict", "own-model:1b").otherwise(
+        F.col("local_llm_verification.selected_model")
+    )
+    named = source_settings(spark, folder).withColumn(
+        "local_llm_verification", F.col("local_llm_verification").withField("selected_model", own)
+    )
+    profiles = written(settings.with_defaults(named), "settings")
     return flows.settings_flow(
         documents(spark, folder, "source"), profiles, "text", "source", ["doc_id"],
         make_scorer=keyword_scorer,
@@ -521,6 +653,33 @@ def stream_event_counts(spark, folder):
     return _hour_text(streams.current_counts(spark, path, ["event_type"]))
 
 
+def stream_event_log(spark, folder):
+    """Findings of a stream in the event log."""
+    found = findings.findings(_stream_documents(spark, folder), "doc_id", "text")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
+    path = new_path(spark, "event-log")
+    logged = events.as_events(found, "doc_id", day)
+    query = events.append_stream(logged, path, new_path(spark, "progress"), available_now=True)
+    query.awaitTermination()
+    feed = events.event_feed(spark.read.parquet(path), since="2024-01-01", until="2024-01-06")
+    return feed.select(
+        F.date_format("event_time", "yyyy-MM-dd").alias("day"),
+        "source_id", "kind", "rule_id", "matches",
+    )
+
+
+def stream_guarded(spark, folder):
+    """Both passes on a stream."""
+    path = new_path(spark, "stream-guarded")
+    query = streams.guarded(
+        _stream_documents(spark, folder), "text", path, new_path(spark, "progress"), ["doc_id"],
+        keyword_scorer, "keywords", available_now=True,
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(path).drop("batch_id")
+    return rows.withColumnRenamed("text", "sanitized")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -533,5 +692,8 @@ QUERIES = {
         event_feed_filter, latency_percentiles, event_counts_tumbling, semantic_candidates,
         semantic_prompt, semantic_apply, semantic_scored, guarded_documents, settings_defaults,
         config_gated_sanitize, settings_guarded, stream_sanitize, stream_dlp, stream_event_counts,
+        search_guarded, search_partial, search_sink, requests_guarded, requests_sink,
+        pairs_guarded, pairs_sink, latency_percentiles_hot, semantic_outage,
+        settings_unlisted_model, stream_event_log, stream_guarded,
     )
 }

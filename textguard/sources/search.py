@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from textguard.functions import fixed
 from textguard.functions.anonymize import secured_query
 
-BODY_SCHEMA = (
-    "results array<map<string,string>>, web struct<results: array<map<string,string>>>"
-)
+# Items are kept as JSON text, so that one that is no object does not lose the others.
+BODY_SCHEMA = "results array<string>, web struct<results: array<string>>"
 LANDED_SCHEMA = (
     f"request_id string, provider string, fetch_status int, {BODY_SCHEMA}, _corrupt string"
 )
+ITEM_TYPE = "map<string,string>"
 ITEMS_TYPE = "array<struct<title:string,content:string,url:string>>"
 SEARXNG, BRAVE = "searxng", "brave"
 
@@ -39,18 +39,44 @@ def parse_body(frame: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def _items(results: Column, content_key: str) -> Column:
-    def value(item: Column, key: str) -> Column:
-        return F.when(F.map_contains_key(item, F.lit(key)), item[key]).otherwise(F.lit(""))
-
+def _parsed(results: Column) -> Column:
+    """Each item as a map; NULL for an item that is no object."""
     return F.transform(
-        F.filter(results, lambda item: item.isNotNull()),
-        lambda item: F.struct(
-            value(item, "title").alias("title"),
-            value(item, content_key).alias("content"),
-            value(item, "url").alias("url"),
+        results, lambda i: F.when(F.startswith(F.ltrim(i), F.lit("{")), F.from_json(i, ITEM_TYPE))
+    )
+
+
+def _items(results: Column, content_key: Column | str) -> Column:
+    """The items before the first that is no object, as a provider client would read them."""
+
+    def value(item: Column, key: Column | str) -> Column:
+        key = F.lit(key) if isinstance(key, str) else key
+        return F.when(F.map_contains_key(item, key), item[key]).otherwise(F.lit(""))
+
+    # The array is wrapped, so that it is parsed once and not where each part is used.
+    shaped = F.transform(
+        F.array(_parsed(results)),
+        lambda items: F.transform(
+            F.slice(
+                items,
+                F.lit(1),
+                F.coalesce(
+                    F.nullif(F.array_position(F.transform(items, F.isnull), True), F.lit(0)) - 1,
+                    F.size(items),
+                ).cast("int"),
+            ),
+            lambda item: F.struct(
+                value(item, "title").alias("title"),
+                value(item, content_key).alias("content"),
+                value(item, "url").alias("url"),
+            ),
         ),
     )
+    return F.element_at(shaped, 1)
+
+
+def _all_objects(results: Column) -> Column:
+    return F.coalesce(F.forall(_parsed(results), F.isnotnull), F.lit(True))
 
 
 def searxng_items(results: Column | str = "results") -> Column:
@@ -70,22 +96,29 @@ def normalize(landed: DataFrame, brave_key: bool = True) -> DataFrame:
     """Both providers in one row shape: ``items`` in place of the provider's own results.
 
     A failed fetch, an unknown provider, and Brave without a key have no items. The fetch
-    status stays beside them, so that a failure does not pass for an empty result.
+    status stays beside them, so that a failure does not pass for an empty result. ``parse_ok``
+    is false where an item was no object; the items before it are kept.
     """
     provider, ok = provider_name(), F.col("fetch_status") == 200
-    found = F.when(ok & (provider == SEARXNG), searxng_items())
+    results = F.when(ok & (provider == SEARXNG), F.col("results"))
+    key = F.lit("content")
     if brave_key:
-        found = found.when(ok & (provider == BRAVE), brave_items())
+        results = results.when(ok & (provider == BRAVE), F.col("web.results"))
+        key = F.when(provider == BRAVE, "description").otherwise(key)
     kept = [c for c in landed.columns if c not in ("results", "web")]
     return landed.select(
-        *kept, F.coalesce(found, F.array().cast(ITEMS_TYPE)).alias("items")
+        *kept,
+        F.coalesce(_items(results, key), F.array().cast(ITEMS_TYPE)).alias("items"),
+        _all_objects(results).alias("parse_ok"),
     )
 
 
 def item_rows(frame: DataFrame, items: str = "items") -> DataFrame:
     """One row per item with its ``rank``; a row without items gives none."""
     kept = [c for c in frame.columns if c != items]
-    return frame.select(*kept, F.posexplode(items).alias("rank", "_item")).select(
+    # An outer explode: for a plain one Spark would test the array, and so make it, once more.
+    rows = frame.select(*kept, F.posexplode_outer(items).alias("rank", "_item"))
+    return rows.filter("rank IS NOT NULL").select(
         *kept, "rank", "_item.title", "_item.content", "_item.url"
     )
 

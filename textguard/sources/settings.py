@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import fixed
@@ -49,3 +49,12 @@ def invalid_settings(settings: DataFrame) -> DataFrame:
         ~F.col("security_profile").isin(*fixed.PROFILES)
         | ~F.col("model_name").isin(*fixed.MODELS)
     )
+
+
+def unlisted() -> Column:
+    """What a row of ``with_defaults`` names that the schema does not list; NULL for nothing."""
+    profile = F.when(~F.col("security_profile").isin(*fixed.PROFILES), "profile not listed")
+    model = F.when(
+        F.col("use_model") & ~F.col("model_name").isin(*fixed.MODELS), "model not listed"
+    )
+    return F.nullif(F.concat_ws(", ", profile, model), F.lit(""))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textguard.functions import egress, inbound
+from textguard.plans.flows import MakeScorer, text_flow
 from textguard.sources.rules import DLP, Rule
 
 
@@ -79,8 +81,8 @@ def keep_counts(
         changed = batch.select(
             "*", F.to_date("window_start").alias("day"), F.lit(batch_id).alias("batch_id")
         )
-        # Counts are few: one file per day and batch.
-        changed.repartition("day").write.mode("overwrite").option(
+        # Few files for each day and batch; Spark splits a day that is large.
+        changed.hint("rebalance", "day").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("day", "batch_id").parquet(path)
 
@@ -93,8 +95,53 @@ def keep_counts(
 def current_counts(
     spark: SparkSession, path: str, by: Sequence[str], since: object = None
 ) -> DataFrame:
-    """The newest count of each window; ``since`` reads only the days from that one on."""
-    counts = spark.read.parquet(path)
+    """The newest count of each window; ``since`` reads only the days from that one on.
+
+    ``by`` names columns, with their types (``"user_id bigint"``) where they are no strings. No
+    counts yet is an empty result.
+    """
+    typed = [b if " " in b else f"{b} string" for b in by]
+    by = [b.split()[0] for b in by]
+    fields = ", ".join(["window_start timestamp", *typed, "n bigint", "day date", "batch_id bigint"])
+    try:
+        counts = spark.read.schema(fields).parquet(path)
+    except AnalysisException:  # nothing was written yet
+        counts = spark.createDataFrame([], fields)
     if since is not None:
         counts = counts.filter(F.col("day") >= F.lit(since))
     return counts.groupBy("window_start", *by).agg(F.max_by("n", "batch_id").alias("n"))
+
+
+def compact(spark: SparkSession, path: str, by: Sequence[str], day: object, target: str) -> None:
+    """Write the newest counts of a closed day to ``target``, in few files.
+
+    A closed day gets no more counts; readers of old days read ``target`` from then on.
+    """
+    counts = current_counts(spark, path, by, day).filter(F.to_date("window_start") == F.lit(day))
+    counts.hint("rebalance").write.mode("overwrite").parquet(target)
+
+
+def guarded(
+    stream: DataFrame,
+    text: str,
+    path: str,
+    checkpoint: str,
+    row_key: Sequence[str],
+    make_scorer: MakeScorer,
+    model_name: str,
+    rules: Sequence[Rule] | None = None,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Both passes on a stream: each micro-batch is sanitised, scored and written below ``path``.
+
+    A batch that is run again overwrites its own folder, so each row is there once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = text_flow(batch, text, row_key, rules, make_scorer, model_name)
+        done.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.foreachBatch(write).start()
