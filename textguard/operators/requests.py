@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import egress, fixed, inbound, model
+from textguard.operators.gating import gated_sanitize
 from textguard.operators.joins import lookup_join
-from textguard.operators.second_pass import condemned, text_hash
+from textguard.operators.second_pass import condemned, hashed
 from textguard.sources.rules import DLP, Rule
 
 
@@ -42,6 +43,24 @@ def sanitize_items(
     )
 
 
+def gated_items(items: Column | str, rules: Sequence[Rule], search: bool = False) -> Column:
+    """Sanitise the content of each item by the row's own settings (from ``with_settings``).
+
+    ``search`` keeps an empty or missing content as it is.
+    """
+
+    def content(text: Column) -> Column:
+        clean = gated_sanitize(text, rules)
+        return F.when(F.length(text) > 0, clean).otherwise(text) if search else clean
+
+    return F.transform(
+        items,
+        lambda i: F.struct(
+            i["title"].alias("title"), content(i["content"]).alias("content"), i["url"].alias("url")
+        ),
+    )
+
+
 def any_flagged(items: Column | str) -> Column:
     """Is any (sanitised) item flagged? False for a request without items."""
     items = F.col(items) if isinstance(items, str) else items
@@ -56,21 +75,28 @@ def with_request_report(requests: DataFrame, items: str = "results") -> DataFram
 
 
 def apply_verdicts_to_items(
-    requests: DataFrame, verdicts: DataFrame, request_id: str = "request_id", items: str = "results"
+    requests: DataFrame,
+    verdicts: DataFrame,
+    request_id: str = "request_id",
+    items: str = "results",
+    enabled: Column | None = None,
+    model_name: str | None = None,
 ) -> DataFrame:
     """Replace the condemned items inside each request's array.
 
-    Requests are told apart by their id and all their items, so repeated or NULL ids do no harm;
-    requests that are equal in both get equal answers. ``requests`` holds sanitised items and is
-    read twice.
+    Requests are told apart by all their columns, so repeated or NULL ids do no harm; requests
+    that are equal get equal answers. ``requests`` holds sanitised items and is read twice.
+    ``enabled`` says which requests a model was asked about, ``model_name`` names the column
+    with its name where they differ.
     """
-    keyed = requests.withColumn("_key", F.sha2(F.to_json(F.struct(request_id, items)), 256))
-    rows = keyed.select("_key", F.posexplode(items).alias("_pos", "_item")).select(
-        "_key", "_pos", F.col("_item.content").alias("content")
-    )
-    rows = rows.filter(inbound.open_for_model("content")).select(
-        "_key", "_pos", text_hash("content").alias("text_hash")
+    keyed = requests.withColumn("_key", F.sha2(F.to_json(F.struct(*requests.columns)), 256))
+    asked = keyed if enabled is None else keyed.filter(enabled)
+    named = [model_name] if model_name else []
+    rows = asked.select("_key", *named, F.posexplode(items).alias("_pos", "_item")).select(
+        "_key", *named, "_pos", F.col("_item.content").alias("content")
     )
+    rows = hashed(rows.filter(inbound.open_for_model("content")), "content", model_name)
+    rows = rows.select("_key", "_pos", "text_hash")
     bad = (
         lookup_join(rows, condemned(verdicts), "text_hash", ["_key", "_pos"])
         .filter("malicious")

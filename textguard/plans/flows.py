@@ -26,9 +26,14 @@ def search_flow(
     brave_key: bool = True,
     make_scorer: MakeScorer | None = None,
     model_name: str = "",
+    settings: DataFrame | None = None,
+    profile_id: str = "profile_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Search responses and refused requests, with the second pass where a model is given.
 
+    With ``settings`` (from ``with_defaults``) each request's ``profile_id`` says how its
+    results are treated and which model is asked.
+
     ``requests`` has ``request_id`` and ``q``; ``landed`` has at most one response for each.
     The raw query is echoed, the anonymised one is what the provider was sent. A request
     without a response has no results and a NULL ``fetch_status``.
@@ -37,16 +42,23 @@ def search_flow(
     found = search.normalize(landed, brave_key)
     joined = asked.join(found.select("request_id", "fetch_status", "items"), "request_id", "left")
     items = F.coalesce("items", F.array().cast(search.ITEMS_TYPE))
+    own = [profile_id] if settings is not None else []
     responses = joined.select(
         "request_id",
         F.col("q").alias("query"),
         "secured_query",
         F.lit(True).alias("verified"),
         "fetch_status",
-        req.sanitize_items(items, rules, search=True).alias("results"),
+        items.alias("results"),
+        *own,
     )
-    if make_scorer:
-        responses = _guarded_items(responses, make_scorer, model_name)
+    if settings is None:
+        clean = req.sanitize_items("results", rules, search=True)
+        responses = responses.withColumn("results", clean)
+        if make_scorer:
+            responses = _guarded_items(responses, make_scorer, model_name)
+    else:
+        responses = _items_by_settings(responses, settings, profile_id, make_scorer, rules, True)
     return responses, refused
 
 
@@ -57,17 +69,48 @@ def _guarded_items(requests: DataFrame, make_scorer: MakeScorer, model_name: str
     return req.apply_verdicts_to_items(requests, verdicts)
 
 
+def _items_by_settings(
+    requests: DataFrame,
+    settings: DataFrame,
+    profile_id: str,
+    make_scorer: MakeScorer | None,
+    rules: Sequence[Rule] | None,
+    search: bool,
+) -> DataFrame:
+    """Requests with their ``results`` treated by each one's own settings; ``reason`` beside them."""
+    kept = requests.columns
+    rows = gating.with_settings(requests, settings, profile_id, ["request_id"])
+    clean = req.gated_items("results", rules or INJECTION, search)
+    rows = rows.withColumns({"results": clean, "reason": unlisted()})
+    if make_scorer:
+        asked = F.col("protected") & F.col("use_model")
+        rows = rows.select(*kept, "reason", "model_name", asked.alias("_asked"))
+        texts = rows.filter("_asked").select("model_name", F.explode("results.content").alias("content"))
+        prompts = second.candidates(texts, "content", model_name="model_name")
+        verdicts = second.score_by_model(prompts, make_scorer)
+        rows = req.apply_verdicts_to_items(
+            rows, verdicts, enabled=F.col("_asked"), model_name="model_name"
+        )
+    return rows.select(*kept, "reason")
+
+
 def sanitize_flow(
     requests: DataFrame,
     rules: Sequence[Rule] | None = None,
     make_scorer: MakeScorer | None = None,
     model_name: str = "",
+    settings: DataFrame | None = None,
+    profile_id: str = "profile_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Sanitise responses, one row per request, and the invalid requests with a reason.
 
-    Without a model this is one pass over the requests with no shuffle.
+    Without a model this is one pass over the requests with no shuffle. ``settings`` as in
+    ``search_flow``.
     """
     valid, invalid = split_valid_requests(requests)
+    if settings is not None:
+        clean = _items_by_settings(valid, settings, profile_id, make_scorer, rules, False)
+        return req.with_request_report(clean), invalid
     clean = valid.withColumn("results", req.sanitize_items("results", rules))
     if make_scorer:
         clean = _guarded_items(clean, make_scorer, model_name)
@@ -80,9 +123,31 @@ def pair_flow(
     dlp_rules: Sequence[Rule] = DLP,
     make_scorer: MakeScorer | None = None,
     model_name: str = "",
+    settings: DataFrame | None = None,
+    profile_id: str = "profile_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """Pair reports and the invalid pairs with a reason."""
+    """Pair reports and the invalid pairs with a reason.
+
+    ``settings`` as in ``search_flow``; a pair whose profile does not ask for leak prevention is
+    let through without a report.
+    """
     valid, invalid = split_valid_pairs(pairs)
+    if settings is not None:
+        column, kept = "sanitized_inbound_preview", valid.columns
+        rows = gating.with_settings(valid, settings, profile_id, ["pair_id"])
+        rows = rows.withColumn(column, gating.gated_sanitize("incoming_content", rules or INJECTION))
+        leaks = F.col("pii_leak_prevention") & F.col("protected")
+        rows = egress.with_dlp_report(rows, "outbound_intent", dlp_rules, enabled=leaks)
+        rows = rows.withColumn("reason", unlisted())
+        report = ("safe", "violations", "action", "is_null")
+        if make_scorer:
+            asked = F.col("protected") & F.col("use_model")
+            prompts = second.candidates(rows, column, asked, "model_name")
+            verdicts = second.score_by_model(prompts, make_scorer)
+            keyed = second.hashed(rows, column, "model_name")
+            rows = second.apply_verdicts(keyed, verdicts, column, ["pair_id"], asked)
+        rows = rows.select(*kept, column, "reason", *(c for c in report if c in rows.columns))
+        return req.with_agent_status(rows), invalid
     if not make_scorer:
         return req.pair_report(valid, rules, dlp_rules), invalid
     column = "sanitized_inbound_preview"

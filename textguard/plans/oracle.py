@@ -151,20 +151,39 @@ def blocked(text: str) -> str:
     return text
 
 
-def _gated_rows() -> str:
-    """One step per rule, each reading the step before it; then block list and main switch."""
-    step = f"SELECT d.doc_id, d.t AS raw, d.t, s.* FROM ({DOCS}) d JOIN ({SETTINGS}) s USING (source)"
+def gated(rows: str) -> str:
+    """One step per rule, each reading the step before it; then block list and main switch.
+
+    ``rows`` have the text as ``t`` and as ``raw``, and the settings.
+    """
     for r in INJECTION:
         done = f"regexp_replace(t, {quoted(r.pattern)}, {quoted(fixed.MARKER)}, 'g')"
-        step = (
-            f"SELECT * REPLACE (CASE WHEN {r.module} THEN {done} ELSE t END AS t) FROM ({step})"
-        )
+        rows = f"SELECT * REPLACE (CASE WHEN {r.module} THEN {done} ELSE t END AS t) FROM ({rows})"
     return (
         "SELECT * REPLACE (CASE WHEN NOT protected THEN raw "
-        f"WHEN blocklist != '' THEN {blocked('t')} ELSE t END AS t) FROM ({step})"
+        f"WHEN blocklist != '' THEN {blocked('t')} ELSE t END AS t) FROM ({rows})"
+    )
+
+
+def _gated_rows() -> str:
+    return gated(
+        f"SELECT d.doc_id, d.t AS raw, d.t, s.* FROM ({DOCS}) d JOIN ({SETTINGS}) s USING (source)"
     )
 
 
+def own_settings(rows: str, row_id: str) -> str:
+    """``rows`` with the settings of the profile that ``row_id`` picks, or the defaults."""
+    return f"""
+        SELECT r.*, coalesce(protected, true) AS protected,
+          coalesce(indirect_injection, true) AS indirect_injection,
+          coalesce(jailbreaks, true) AS jailbreaks,
+          coalesce(destructive_commands, true) AS destructive_commands,
+          coalesce(pii_leak_prevention, false) AS pii_leak_prevention,
+          coalesce(use_model, false) AS use_model, coalesce(blocklist, '') AS blocklist
+        FROM ({rows}) r LEFT JOIN ({SETTINGS}) s ON s.source = concat('src', {row_id} % 20)
+    """
+
+
 _SANITIZED = f"SELECT doc_id, {fold('t')} AS sanitized FROM ({DOCS})"
 _COUNTS = (
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
@@ -173,42 +192,51 @@ _COUNTS = (
 
 
 
-def _responses(content: str) -> str:
+def _responses(content: str, items: str = "") -> str:
     """Search responses; ``content`` is what becomes of a sanitised content ``t``."""
+    landed = f"SELECT * FROM {LANDED} WHERE ({_SEARXNG}) OR ({_BRAVE})"
+    items = items or f"SELECT *, {fold('content')} AS t FROM ({landed})"
     return (
         f"SELECT r.request_id, q AS query, {anonymized('q')} AS secured_query, true AS verified, "
         "f.fetch_status, i.rank, i.title, i.content, i.url "
         f"FROM ({PAGE_REQUESTS}) r "
         f"LEFT JOIN (SELECT DISTINCT request_id, fetch_status FROM {LANDED}) f USING (request_id) "
         f"LEFT JOIN (SELECT request_id, rank, title, {content} AS content, url FROM "
-        f"(SELECT *, {fold('content')} AS t FROM {LANDED} WHERE ({_SEARXNG}) OR ({_BRAVE}))) i "
+        f"({items})) i "
         "USING (request_id) WHERE coalesce(q, '') != ''"
     )
 
 
-def _requests(request_id: str, content: str) -> str:
+_LINES = (
+    "SELECT doc_id, source, lang, rank, lines[rank + 1] AS t "
+    "FROM (SELECT *, unnest(range(len(lines)))::INT AS rank FROM "
+    f"(SELECT *, string_split(t, chr(10)) AS lines FROM ({DOCS})))"
+)
+
+
+def _requests(request_id: str, content: str, lines: str = "") -> str:
     """Lines as items; ``content`` is what becomes of a sanitised line ``t``."""
+    lines = lines or f"SELECT * REPLACE ({fold('t')} AS t) FROM ({_LINES})"
     return (
         f"SELECT {request_id} AS request_id, 'PROCESSED' AS status, bool_or(hit) OVER "
         "(PARTITION BY doc_id) AS threat_intercepted, rank, source AS title, content, "
         f"lang AS url FROM (SELECT *, {flagged('content')} AS hit FROM ("
-        f"SELECT *, {content} AS content FROM ("
-        f"SELECT doc_id, source, lang, rank, {fold('lines[rank + 1]')} AS t "
-        "FROM (SELECT *, unnest(range(len(lines)))::INT AS rank FROM "
-        f"(SELECT *, string_split(t, chr(10)) AS lines FROM ({DOCS}))))))"
+        f"SELECT *, {content} AS content FROM ({lines})))"
     )
 
 
-def _statuses(clean: str) -> str:
+def _statuses(clean: str, pairs: str = "") -> str:
     """Pair reports; ``clean`` is what becomes of a sanitised inbound text ``t``."""
+    pairs = pairs or (
+        f"SELECT pair_id, {fold('incoming')} AS t, "
+        f"{_OUT} AS leak FROM ({PAIRS}) WHERE outgoing IS NOT NULL"
+    )
     return (
         "SELECT pair_id, 'COMPLETED' AS simulation_status, hit AS inbound_threat_detected, "
         "clean AS sanitized_inbound_preview, NOT leak AS safe, "
         "CASE WHEN leak THEN 'BLOCK' ELSE 'ALLOW' END AS action, "
         "CASE WHEN hit OR leak THEN 'ISOLATED' ELSE 'SECURE' END AS agent_status FROM ("
-        f"SELECT *, {flagged('clean')} AS hit FROM (SELECT *, {clean} AS clean FROM ("
-        f"SELECT pair_id, {fold('incoming')} AS t, "
-        f"{_OUT} AS leak FROM ({PAIRS}) WHERE outgoing IS NOT NULL)))"
+        f"SELECT *, {flagged('clean')} AS hit FROM (SELECT *, {clean} AS clean FROM ({pairs})))"
     )
 
 
@@ -395,6 +423,33 @@ ORACLE = {
         f"{_BY_SETTINGS} AS sanitized, CASE WHEN security_profile = 'strict' THEN "
         f"'model not listed' END AS reason FROM ({_gated_rows()}))"
     ),
+    "search_by_settings": _responses(
+        _BY_SETTINGS,
+        gated(
+            own_settings(
+                f"SELECT *, content AS t, content AS raw FROM {LANDED} "
+                f"WHERE ({_SEARXNG}) OR ({_BRAVE})",
+                "request_id",
+            )
+        ),
+    ),
+    "requests_by_settings": _requests(
+        "doc_id",
+        _BY_SETTINGS,
+        gated(own_settings(f"SELECT *, t AS raw FROM ({_LINES})", "doc_id")),
+    ),
+    "pairs_by_settings": _statuses(
+        _BY_SETTINGS,
+        "SELECT * REPLACE (leak AND pii_leak_prevention AND protected AS leak) FROM ("
+        + gated(
+            own_settings(
+                f"SELECT pair_id, split_part(pair_id, '-', 1)::BIGINT AS conv, incoming AS t, "
+                f"incoming AS raw, {_OUT} AS leak FROM ({PAIRS}) WHERE outgoing IS NOT NULL",
+                "conv",
+            )
+        )
+        + ")",
+    ),
     "stream_sanitize": f"SELECT *, {flagged('sanitized')} AS threat FROM ({_SANITIZED})",
     "stream_dlp": f"SELECT doc_id, NOT {LEAK} AS safe, {ACTION} AS action FROM ({DOCS})",
     "stream_event_counts": _COUNTS,

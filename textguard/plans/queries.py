@@ -608,6 +608,40 @@ def settings_unlisted_model(spark, folder):
     ).withColumnRenamed("text", "sanitized").drop("source")
 
 
+def _profiles(spark, folder):
+    return written(settings.with_defaults(source_settings(spark, folder)), "settings")
+
+
+def _own_profile(row_id):
+    return F.concat(F.lit("src"), (row_id % 20).cast("string"))
+
+
+def search_by_settings(spark, folder):
+    requests = page_requests(spark, folder).withColumn("profile_id", _own_profile(F.col("request_id")))
+    responses, _ = flows.search_flow(
+        requests, search.parse_body(landed_pages(spark, folder)),
+        make_scorer=keyword_scorer, settings=_profiles(spark, folder),
+    )
+    return _flat_responses(responses)
+
+
+def requests_by_settings(spark, folder):
+    requests = line_requests(spark, folder).withColumn("profile_id", _own_profile(F.col("request_id")))
+    responses, _ = flows.sanitize_flow(
+        requests, make_scorer=keyword_scorer, settings=_profiles(spark, folder)
+    )
+    return _flat_requests(responses)
+
+
+def pairs_by_settings(spark, folder):
+    conv = F.split_part("pair_id", F.lit("-"), F.lit(1)).cast("bigint")
+    pairs = conversation_pairs(spark, folder).withColumn("profile_id", _own_profile(conv))
+    reports, _ = flows.pair_flow(
+        pairs, make_scorer=keyword_scorer, settings=_profiles(spark, folder)
+    )
+    return _flat_reports(reports)
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -694,6 +728,7 @@ QUERIES = {
         config_gated_sanitize, settings_guarded, stream_sanitize, stream_dlp, stream_event_counts,
         search_guarded, search_partial, search_sink, requests_guarded, requests_sink,
         pairs_guarded, pairs_sink, latency_percentiles_hot, semantic_outage,
-        settings_unlisted_model, stream_event_log, stream_guarded,
+        settings_unlisted_model, search_by_settings, requests_by_settings, pairs_by_settings,
+        stream_event_log, stream_guarded,
     )
 }
