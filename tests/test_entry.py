@@ -53,6 +53,19 @@ def test_plan(spark, name):
         assert shuffles == plan.count("REPARTITION_BY_NUM")
 
 
+@pytest.mark.parametrize(
+    "name, function, most",
+    [
+        ("sanitize_requests", "regexp_replace", 6), ("normalize_searxng", "from_json", 2),
+        ("normalize_brave", "from_json", 2), ("provider_routing", "from_json", 2),
+        ("semantic_candidates", "SortAggregate", 0), ("semantic_prompt", "SortAggregate", 0),
+    ],
+)  # a body and its items are each parsed once, a rule is named once
+def test_nothing_is_done_twice(spark, name, function, most):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(function) == most
+
+
 def test_scan_reads_only_what_is_used(spark, capsys):
     QUERIES["sanitize_documents"](spark, FOLDER).explain("formatted")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in capsys.readouterr().out

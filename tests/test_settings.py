@@ -94,3 +94,16 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
         reason = "profile not listed" if name == "odd" else None
         expected.append((i, name, text, fixed.MARKER_PREFIX in text, reason))
     assert found == sorted(expected)
+
+
+def test_rows_with_their_own_patterns(spark):
+    lists = [[r"a\.b"], ["(", "x"], ["x*"], [r"(?i)TEXT", "a"], [], None, ["a", None]]
+    rows = [(i, own, TEXT) for i, own in enumerate(lists)] * 2 + [(9, [r"a\.b"], None)]
+    frame = spark.createDataFrame(rows, "id int, own array<string>, t string")
+    want = [brute.clean(TEXT, [r"a\.b"]), *[brute.clean(TEXT)] * 2, brute.clean(TEXT, ["(?i)TEXT", "a"]), *[brute.clean(TEXT)] * 3]
+    for chains in (64, 1):
+        got = gating.sanitize_by_lists(frame, "t", "own", chains).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.t == ("" if r.id == 9 else want[r.id])
+            assert (r.reason is not None) == (r.id in (1, 2, 6))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import fixed, inbound
+from textguard.functions.dialect import to_java
 from textguard.operators.joins import lookup_join
-from textguard.sources.rules import INJECTION, Rule
+from textguard.session import written
+from textguard.sources.rules import INJECTION, Rule, check_rules, custom_rules
 
 
 def with_settings(
@@ -55,3 +59,74 @@ def gated_sanitize(text: Column | str, rules: Sequence[Rule] = INJECTION) -> Col
     ruled = chain if guard is None else F.when(guard, chain).otherwise(text)
     scrubbed = inbound.scrub(F.coalesce(ruled, F.lit("")), "blocklist")
     return F.when(F.col("protected"), scrubbed).otherwise(text)
+
+
+#: Lists of patterns that become replacement chains of their own; more are joined to the rows.
+CHAINS = 64
+
+
+def sanitize_by_lists(
+    frame: DataFrame, text: str, patterns: str, chains: int = CHAINS
+) -> DataFrame:
+    """Sanitise each row by the list of patterns in its ``patterns`` column.
+
+    Lists hold patterns as users write them. Every different list is translated and compiled
+    once before the job; a row whose list has a pattern that does not compile, or that matches
+    the empty string, is treated by the built-in rules and says so in ``reason``. An empty or
+    NULL list stands for the built-in rules. Few lists become literal chains, each compiled once;
+    of many, the translation is joined to the rows.
+    """
+    spark = frame.sparkSession
+    lists = frame.select(patterns).filter(F.size(patterns) > 0).distinct()
+    found = [r[0] for r in lists.limit(chains + 1).collect()]
+    plain = inbound.sanitize(text)
+    if len(found) > chains:
+        known = written(_translated(lists, patterns), "pattern-lists")
+        key = F.to_json(F.struct(patterns))
+        joined = lookup_join(frame.withColumn("_list", key), known, "_list", ["_list"])
+        own = inbound.sanitize_with(text, "_java")
+        return joined.withColumn(text, own).drop("_list", "_java")
+    result, reason = plain, F.lit(None).cast("string")
+    for own in found:
+        same = F.col(patterns) == F.array(*(F.lit(p).cast("string") for p in own))
+        bad = _refused(spark, own)
+        if bad:
+            reason = F.when(same, F.lit(bad)).otherwise(reason)
+        else:
+            result = F.when(same, inbound.sanitize(text, custom_rules(own))).otherwise(result)
+    return frame.withColumns({text: result, "reason": reason})
+
+
+def _refused(spark: SparkSession, patterns: Sequence[str | None]) -> str | None:
+    """Why a list cannot be used."""
+    if any(p is None for p in patterns):
+        return "pattern missing"
+    try:
+        check_rules(spark, custom_rules(patterns))
+    except (ValueError, re.error) as error:
+        return str(error)
+    return None
+
+
+def _translated(lists: DataFrame, patterns: str) -> DataFrame:
+    """``_list`` with ``_java``, its patterns for Spark, or a ``reason`` against it."""
+
+    def java(own: list) -> tuple[list[str] | None, str | None]:
+        try:
+            if any(p is None for p in own):
+                return None, "pattern missing"
+            if any(re.search(p, "") for p in own):
+                return None, "pattern matches the empty string"
+            return [to_java(p) for p in own], None
+        except re.error as error:
+            return None, f"pattern does not compile: {error}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [java(list(own)) for own in batch["own"]]
+            yield pd.DataFrame(
+                {"_list": batch["_list"], "_java": [m[0] for m in made], "reason": [m[1] for m in made]}
+            )
+
+    keyed = lists.select(F.to_json(F.struct(patterns)).alias("_list"), F.col(patterns).alias("own"))
+    return keyed.mapInPandas(run, "_list string, _java array<string>, reason string")

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import anonymize, egress, inbound
-from textguard.functions.dialect import to_java
 from textguard.operators import events, findings, gating
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
@@ -84,11 +83,10 @@ def custom_rules_sanitize(spark, folder):
 
 
 def row_rules_sanitize(spark, folder):
-    java = [to_java(p) for p in CUSTOM_PATTERNS]
-    patterns = F.when(F.col("lang") == "en", F.array(*(F.lit(p) for p in java)))
-    return documents(spark, folder, "lang").select(
-        "doc_id", inbound.sanitize_with("text", patterns).alias("sanitized")
-    )
+    own = F.when(F.col("lang") == "en", F.array(*(F.lit(p) for p in CUSTOM_PATTERNS)))
+    rows = documents(spark, folder, "lang").withColumn("patterns", own)
+    clean = gating.sanitize_by_lists(rows, "text", "patterns")
+    return clean.select("doc_id", F.col("text").alias("sanitized"))
 
 
 def blocklist_sanitize(spark, folder):
