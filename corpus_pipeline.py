@@ -41,12 +41,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(spread(docs), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path)
-    same = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return decoded.select(
-        "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless")
-    )
+    encoded = bpe.encode(spread(docs), path, public_tokenizers.PATTERN, lossless="lossless")
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -96,7 +96,9 @@ def test_rank_queue():
 def test_frames(spark, library):
     rows = [(1, "a b", "x"), (None, None, None), (3, "", "y"), (1, "a b", "x"), (4, "word " * 30000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, IDS string")
-    encoded = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    checked = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, lossless="ok")
+    assert checked.columns == ["doc_id", "text", "ids", "ok"] and checked.filter("NOT ok").isEmpty()
+    encoded = bpe.decode(checked.drop("ok"), RANKS)
     assert encoded.columns == ["doc_id", "text", "ids", "decoded"]
     for row in encoded.collect():
         assert row.ids == library.encode_ordinary(row.text or "")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textguard.llm.common import Columns, Shipped, append, texts
+from textguard.llm.common import TEXTS_AT_ONCE, Columns, Shipped, append, slices, texts
 from textguard.llm.merging import Merger, Pool
 from textguard.llm.splitting import Splitter
 
@@ -63,11 +63,14 @@ class Encoder:
         return out, all_counts
 
     def encode(self, values: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        self.pool.trim()
-        numbers = [self.pool.number(parts := self.split(v), len(parts)) for v in values]
-        self.pool.fill()
-        return [self.pool.expand(n) for n in numbers]
+        """Ids of each text. Texts are merged in groups of bounded size."""
+        out = []
+        for group in slices(values, TEXTS_AT_ONCE):
+            self.pool.trim()
+            numbers = [self.pool.number(parts := self.split(v), len(parts)) for v in group]
+            self.pool.fill()
+            out += [self.pool.expand(n) for n in numbers]
+        return out
 
 
 class Decoder:
@@ -91,28 +94,44 @@ def worker_decoder(ranks: Shipped) -> Decoder:
     return Decoder(ranks.data.value)
 
 
-def encode(frame: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    frame: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    lossless: str | None = None,
+) -> DataFrame:
     """Token ids of each whole text, as an array of integers in ``ids``.
 
     ``path`` names a file of ranks on the driver, ``pattern`` splits a text into pre-tokens.
-    A null or empty text has no ids. Rows are independent: repeated rows give repeated results,
-    an empty table an empty one. A column named as ``ids`` is replaced, other columns stay. The
-    time grows with a text's length times the logarithm of its longest pre-token.
+    ``lossless`` names a column that says whether the ids decode to the text again; it is found
+    where the ids are made. A null or empty text has no ids. Rows are independent: repeated rows
+    give repeated results, an empty table an empty one. Columns named as the new ones are
+    replaced, others stay. The time grows with a text's length times the logarithm of its
+    longest pre-token.
     """
     ranks = Shipped(frame.sparkSession, path)
 
     def make() -> Callable[[pa.RecordBatch], Columns]:
         encoder = worker_encoder(ranks, pattern)
+        decoder = worker_decoder(ranks) if lossless else None
 
         def encoded(batch: pa.RecordBatch) -> Columns:
-            rows = encoder.encode(texts(batch, text))
+            values = texts(batch, text)
+            rows = encoder.encode(values)
             ends = np.cumsum([0, *map(len, rows)])
-            values = np.concatenate([np.empty(0, np.int32), *rows])
-            return {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
+            flat = np.concatenate([np.empty(0, np.int32), *rows])
+            made = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+            if decoder:
+                same = [decoder.decode(r) == v.encode() for r, v in zip(rows, values, strict=True)]
+                made[lossless] = pa.array(same, pa.bool_())
+            return made
 
         return encoded
 
-    return append(frame, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    return append(frame, make, fields + [T.StructField(lossless, T.BooleanType())] * bool(lossless))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -60,6 +60,24 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+#: Characters of texts that a worker takes apart at once.
+TEXTS_AT_ONCE = 8 << 20
+
+
+def slices(values: Sequence[str], most: int) -> Iterator[list[str]]:
+    """Consecutive runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    run: list[str] = []
+    size = 0
+    for value in values:
+        if run and size + len(value) > most:
+            yield run
+            run, size = [], 0
+        run.append(value)
+        size += len(value)
+    if run:
+        yield run
+
+
 class Shipped:
     """A file's bytes, broadcast once; equal if the bytes are.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Pre-tokens a worker remembers from batch to batch. It bounds memory and changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 class RankQueue:
@@ -196,7 +196,7 @@ class Pool:
         self.counts = np.empty(0, np.int64)
 
     def number(self, parts: Iterable[str], size: int) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, size)
+        return np.fromiter(map(self.numbers.__getitem__, parts), np.int32, size)
 
     def fill(self) -> None:
         """Merges all pre-tokens numbered since the last call."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.llm.common import Columns, Shipped, append, texts
+from textguard.llm.common import TEXTS_AT_ONCE, Columns, Shipped, append, slices, texts
 from textguard.llm.merging import Merger, Pool
 from textguard.llm.splitting import Splitter
 
@@ -109,15 +109,18 @@ class Counter:
 
     def count(self, values: list[str]) -> list[int]:
         """Tokens of each text; an added string in it is one token and parts the rest."""
-        self.pool.trim()
-        strings, numbers = [], []
-        for value in values:
-            pieces = self.added.split(value) if self.added else [value]
-            parts = [part for piece in pieces for part in self.split(piece)]
-            strings.append(len(pieces) - 1)
-            numbers.append(self.pool.number(parts, len(parts)))
-        self.pool.fill()
-        return [s + int(self.pool.values[n].sum()) for s, n in zip(strings, numbers, strict=True)]
+        out: list[int] = []
+        for group in slices(values, TEXTS_AT_ONCE):
+            self.pool.trim()
+            strings, numbers = [], []
+            for value in group:
+                pieces = self.added.split(value) if self.added else [value]
+                parts = [part for piece in pieces for part in self.split(piece)]
+                strings.append(len(pieces) - 1)
+                numbers.append(self.pool.number(parts, len(parts)))
+            self.pool.fill()
+            out += [s + int(self.pool.values[n].sum()) for s, n in zip(strings, numbers, strict=True)]
+        return out
 
 
 @lru_cache(maxsize=4)
