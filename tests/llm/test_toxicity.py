@@ -20,7 +20,7 @@ def test_swaps_stay_within_a_kind():
 def row(text, label, swap=True):
     found = toxicity.words(text)
     turned = toxicity.swapped(found)
-    buckets = lambda w: sorted(toxicity.word_buckets(set(w)))
+    buckets = lambda w: np.array(sorted(toxicity.word_buckets(set(w))), int)
     return buckets(found), buckets(turned) if turned and swap else None, label
 
 

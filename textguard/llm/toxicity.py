@@ -17,7 +17,7 @@ from textguard.llm.common import Columns, append, texts
 
 #: Buckets of hashed words, words the model may use, labelled rows it is fitted on, the longest
 #: text among these in bytes.
-BUCKETS, USED, SAMPLE, SAMPLE_BYTES = 1 << 18, 400, 6000, 100_000
+BUCKETS, USED, SAMPLE, SAMPLE_BYTES = 1 << 18, 400, 20_000, 100_000
 #: Weight of the squared change of a score under a swap, and of the absolute weights.
 SWAP_PENALTY, SPARSITY = 10.0, 1e-4
 
@@ -75,14 +75,14 @@ def swapped(found: list[str]) -> list[str] | None:
     return [other.get(w, w) for w in found]
 
 
-def train(rows: list[tuple[list[int], list[int] | None, int]], rounds: int = 400) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray | None, int]], rounds: int = 400) -> Model:
     """Sparse logistic regression with a penalty on score changes under swaps.
 
     ``rows`` have the buckets of a text, those of its swapped form (or None) and the label. Only
     the ``USED`` buckets that tell labels apart best are used. Accelerated proximal gradient; the
     same rows give the same model. Without both labels every score is the share of label 1.
     """
-    y = np.array([r[2] for r in rows], float)
+    y = np.array([r[2] for r in rows], np.float32)
     n, hot = len(rows), int(y.sum()) if len(y) else 0
     if not n or hot in (0, n):
         share = np.clip((hot + 0.5) / (n + 1), 0.01, 0.99)
@@ -97,12 +97,14 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], rounds: int = 400
         signal = np.where((total >= 3) & (spread > 0), (seen[1] - expected) ** 2 / spread, 0)
     used = np.argsort(-signal, kind="stable")[:USED]
     used = used[signal[used] > 0]
-    place = {int(b): i for i, b in enumerate(used)}
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
 
-    def matrix(lists: list[list[int]]) -> np.ndarray:
+    def matrix(lists: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(lists), len(used)), np.float32)
         for i, found in enumerate(lists):
-            out[i, [place[b] for b in found if b in place]] = 1
+            at = place[found]
+            out[i, at[at >= 0]] = 1
         return out
 
     x = matrix([r[0] for r in rows])
@@ -112,18 +114,20 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], rounds: int = 400
     # Labels weigh the same, so that a rare label is not given up for a common one.
     weight = np.where(y == 1, 0.5 / hot, 0.5 / (n - hot)).astype(np.float32)
     bound = 0.25 * _norm(x * np.sqrt(weight)[:, None]) + 2 * SWAP_PENALTY * _norm(change) / max(1, len(change)) + 0.25
-    w, b = np.zeros(len(used)), 0.0
+    w, b = np.zeros(len(used), np.float32), 0.0
     ahead, ahead_b, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        miss = weight * (1 / (1 + np.exp(-np.clip(x @ ahead + ahead_b, -60, 60))) - y)
+        # Single precision throughout: mixed with double the whole matrix would be copied each time.
+        miss = weight * (1 / (1 + np.exp(-np.clip(x @ ahead + np.float32(ahead_b), -60, 60))) - y)
         slope = x.T @ miss
         if len(change):
             slope = slope + 2 * SWAP_PENALTY * (change.T @ (change @ ahead)) / len(change)
-        new = ahead - slope / bound
+        new = ahead - (slope / bound).astype(np.float32)
         new = np.sign(new) * np.maximum(np.abs(new) - SPARSITY / bound, 0)
         new_b = ahead_b - miss.sum() / bound
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+        ahead = new + np.float32((t - 1) / t_new) * (new - w)
+        ahead_b = new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
     return Model(float(b), {int(k): float(v) for k, v in zip(used, w, strict=True) if v})
 
@@ -132,7 +136,7 @@ def _norm(x: np.ndarray) -> float:
     """Largest eigenvalue of x'x, by power iteration."""
     if not x.size:
         return 0.0
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), np.float32)
     for _ in range(30):
         v = x.T @ (x @ v)
         size = float(np.linalg.norm(v))
@@ -179,9 +183,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return columns
 
     made = append(sampled, make, [T.StructField("buckets", kind), T.StructField("swapped", kind)])
-    rows = made.select("doc_id", "buckets", "swapped", "toxic").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.buckets))
-    return train([(r.buckets, r.swapped, r.toxic) for r in rows])
+    found = made.select("doc_id", "buckets", "swapped", "toxic").limit(4 * sample).toArrow()
+    return train(_rows(found))
+
+
+def _rows(found: pa.Table) -> list[tuple]:
+    """Rows for ``train`` as arrays, in an order that does not depend on how they came."""
+    found = found.combine_chunks()
+    ids, labels = found["doc_id"].to_pylist(), found["toxic"].to_pylist()
+    plain, other = ([v.values.to_numpy() if v.is_valid else None for v in found[c]] for c in ("buckets", "swapped"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], plain[i].tobytes()))
+    return [(plain[i], other[i], labels[i]) for i in order]
 
 
 def scored(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
