@@ -12,10 +12,11 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of all ids in links ``a``, ``b``.
 
     In each round every id points to its smallest smaller neighbour, pointers are followed to
-    their roots by doubling, and links are drawn again between roots, until none is left. A
-    round at least halves what is not yet joined. Links may repeat, point either way or to
-    themselves; null ends are ignored. No links give an empty result. Each table is written, so
-    that a lost executor costs one step; none goes to the driver.
+    their roots by doubling, and links are drawn again between roots, until none is left; every
+    round joins all ids that have a smaller neighbour, so chains and stars take one or two. Links
+    may repeat, point either way or to themselves; null ends are ignored. No links give an empty
+    result. Each table is written, so that a lost executor costs one step; none goes to the
+    driver.
     """
     links = written(_ordered(links), "links")
     found = None
