@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by shingles of five words."""
-    return simhash.one_of_each(spread(docs), shingle=5, distance=3, prints=4)
+    return simhash.one_of_each(spread(docs), shingle=5, distance=3, prints=8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

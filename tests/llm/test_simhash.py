@@ -5,6 +5,8 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from textguard.llm import queries, simhash
 from textguard.llm.components import components
 
@@ -60,6 +62,9 @@ def test_near_pairs(spark):
             if bin((a[0] ^ b[0]) & (1 << 64) - 1).count("1") <= distance
         }
         assert got == want
+    kinds = frame.withColumn("kind", F.abs(F.col("fingerprint") % 2) + 1)
+    mixed = {(r.kind, frozenset((r.a, r.b))) for r in simhash.near_pairs(kinds).collect()}
+    assert mixed == {(min(p) % 2 + 1, p) for p in want if len({x % 2 for x in p}) == 1}
 
 
 def test_components(spark):
@@ -97,7 +102,7 @@ def test_more_prints_find_more(spark):
         words[rng.randrange(300)] = "changed"
         rows.append((10 * i + 1, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for prints in (1, 4):
+    for prints in (1, 8):
         kept = {r.doc_id for r in simhash.one_of_each(docs, prints=prints).collect()}
         assert {10 * i for i in range(120)} <= kept
         kept_most, before = len(kept), kept_most

@@ -79,42 +79,32 @@ def fingerprinted(frame: DataFrame, shingle: int, text: str = "text", out: str =
 def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs ``a``, ``b`` of different fingerprints with at most ``distance`` differing bits.
 
-    ``prints`` has different longs in ``fingerprint`` and must be a table. The popcounts of the
-    segments of a fingerprint are a point whose Manhattan distance to another point is never
-    larger than the Hamming distance. Of two halves of the segments at least one is within half
-    the distance, so points are laid out on a grid for each half and every fingerprint meets the
-    cells around its own; bits are compared exactly where two meet. A pair can come up once for
-    each half.
+    ``prints`` is a table with longs in ``fingerprint``, different within a ``kind`` (a small
+    integer, 0 where there is no such column); only those of a kind are compared, and pairs carry
+    it. The popcounts of the segments of a fingerprint are a point whose Manhattan distance to
+    another point is never larger than the Hamming distance. Of two halves of the segments at
+    least one is within half the distance, so points are laid out on a grid for each half and
+    every fingerprint meets the cells one step up from its own; bits are compared exactly where
+    two meet. A pair can come up several times.
     """
     if distance not in (0, 1, 2, 3):
         raise ValueError("the grid finds pairs of up to 3 differing bits")
+    kind = F.col("kind") if "kind" in prints.columns else F.lit(0)
     halves = [_half(i) for i in range(2)]
-    cells = prints.select("fingerprint", F.posexplode(F.array(*halves)).alias("half", "counts"))
-    powers = [3**i for i in range(BITS // SEGMENT // 2)]
-    own = F.aggregate(
-        F.zip_with("counts", F.array(*map(F.lit, powers)), lambda c, p: c * p),
-        F.lit(0),
-        lambda total, x: total + x,
-    )
-    cells = cells.withColumn("cell", own)
-    steps = F.zip_with(
-        "counts",
-        F.array(*map(F.lit, powers)),
-        lambda c, p: F.when(c < SEGMENT, p),
-    )
-    up = F.filter(steps, lambda s: s.isNotNull()) if distance > 1 else F.array().cast("array<int>")
-    ring = F.concat(F.array(F.lit(0)), up)
-    here = cells.select(F.col("fingerprint").alias("b"), "half", "cell")
-    probes = cells.select(F.col("fingerprint").alias("a"), "half", "cell", F.explode(ring).alias("step"))
-    probes = probes.select("a", "half", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("same"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    # In one cell both of a pair meet each other; the smaller is kept as the first.
-    met = (~F.col("same") | (F.col("a") < F.col("b"))) & near
-    joined = probes.alias("p").join(
-        here.hint("shuffle_hash").alias("h"),
-        (F.col("p.half") == F.col("h.half")) & (F.col("p.cell") == F.col("h.cell")) & met,
-    )
-    return joined.select("a", "b")
+    cells = prints.select("fingerprint", kind.alias("kind"), F.posexplode(F.array(*halves)).alias("half", "counts"))
+    powers = F.array(*(F.lit(3**i) for i in range(BITS // SEGMENT // 2)))
+    own = F.aggregate(F.zip_with("counts", powers, lambda c, p: c * p), F.lit(0), lambda total, x: total + x)
+    # One number for kind, half and cell; a step up stays within the half's numbers.
+    grid = (F.col("kind") * 2 + F.col("half")).cast("long") * 3 ** (BITS // SEGMENT // 2)
+    cells = cells.withColumn("cell", grid + own)
+    up = F.filter(F.zip_with("counts", powers, lambda c, p: F.when(c < SEGMENT, p)), F.isnotnull)
+    ring = F.concat(F.array(F.lit(0)), up) if distance > 1 else F.array(F.lit(0))
+    here = cells.select(F.col("fingerprint").alias("b"), "cell", "kind")
+    probes = cells.select(F.col("fingerprint").alias("a"), "cell", F.explode(ring).alias("step"))
+    probes = probes.select("a", (F.col("cell") + F.col("step")).alias("at"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, distance)
+    joined = probes.join(here.hint("shuffle_hash"), (F.col("at") == F.col("cell")) & near)
+    return joined.select("a", "b", "kind") if "kind" in prints.columns else joined.select("a", "b")
 
 
 def _half(which: int) -> Column:
@@ -153,7 +143,7 @@ def as_hex(fingerprint: str) -> Column:
 
 
 def one_of_each(
-    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3, prints: int = 4
+    frame: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3, prints: int = 8
 ) -> DataFrame:
     """The rows of a frame without near-duplicates: of each group that with the smallest key.
 
@@ -176,17 +166,17 @@ def one_of_each(
     narrow = marked.select("__prints", order.alias("order"))
     classes = narrow.groupBy("__prints").agg(F.min("order").alias("order"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = None
-    for which in range(prints):
-        one = classes.select("id", F.col("__prints")[which].alias("fingerprint"))
-        firsts = written(one.groupBy("fingerprint").agg(F.min("id").alias("first")), "firsts")
-        same = one.join(firsts, "fingerprint").select(F.col("id").alias("a"), F.col("first").alias("b"))
-        near = near_pairs(firsts.select("fingerprint"), distance)
-        for end in ("a", "b"):
-            near = near.join(firsts.withColumnsRenamed({"fingerprint": end, "first": f"__{end}"}), end)
-        both = same.unionByName(near.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
-        links = both if links is None else links.unionByName(both)
+    each = classes.select("id", F.posexplode("__prints").alias("kind", "fingerprint"))
+    firsts = written(each.groupBy("kind", "fingerprint").agg(F.min("id").alias("first")), "firsts")
+    same = each.join(firsts, ["kind", "fingerprint"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    near = near_pairs(firsts.select("kind", "fingerprint"), distance)
+    for end in ("a", "b"):
+        ids = firsts.select("kind", F.col("fingerprint").alias(end), F.col("first").alias(f"__{end}"))
+        near = near.join(ids, ["kind", end])
+    links = same.unionByName(near.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
     joined = components(links)
     grouped = classes.join(joined, "id", "left").withColumn("group", F.coalesce("component", "id"))
     kept = grouped.groupBy("group").agg(F.min("order").alias("least")).select(F.col("least.row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*columns)
+    # The rows that go are fewer than those that stay; Spark may send them to where the texts are.
+    gone = written(marked.select("__row").join(kept, "__row", "left_anti"), "gone")
+    return marked.join(gone, "__row", "left_anti").select(*columns)
