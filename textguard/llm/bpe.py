@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textguard.llm.common import TEXTS_AT_ONCE, Columns, Shipped, append, slices, texts
+from textguard.llm.common import Columns, Shipped, append, texts
 from textguard.llm.merging import Merger, Pool
 from textguard.llm.splitting import Splitter
 
@@ -63,14 +63,11 @@ class Encoder:
         return out, all_counts
 
     def encode(self, values: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Texts are merged in groups of bounded size."""
-        out = []
-        for group in slices(values, TEXTS_AT_ONCE):
-            self.pool.trim()
-            numbers = [self.pool.number(parts := self.split(v), len(parts)) for v in group]
-            self.pool.fill()
-            out += [self.pool.expand(n) for n in numbers]
-        return out
+        """Ids of each text."""
+        self.pool.trim()
+        numbers = [self.pool.number(parts := self.split(v), len(parts)) for v in values]
+        self.pool.fill()
+        return [self.pool.expand(n) for n in numbers]
 
 
 class Decoder:

@@ -15,6 +15,9 @@ from textguard.session import ship_package, spread
 #: What an Arrow function makes of a batch: an array for each new or replaced column.
 Columns = dict[str, pa.Array]
 
+#: Bytes of a batch that a function works on at once.
+PIECE = 8 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
     """A table of the folder, spread where it is one small file."""
@@ -41,7 +44,7 @@ def append(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 columns = function(batch)
                 yield pa.RecordBatch.from_arrays(
@@ -55,29 +58,19 @@ def append(
     return frame.mapInArrow(run, schema)
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``PIECE`` bytes, which bounds what is made of them."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-#: Characters of texts that a worker takes apart at once.
-TEXTS_AT_ONCE = 8 << 20
-
-
-def slices(values: Sequence[str], most: int) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about ``most`` characters; a longer text is a run of its own."""
-    run: list[str] = []
-    size = 0
-    for value in values:
-        if run and size + len(value) > most:
-            yield run
-            run, size = [], 0
-        run.append(value)
-        size += len(value)
-    if run:
-        yield run
-
-
 class Shipped:
     """A file's bytes, broadcast once; equal if the bytes are.
 
