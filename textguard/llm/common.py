@@ -35,6 +35,7 @@ def append(
     (in any letter case, as Spark compares names); all other columns stay as they are.
     """
     ship_package(frame.sparkSession)
+    _small_batches(frame.sparkSession)
     new = {f.name.lower(): f for f in fields}
     kept = [new.pop(f.name.lower(), f) for f in frame.schema]
     schema = T.StructType([*kept, *new.values()])
@@ -54,10 +55,22 @@ def append(
                     ],
                     names=names,
                 )
+        # The worker process outlives its task; what the task held goes back now.
+        pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Lets Spark send batches of about ``PIECE`` bytes, where a session still has its default.
+
+    A batch is held by the JVM and by the worker at once.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name).removesuffix("b") == str(default):
+        spark.conf.set(name, str(PIECE))
+
+
 def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows of about ``PIECE`` bytes, which bounds what is made of them."""
     for batch in batches:
