@@ -104,3 +104,15 @@ def test_whole_table(spark):
         # Outside mentions nothing changes.
         assert private.sub("", old) == private.sub("", row.text) and (row.n_entities > 0) == bool(spans)
     assert hits > 20
+
+
+def test_more_names_than_short_ones(spark):
+    kinds = {"given_f_latin": 4500, "given_x_latin": 3000, "surname_cyrillic": 300, "given_x_greek": 1500}
+    known = {f"{kind}:n{i}" for kind, n in kinds.items() for i in range(n)}
+    drawn = {r.entity: r.draw for r in pii.redrawn(spark.createDataFrame([(e,) for e in known], "entity string"), KEY).collect()}
+    made = set()
+    for e in known:
+        kind, _, form = e.partition(":")
+        made.add(f"{kind}:{pii.surrogate(KEY, kind, form, drawn.get(e, 0))}")
+    assert len(made) == len(known) and not made & known
+    assert max(drawn.values()) < 12

@@ -20,6 +20,8 @@ from textguard.session import written
 BROADCAST = 100_000
 #: Draws after which a name that meets no free surrogate is an error.
 DRAWS = 64
+#: Parts by which made-up names grow at most, one a draw.
+LONGER = 16
 
 #: Titles that tell a name, by gender (f, m, or x for either).
 TITLES = {
@@ -235,7 +237,8 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
     parts, ends = _PARTS[script], _ENDS[script][base.removeprefix("given").removeprefix("_") if base != "surname" else ""].split()
     seed = _round(key, tweak, 0, int.from_bytes(hashlib.sha256(form.encode()).digest(), "big"))
     made = []
-    for _ in range(2 if base.startswith("given") else 3):
+    # Each draw has names one part longer, so that however many are taken some are free.
+    for _ in range((2 if base.startswith("given") else 3) + min(draw, LONGER)):
         seed, at = divmod(seed, len(parts))
         made.append(parts[at])
     return "".join(made) + ends[seed % len(ends)]
