@@ -116,3 +116,27 @@ def test_more_names_than_short_ones(spark):
         made.add(f"{kind}:{pii.surrogate(KEY, kind, form, drawn.get(e, 0))}")
     assert len(made) == len(known) and not made & known
     assert max(drawn.values()) < 12
+
+
+def test_every_script(spark):
+    arabic = lambda text: text.translate({48 + i: 0x660 + i for i in range(10)})
+    persian = lambda text: text.translate({48 + i: 0x6F0 + i for i in range(10)})
+    hindi = lambda text: text.translate({48 + i: 0x966 + i for i in range(10)})
+    mentions = [
+        arabic("078-05-1120"), persian("212-555-0100"), hindi("4111 1111 1111 1111"), arabic("10.1.2.3"), persian("4111111111111112"),
+        "DE" + hindi("89") + "370400440532013000", "用户@例子.广告", "كاتب@مثال.شبكة", "이름@보기.한국", "łšž@őűğ.pl", "²@例.广告", "...@example.com",
+    ]
+    texts = [f"so {m} !" for m in mentions] + [f"{a}@b.com" for a in "abcdefghijklmnopqrstuvwxyz"]
+    assert [len(pii.detect(t)) for t in texts] == [1] * len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r.text for r in pii.pseudonymised(docs, KEY).collect()}
+    assert len(set(made.values())) == len(texts) and not set(made.values()) & set(texts)
+    for i, m in enumerate(mentions[:6]):
+        new = made[i][3:-2]
+        kinds = lambda text: [(c.isdecimal() and ord(c) - int(c)) or c for c in text]
+        assert set(kinds(new)) <= set(kinds(m)) | set("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        assert m[:-1] != new[:-1] and [e.kind for e in pii.detect(made[i])] == [pii.detect(texts[i])[0].kind]
+    # A number is one entity in all digits.
+    a, b = pii.replaced(f"{mentions[2]} 4111 1111 1111 1111", KEY, {})[0][:19], pii.surrogate(KEY, "card", "4111111111111111")
+    assert pii._ascii(a).replace(" ", "") == b
+    assert made[6][3:-2] != mentions[6] and "用" not in made[6] and "例子" not in made[6] and made[6].endswith(".广告 !")

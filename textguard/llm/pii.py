@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,8 +21,10 @@ from textguard.session import written
 BROADCAST = 100_000
 #: Draws after which a name that meets no free surrogate is an error.
 DRAWS = 64
-#: Parts by which made-up names grow at most, one a draw.
+#: Parts or letters by which made-up names and emails grow at most, one a draw.
 LONGER = 16
+#: Draws in which an email keeps its length; from then on it grows as names do.
+SAME = 3
 
 #: Titles that tell a name, by gender (f, m, or x for either).
 TITLES = {
@@ -119,14 +122,19 @@ def _form(kind: str, surface: str) -> str:
         octets = [int(o) for o in surface.split(".")]
         return ".".join(map(str, octets)) if max(octets) < 256 else ""
     if kind == "iban":
-        form = surface.replace(" ", "")
+        form = _ascii(surface.replace(" ", ""))
         return form if _mod97(form[4:] + form[:4]) == 1 else ""
-    digits = re.sub(r"\D", "", surface)
+    digits = _ascii(re.sub(r"\D", "", surface))
     if kind == "phone" and not surface.startswith("+"):
         return "1" + digits  # a local spelling of the same number
     return digits
 
 
+def _ascii(text: str) -> str:
+    """The text with the decimal digits of every script as 0 to 9."""
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
 def _script(name: str) -> str:
     return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
 
@@ -139,6 +147,27 @@ _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèé
 _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
 
 
+def _trait(c: str) -> tuple[str, str, bool]:
+    """What the characters of an alphabet have in common: script, category, and keeping both cases apart from others."""
+    return unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c), c.lower() == c == c.upper().lower()
+
+
+@lru_cache(maxsize=2000)
+def _alphabet(c: str) -> str:
+    """The characters that a character moves among; empty for one that is neither letter nor number.
+
+    Beside the listed alphabets these are the ten digits of a script, and the letters or other
+    numbers of one script among 256 neighbouring characters.
+    """
+    if c in _ALPHABET_OF or not c.isalnum():
+        return _ALPHABET_OF.get(c, "")
+    if c.isdecimal():
+        return "".join(chr(ord(c) - int(c) + i) for i in range(10))
+    page, trait = ord(c) & ~255, _trait(c)
+    near = map(chr, range(page, page + 256))
+    return "".join(n for n in near if n.isalnum() and n not in _ALPHABET_OF and not n.isdecimal() and _trait(n) == trait)
+
+
 def _round(key: bytes, tweak: str, step: int, value: int) -> int:
     data = f"{tweak}|{step}|{value}".encode()
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "big")
@@ -179,7 +208,7 @@ def _rewritten(key: bytes, tweak: str, text: str, alphabets: list[str]) -> str:
 
 
 def _plain(key: bytes, tweak: str, text: str) -> str:
-    return _rewritten(key, tweak, text, [_ALPHABET_OF.get(c, "") for c in text])
+    return _rewritten(key, tweak, text, [_alphabet(c) for c in text])
 
 
 def _luhn(digits: str) -> int:
@@ -214,7 +243,10 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
             name, top = name[: -len("example")], f"example.{top}"
             name = name.removesuffix(".")
         host = f"{_plain(key, 'host' + tweak, name)}.{top}" if name else top
-        return f"{_plain(key, f'{tweak}|{domain}', local)}@{host}"
+        # A short name, or one without letters, can be out of free surrogates; it grows.
+        seed = _round(key, tweak, 1, int.from_bytes(hashlib.sha256(form.encode()).digest(), "big"))
+        grown = "".join(chr(ord("a") + (seed >> 8 * i) % 26) for i in range(min(max(0, draw - SAME), LONGER)))
+        return f"{_plain(key, f'{tweak}|{domain}', local)}{grown}@{host}"
     if kind == "secret":
         return _rewritten(key, tweak, form, ["0123456789abcdef"] * len(form))
     if kind == "ip":
@@ -249,13 +281,18 @@ def written_as(kind: str, surface: str, made: str) -> str:
     if kind in ("email", "secret"):
         return made.upper() if surface.isupper() else made
     if kind == "ip":
-        return made
+        return made if surface.isascii() else "".join(_digit_as(c, surface[0]) for c in made)
     if "_" in kind:
         return made.upper() if surface.isupper() and len(surface) > 1 else made[:1].upper() + made[1:]
     if kind == "phone" and not surface.startswith("+"):
         made = made[1:]
     rest = iter(made)
-    return "".join(next(rest) if c.isalnum() else c for c in surface)
+    return "".join(_digit_as(next(rest), c) if c.isalnum() else c for c in surface)
+
+
+def _digit_as(digit: str, like: str) -> str:
+    """A digit in the script of another one."""
+    return chr(ord(like) - int(like) + int(digit)) if digit.isdecimal() and not like.isascii() else digit
 
 
 @lru_cache(maxsize=50_000)
