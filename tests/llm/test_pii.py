@@ -140,3 +140,20 @@ def test_every_script(spark):
     a, b = pii.replaced(f"{mentions[2]} 4111 1111 1111 1111", KEY, {})[0][:19], pii.surrogate(KEY, "card", "4111111111111111")
     assert pii._ascii(a).replace(" ", "") == b
     assert made[6][3:-2] != mentions[6] and "用" not in made[6] and "例子" not in made[6] and made[6].endswith(".广告 !")
+
+
+def test_names_of_all_shapes():
+    cases = {
+        "Г-н Петров; Г-жа Петрова": ["surname_cyrillic:петров", "surname_cyrillic:петрова"],
+        "Mr McDonald, Mrs. DeVito": ["surname_latin:mcdonald", "surname_latin:devito"],
+        "Dr O'Brien; Mr D’Angelo; Ms D'Arcy-O'Neil-Smith": ["surname_latin:o'brien", "surname_latin:d'angelo", "surname_latin:d'arcy-o'neil-smith"],
+        "Dr John McDonald": ["given_m_latin:john", "surname_latin:mcdonald"],
+        "Herr Łukasz Šimek; Ms Işık; Dr Ţepeş": ["given_m_latin:łukasz", "surname_latin:šimek", "surname_latin:işık", "surname_latin:ţepeş"],
+        "Г-н Їжакевич, Κυρία Ἀλεξίου": ["surname_cyrillic:їжакевич", "surname_greek:ἀλεξίου"],
+        "Jean-Mary Smith": ["given_f_latin:mary", "surname_latin:smith"],
+        "Mr OK, Mr McX, Drive Market": [],
+    }
+    for text, want in cases.items():
+        assert [f"{e.kind}:{e.form}" for e in pii.detect(text)] == want, text
+        new, n = pii.replaced(text, KEY, {})
+        assert n == len(want) and not any(w.split(":")[1] in new.lower().replace("’", "'") for w in want)

@@ -44,16 +44,26 @@ GIVEN = {
 _GENDER = {name.lower(): g for g, names in GIVEN.items() for name in names.split()}
 _TITLED = {title.lower(): g for g, titles in TITLES.items() for title in titles.split()}
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω", "a-zß-öø-ÿа-яёά-ώ"
-_NAME = rf"[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)?"
+
+def _letters(category: str) -> str:
+    """The Latin, Cyrillic and Greek letters of a category, as the inside of a class."""
+    named = re.compile("(?:LATIN|CYRILLIC|GREEK) (?:CAPITAL|SMALL) ")
+    return "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == category and named.match(unicodedata.name(c, "")))
+
+
+_UPPER, _LOWER = _letters("Lu"), _letters("Ll")
+#: A part of a name, as in McDonald or O'Brien, and parts joined by hyphens or apostrophes.
+_NAME_PART = rf"(?:[{_UPPER}]['’])?(?:[{_UPPER}][{_LOWER}]+)+"
+_NAME = rf"{_NAME_PART}(?:[-'’]{_NAME_PART})*"
 _PERSON = re.compile(
     rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, ' '.join(TITLES.values()).split()), key=len, reverse=True))})\.?[ \t]+"
     rf"(?P<first>{_NAME})(?:[ \t]+(?P<last>{_NAME}))?"
     rf"|(?P<given>{'|'.join(sorted(' '.join(GIVEN.values()).split(), key=len, reverse=True))})[ \t]+(?P<family>{_NAME}))(?!\w)"
 )
 #: A text without any of these words names nobody.
-_CAPITAL = re.compile(rf"[{_UPPER}][{_LOWER}]+(?:-[{_LOWER}]+)?")
-_TELLING = frozenset(" ".join([*TITLES.values(), *GIVEN.values()]).split())
+_TELLING = re.compile(
+    rf"(?:{'|'.join(sorted(map(re.escape, ' '.join([*TITLES.values(), *GIVEN.values()]).split()), key=len, reverse=True))})(?!\w)"
+)
 _GAP = r"[\s!*#$%&|.()/-]{0,6}"
 #: Patterns by kind, the surest first; a later one takes nothing of an earlier one's match.
 _PATTERNS = (
@@ -98,7 +108,7 @@ def detect(text: str) -> list[Entity]:
             for e in new:
                 rest = f"{rest[: e.start]}{chr(0) * (e.end - e.start)}{rest[e.end :]}"
             found += new
-    if not _TELLING.isdisjoint(_CAPITAL.findall(rest)):
+    if _TELLING.search(rest):
         for m in _PERSON.finditer(rest):
             if m["given"]:
                 gender = _GENDER[m["given"].lower()]
@@ -110,7 +120,7 @@ def detect(text: str) -> list[Entity]:
                 parts = [("first", gender), ("last", "")] if m["last"] else [("first", "")]
             for group, sex in parts:
                 kind = f"given_{sex}" if sex else "surname"
-                found.append(Entity(*m.span(group), f"{kind}_{_script(m[group])}", m[group].lower()))
+                found.append(Entity(*m.span(group), f"{kind}_{_script(m[group])}", m[group].lower().replace("’", "'")))
     return sorted(found, key=lambda e: e.start)
 
 
@@ -136,7 +146,7 @@ def _ascii(text: str) -> str:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
+    return unicodedata.name(name[0]).split(" ")[0].lower()
 
 
 def _mod97(text: str) -> int:
