@@ -96,6 +96,15 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
     assert found == sorted(expected)
 
 
+def test_patterns_that_only_java_refuses(spark):
+    lists = [[r"[^\S]x"], ["(?P<a_b>x)"], ["(x)?(?(1)y|z)"], [r"a\.b"], ["a", "(?P<a_b>x)"]]
+    frame = spark.createDataFrame([(i, own, TEXT) for i, own in enumerate(lists)], "id int, own array<string>, t string")
+    for chains in (64, 1):
+        for r in gating.sanitize_by_lists(frame, "t", "own", chains).collect():
+            assert r.t == (brute.clean(TEXT, [r"a\.b"]) if r.id == 3 else brute.clean(TEXT))
+            assert (r.reason is None) == (r.id == 3)
+
+
 def test_rows_with_their_own_patterns(spark):
     lists = [[r"a\.b"], ["(", "x"], ["x*"], [r"(?i)TEXT", "a"], [], None, ["a", None]]
     rows = [(i, own, TEXT) for i, own in enumerate(lists)] * 2 + [(9, [r"a\.b"], None)]

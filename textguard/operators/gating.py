@@ -118,7 +118,7 @@ def _translated(lists: DataFrame, patterns: str) -> DataFrame:
             if any(re.search(p, "") for p in own):
                 return None, "pattern matches the empty string"
             return [to_java(p) for p in own], None
-        except re.error as error:
+        except (ValueError, OverflowError, RecursionError, re.error) as error:
             return None, f"pattern does not compile: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,4 +129,22 @@ def _translated(lists: DataFrame, patterns: str) -> DataFrame:
             )
 
     keyed = lists.select(F.to_json(F.struct(patterns)).alias("_list"), F.col(patterns).alias("own"))
-    return keyed.mapInPandas(run, "_list string, _java array<string>, reason string")
+    made = keyed.mapInPandas(run, "_list string, _java array<string>, reason string")
+    return _compiled(made)
+
+
+def _compiled(made: DataFrame) -> DataFrame:
+    """The lists, with a ``reason`` also for those that Java refuses or that match the empty string there."""
+    made = written(made, "translated-lists")
+    each = made.select("_list", F.explode("_java").alias("p"))
+    each = each.withColumn("fine", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("p")).isNotNull())
+    each = written(each, "compiled-patterns")
+    empty = F.when(F.col("fine"), F.rlike(F.lit(""), F.col("p"))).otherwise(False)
+    asked = each.groupBy("_list").agg(F.bool_and("fine").alias("_fine"), F.bool_or(empty).alias("_empty"))
+    refused = (
+        F.when(~F.col("_fine"), "pattern does not compile in Java")
+        .when(F.col("_empty"), "pattern matches the empty string")
+        .otherwise(F.col("reason"))
+    )
+    joined = made.join(asked, "_list", "left").withColumn("reason", refused)
+    return joined.select("_list", F.when(F.col("reason").isNull(), F.col("_java")).alias("_java"), "reason")
