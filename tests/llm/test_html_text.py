@@ -36,6 +36,14 @@ def test_blocks():
         list(html_text.blocks(broken))
 
 
+def test_stray_quotes():
+    page = '<p><a href="x"">First words</a> on.</p><p>Whole paragraph.</p><p><a href="y"">Last</a></p>'
+    assert [t for _, t in found(page)] == ["First words on.", "Whole paragraph.", "Last"]
+    assert [t for _, t in found('<p><a href="x"">Only</a></p>')] == ["Only"]
+    assert [t for _, t in found("<p title = 'a > b' it's>one</p><p q=/s?a=\"b>two</p><p>\"three\"</p>")] == ["one", "two", '"three"']
+    list(html_text.blocks("<p " + 'a="x" ' * 20_000))
+
+
 def test_gradient():
     model = html_text.Labeller.fresh(3)
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}

@@ -38,8 +38,9 @@ _CLOSES = {
 #: Elements across which nothing is closed by a start.
 _WALLS = frozenset("table ul ol dl select article section aside nav body".split())
 
+#: A quote holds a value together only right after "="; any other is a plain character of its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?=<|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>|</?[a-zA-Z][^<>]*(?=<|\Z)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
