@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, embedding, html_text, mixing, pii, quality, simhash, token_count, toxicity, warc
+from textguard.llm import bpe, embedding, html_text, mixing, pii, quality, simhash, token_count, topk, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -77,6 +77,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top(vectors, F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_topk": op11_topk,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -135,4 +141,23 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
         FROM m
     """,
+    "op11_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), r AS (
+            SELECT query_id, row_number() OVER (
+                       PARTITION BY query_id ORDER BY score DESC, vec_id
+                   ) AS n, vec_id, score
+            FROM p
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
 }
