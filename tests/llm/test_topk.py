@@ -67,7 +67,8 @@ def test_ways(monkeypatch):
     """Each way gives all that reaches the threshold, and pruning leaves work out."""
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(24, 16))
-    p = np.floor(256 * (centre[rng.integers(0, 24, 3000)] + rng.normal(size=(3000, 16)) * 0.05))
+    p = centre[rng.integers(0, 24, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    p = np.floor(256 * p / np.sqrt((p * p).sum(1, keepdims=True)))
     p = p[np.argsort(-(p * p).sum(1), kind="stable")]
     ids = np.arange(len(p))
     q = p[::100]
