@@ -14,7 +14,7 @@ def test_against_sql(spark, name):
     frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
     with duckdb.connect() as db:
-        for table in ("embeddings", "pages"):
+        for table in ("embeddings", "pages", "documents"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         theirs = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     mine = [tuple(r) for r in frame.select(*columns).collect()]
@@ -23,5 +23,5 @@ def test_against_sql(spark, name):
 
 def test_registry():
     names = list(queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 12)] == [1] * 11
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 13)] == [1] * 12
     assert "pipeline" in names and set(ORACLE) <= set(oracle_sql())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, embedding, html_text, mixing, pii, quality, simhash, token_count, topk, toxicity, warc
+from textguard.llm import bpe, collocation, embedding, html_text, mixing, pii, quality, simhash, token_count, topk, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -82,6 +82,11 @@ def op11_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top(vectors, F.col("id") % 50 == 0, k=5, scale=256.0)
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("text", "lang")
+    return collocation.collocations(docs, least=100, longest=5, covered=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_topk": op11_topk,
+    "op12_collocations": op12_collocations,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -160,4 +166,49 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
     """,
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+        ), g AS (
+            SELECT lang, size, unnest(list_transform(
+                range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+            FROM w, (SELECT unnest(range(1, 6)) AS size)
+        ), f AS (
+            SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL
+        ), t AS (
+            SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+        ), c AS (
+            SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 100
+        ), k AS (
+            SELECT *, unnest(range(1, size)) AS k FROM c
+        ), s AS (
+            SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, t.n,
+                   CAST((1000::HUGEINT * k.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM k JOIN t ON t.lang = k.lang
+            JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+            JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')
+        ), m AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), i AS (
+            SELECT lang, a, ws, size, unnest(range(2, size)) AS part FROM c
+        ), h AS (
+            SELECT lang, a, unnest(list_transform(
+                range(1, size - part + 2), lambda j: array_to_string(ws[j:j + part - 1], ' '))) AS phrase
+            FROM i
+        ), z AS (
+            SELECT m.* FROM m
+            WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = m.lang AND h.phrase = m.phrase AND 100 * h.a >= 100 * m.a)
+        ), o AS (
+            SELECT lang, row_number() OVER (
+                       PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)
+                   ) AS rank, phrase, a, l, r, n, score
+            FROM z
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+    """,
 }
