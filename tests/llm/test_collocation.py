@@ -79,14 +79,37 @@ def test_long_and_empty(spark):
 
 def test_chunks_own_each_start_once():
     rng = random.Random(4)
-    words = [rng.choice([b"a", b"b", b"c", b"dd", b"e", b"f%d" % rng.randint(0, 99)]) for _ in range(3000)]
-    spans = list(collocation.chunks_of(words, 5, {}))
-    assert [s for s, _, _ in spans] == [0] + [o for _, o, _ in spans[:-1]] and spans[-1][1] == len(words)
-    assert all(e == min(len(words), o + 4) for _, o, e in spans) and len(spans) > 50
+    words = [rng.choice(["a", "b", "c", "dd", "e", "f%d" % rng.randint(0, 999)]) for _ in range(9000)]
+
+    def cut(words):
+        made = collocation.Words(" ".join(words).encode())
+        return made, *collocation.chunks_of(made, 5)
+
+    made, first, owned, whole = cut(words)
+    assert len(made) == 9000 and first.tolist() == [0, *owned[:-1]] and owned[-1] == 9000
+    assert whole.tolist() == [min(9000, o + 4) for o in owned] and len(first) > 50
     # Equal passages are cut alike, up to their first and last chunk.
-    cut = lambda ws: [b" ".join(ws[s:e]) for s, _, e in collocation.chunks_of(ws, 5, {})]
-    again = cut([b"x"] * 7 + words[100:600] + [b"y"] * 3)
-    assert len(set(again) & set(cut(words))) >= len(again) - 4
+    again, *spans = cut(["x"] * 7 + words[100:3000] + ["y"] * 3)
+    texts = set(made.spans(first, whole))
+    assert len(texts & set(again.spans(spans[0], spans[2]))) >= len(set(again.spans(spans[0], spans[2]))) - 4
+
+
+def test_words():
+    made = collocation.Words(b"  ab\n\nc  d \n e")
+    assert made.text == b"ab c d e " and made.spans(np.array([0, 1]), np.array([1, 3])) == [b"ab", b"c d"]
+    assert len(set(made.piece.tolist())) == 3
+    for empty in (b"", b" ", b"\n \n"):
+        assert len(collocation.Words(empty)) == 0 and len(collocation.chunks_of(collocation.Words(empty), 5)[0]) == 0
+
+
+def test_phrases_of_many_words_are_told_apart():
+    """Codes are narrowed before they could pass 62 bits."""
+    rng = random.Random(9)
+    words = collocation.Words(" ".join(f"w{rng.randint(0, 40000)}" for _ in range(90000)).encode())
+    text = words.text.decode().split()
+    example, which = collocation._same(words, np.arange(len(words) - 4), 5)
+    assert all(text[example[w] : example[w] + 5] == text[i : i + 5] for i, w in enumerate(which.tolist()))
+    assert len(example) == len({tuple(text[i : i + 5]) for i in range(len(words) - 4)})
 
 
 def test_slots():

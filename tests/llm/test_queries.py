@@ -23,5 +23,5 @@ def test_against_sql(spark, name):
 
 def test_registry():
     names = list(queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 13)] == [1] * 12
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(ORACLE) <= set(oracle_sql())

@@ -1,6 +1,6 @@
 """Phrase collocations by prefix-free parsing.
 
-Texts are cut at words that their own hash picks, so equal passages are cut alike wherever they
+Texts are cut at words that their own letters pick, so equal passages are cut alike wherever they
 stand. A chunk reaches past its end by as many words as the longest phrase has beside its first
 one, and every phrase belongs to the chunk in which it starts; so each occurrence lies in one
 chunk and is counted once. Phrases are counted inside the dictionary of different chunks, each
@@ -10,8 +10,8 @@ weighted by how often the parse has it.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
-from zlib import crc32
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import pieces
+from textguard.llm.common import PIECE, pieces
 from textguard.session import ship_package, written
 
 #: One word in so many ends a chunk.
-TRIGGER = 8
+TRIGGER = 32
 #: Bits of the sieve of phrases that may grow; it has this size whatever the corpus.
 SIEVE = 1 << 26
-#: Entries of a task's tables, after which they are handed on or forgotten, and words of a step.
-ENTRIES, STEP = 1 << 19, 1 << 19
+#: Entries of a task's tables, after which they are handed on or forgotten.
+ENTRIES = 1 << 19
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, piece ends as line ends, tabs as spaces.
@@ -36,66 +36,121 @@ _PLAIN = bytes(
 )
 
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text in UTF-8 that has any."""
-    for piece in text.translate(_PLAIN).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def _items(array: pa.Array, kind: type) -> list[bytes]:
+    """The items of a binary array without nulls, faster than one by one."""
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1].tolist() if len(array) else [0]
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def chunks_of(words: Sequence[bytes], longest: int, trigger: dict[bytes, bool]) -> Iterator[tuple[int, int, int]]:
-    """Start, owned end and whole end of the chunks of a piece."""
-    n, start = len(words), 0
-    for i, word in enumerate(words):
-        ends = trigger.get(word)
-        if ends is None:
-            if len(trigger) >= ENTRIES:
-                trigger.clear()
-            ends = trigger[word] = crc32(word) % TRIGGER == 0
-        if ends or i == n - 1:
-            yield start, i + 1, min(n, i + longest)
-            start = i + 1
+def _whole(array: pa.Array) -> bytes:
+    """All items of a binary array in a row."""
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, np.int32)
+    return data.to_pybytes()[ends[array.offset] : ends[array.offset + len(array)]] if len(array) and data else b""
+
+
+class Words:
+    """The words of a buffer of lower-case text, one space after each.
+
+    ``text`` has them in a row, ``starts`` where each begins and where one after the last would,
+    ``piece`` a number that changes from piece to piece, ``code`` and ``different`` which of the
+    different words each is.
+    """
+
+    def __init__(self, buffer: bytes):
+        raw = np.frombuffer(buffer, np.uint8)
+        ends = raw == 10
+        apart = ends | (raw == 32)
+        before = np.concatenate([[True], apart[:-1]]) if len(raw) else apart
+        first = np.flatnonzero(~apart & before)
+        kept = ~apart
+        kept[1:] |= apart[1:] & ~apart[:-1]
+        text = raw[kept]
+        text[apart[kept]] = 32
+        self.text = text.tobytes() + b" " * (len(raw) > 0 and not apart[-1])
+        after = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32) + 1
+        self.starts = np.concatenate([[0], after])
+        self.piece = np.cumsum(ends, dtype=np.int32)[first]
+        spans = pa.py_buffer(self.starts.astype(np.int64))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, spans, pa.py_buffer(self.text)])
+        coded = words.dictionary_encode()
+        self.code = coded.indices.to_numpy().astype(np.int64)
+        self._different = coded.dictionary
+
+    @cached_property
+    def different(self) -> list[bytes]:
+        """Each with its space."""
+        return _items(self._different, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def spans(self, first: np.ndarray, end: np.ndarray, mark: bytes = b"") -> list[bytes]:
+        """Words joined by spaces, from the first up to before the end, with a mark behind."""
+        text = self.text
+        return [text[a:b] + mark for a, b in zip(self.starts[first].tolist(), (self.starts[end] - 1).tolist())]
+
+
+def chunks_of(words: Words, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, owned end and whole end of the chunks of a buffer."""
+    if not len(words):
+        return (np.empty(0, np.int64),) * 3
+    letters = np.frombuffer(words.text, np.uint8).astype(np.int64)
+    lengths = np.diff(words.starts) - 1
+    # What a word is made of decides, not where it stands.
+    picks = (131 * letters[words.starts[:-1]] + 31 * letters[words.starts[1:] - 2] + 17 * lengths) % TRIGGER == 0
+    last = np.append(words.piece[1:] != words.piece[:-1], True)
+    owned = np.flatnonzero(picks | last) + 1
+    piece_ends = np.flatnonzero(last) + 1
+    whole = np.minimum(owned + longest - 1, piece_ends[np.searchsorted(piece_ends, owned)])
+    return np.concatenate([[0], owned[:-1]]), owned, whole
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each lang, which is the first column."""
+    langs = batch.column(0).dictionary_encode()
+    codes = langs.indices.to_numpy()
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        yield lang, batch.filter(pa.array(codes == i))
 
 
 def dictionary(frame: DataFrame, longest: int = 5, text: str = "text", lang: str = "lang") -> DataFrame:
     """The parse of all texts: ``lang``, ``chunk``, ``owned`` and ``n``, each different chunk once.
 
-    ``chunk`` is words joined by spaces; phrases that start in the first ``owned`` of them are
-    its own. A null text is empty, a null lang is ``und``.
+    ``chunk`` is words joined by spaces with a line end behind, in UTF-8; phrases that start in
+    the first ``owned`` of them are its own. A null text is empty, a null lang is ``und``.
     """
     ship_package(frame.sparkSession)
 
+    def rows(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, mine in found.items():
+            if mine:
+                chunks, owned = zip(*mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(mine), pa.string()), pa.array(chunks, pa.binary()), pa.array(owned, pa.int32()), pa.array(mine.values(), pa.int64())],
+                    names=["lang", "chunk", "owned", "n"],
+                )
+        found.clear()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger: dict[bytes, bool] = {}
-        found: Counter = Counter()
+        found: dict[str, Counter] = {}
         for batch in pieces(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for words in words_of(text):
-                    for start, owned, end in chunks_of(words, longest, trigger):
-                        found[lang, b" ".join(words[start:end]), owned - start] += 1
-                if len(found) >= ENTRIES:
-                    yield _rows(found)
-                    found.clear()
-        if found:
-            yield _rows(found)
-
-    def _rows(found: Counter) -> pa.RecordBatch:
-        langs, chunks, owned = zip(*found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(owned, pa.int32()), pa.array(found.values(), pa.int64())],
-            names=["lang", "chunk", "owned", "n"],
-        )
+            for lang, some in _by_lang(batch):
+                words = Words(b"\n".join(_items(some.column(1), np.int32)).translate(_PLAIN))
+                first, owned, whole = chunks_of(words, longest)
+                chunks = words.spans(first, whole, b"\n")
+                found.setdefault(lang, Counter()).update(zip(chunks, (owned - first).tolist()))
+            if sum(map(len, found.values())) >= ENTRIES:
+                yield from rows(found)
+        yield from rows(found)
 
     texts = frame.select(F.coalesce(F.col(lang), F.lit("und")), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    parsed = texts.mapInArrow(run, "lang string, chunk string, owned int, n long")
+    parsed = texts.mapInArrow(run, "lang string, chunk binary, owned int, n long")
     return parsed.groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n"))
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang, 12)
-
-
 #: Odd number by which the hash of a phrase is moved on before the next word's is added.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -108,26 +163,26 @@ def _slots(words: np.ndarray, size: int, bits: int) -> np.ndarray:
         total = total * np.uint64(_STEP) + words[i : i + n]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
-    return (total >> np.uint64(32)).astype(np.int64) % bits
+    return ((total >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-class _Hashes:
-    """Hashes of words, remembered."""
+def _hashes(words: Words, lang: str) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang, 12)
+    each = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.different), np.uint64, len(words.different))
+    return each[words.code]
 
-    def __init__(self, lang: str):
-        self.seed, self.known = _seed(lang), {}
 
-    def __call__(self, words: Sequence[bytes]) -> np.ndarray:
-        known, seed = self.known, self.seed
-        if len(known) >= ENTRIES:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w, seed)
-            out.append(h)
-        return np.array(out, np.uint64)
+def _same(words: Words, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An example of each different phrase that starts at ``first``, and which one each is."""
+    several = len(words._different)
+    code, width = words.code[first], several
+    for i in range(1, size):
+        if width * several >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            width = len(first)
+        code, width = code * several + words.code[first + i], width * several
+    _, example, which = np.unique(code, return_index=True, return_inverse=True)
+    return first[example], which
 
 
 def counted(parse: DataFrame, size: int, sieve: np.ndarray | None) -> DataFrame:
@@ -139,75 +194,53 @@ def counted(parse: DataFrame, size: int, sieve: np.ndarray | None) -> DataFrame:
     ship_package(parse.sparkSession)
     sent = None if sieve is None else parse.sparkSession.sparkContext.broadcast(sieve)
 
-    def step(lang: str, rows: list[tuple[bytes, int, int]], hashes: dict[str, _Hashes], found: dict) -> None:
-        every: list[bytes] = []
-        spans = []
-        for chunk, owned, n in rows:
-            words = chunk.split(b" ")
-            spans.append((len(every), owned, len(words), n))
-            every += words
-        at, owned, length, weight = (np.array(x, np.int64) for x in zip(*spans))
-        starts = np.minimum(owned, length - size + 1)  # a phrase ends in the chunk
-        keep = starts > 0
-        at, starts, weight = at[keep], starts[keep], weight[keep]
-        if not len(at):
-            return
+    def count(lang: str, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        owned, weight = (batch.column(i).to_numpy() for i in (2, 3))
+        words = Words(_whole(batch.column(1)))
+        last = np.append(words.piece[1:] != words.piece[:-1], True)
+        end = np.flatnonzero(last) + 1
+        at = np.concatenate([[0], end[:-1]])
+        starts = np.maximum(0, np.minimum(owned, end - at - size + 1))  # a phrase ends in the chunk
         first = np.repeat(at, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
         weight = np.repeat(weight, starts)
         if sent is not None:
-            own = hashes.setdefault(lang, _Hashes(lang))
-            slots = _slots(own(every), size - 1, len(sent.value) * 8)
-            may = (sent.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+            bits = sent.value
+            slots = _slots(_hashes(words, lang), size - 1, len(bits) * 8)
+            may = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
             keep = may[first] & may[first + 1]
             first, weight = first[keep], weight[keep]
-        mine = found.setdefault(lang, {})
-        if size == 1:
-            for i, n in zip(first.tolist(), weight.tolist()):
-                w = every[i]
-                mine[w] = mine.get(w, 0) + n
-        else:
-            for i, n in zip(first.tolist(), weight.tolist()):
-                w = b" ".join(every[i : i + size])
-                mine[w] = mine.get(w, 0) + n
-
-    def handed(found: dict) -> Iterator[pa.RecordBatch]:
-        for lang, mine in found.items():
-            if mine:
-                phrases = pa.array(mine.keys(), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(mine), pa.string()), phrases, pa.array(mine.values(), pa.int64())],
-                    names=["lang", "phrase", "a"],
-                )
-        found.clear()
+        if len(first):
+            example, which = _same(words, first, size)
+            total = np.zeros(len(example), np.int64)
+            np.add.at(total, which, weight)
+            phrases = pa.array(words.spans(example, example + size), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(total), pa.string()), phrases, pa.array(total)], names=["lang", "phrase", "a"]
+            )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[bytes, int]] = {}
-        hashes: dict[str, _Hashes] = {}
-        for batch in pieces(batches):
-            rows: dict[str, list] = {}
-            waiting = 0
-            for lang, chunk, owned, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                rows.setdefault(lang, []).append((chunk, owned, n))
-                waiting += len(chunk) // 5
-                if waiting > STEP:
-                    for each, some in rows.items():
-                        step(each, some, hashes, found)
-                    rows, waiting = {}, 0
-                    if sum(map(len, found.values())) >= ENTRIES:
-                        yield from handed(found)
-            for each, some in rows.items():
-                step(each, some, hashes, found)
-            if sum(len(h.known) for h in hashes.values()) > ENTRIES:
-                hashes.clear()
-            if sum(map(len, found.values())) >= ENTRIES:
-                yield from handed(found)
-        yield from handed(found)
+        for batch in pieces(_joined(batches)):
+            for lang, some in _by_lang(batch):
+                yield from count(lang, some)
 
-    narrow = parse.select("lang", F.col("chunk").cast("binary"), "owned", "n")
+    narrow = parse.select("lang", "chunk", "owned", "n")
     some = narrow.mapInArrow(run, "lang string, phrase string, a long")
     return some.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, so that more of their equal phrases meet."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= PIECE:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def sieve_of(frequent: DataFrame, size: int, bits: int = SIEVE) -> np.ndarray:
     """A bit for each frequent phrase of ``size`` words. Two may share one, which costs only time.
 
@@ -217,15 +250,16 @@ def sieve_of(frequent: DataFrame, size: int, bits: int = SIEVE) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            slots = np.empty(batch.num_rows, np.int64)
-            for i, (lang, phrase) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2)))):
-                seed = _seed(lang)
-                words = np.array([xxhash.xxh64_intdigest(w, seed) for w in phrase.split(b" ")], np.uint64)
-                slots[i] = _slots(words, size, bits)[0]
+            slots = []
+            for lang, some in _by_lang(batch):
+                # Phrases of equal size stand in a row, so every size-th run is one of them.
+                words = Words(_whole(some.column(1)))
+                slots.append(_slots(_hashes(words, lang), size, bits)[::size])
+            slots = np.concatenate(slots) if slots else np.empty(0, np.int64)
             masks = (np.uint64(1) << (slots & 63).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(masks)], names=["at", "mask"])
 
-    marks = frequent.select("lang", F.col("phrase").cast("binary")).mapInArrow(run, "at long, mask long")
+    marks = frequent.select("lang", F.concat("phrase", F.lit("\n")).cast("binary")).mapInArrow(run, "at long, mask long")
     table = marks.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     sieve = np.zeros(bits // 64, np.int64)
     sieve[table["at"].to_numpy()] = table["mask"].to_numpy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, collocation, embedding, html_text, mixing, pii, quality, simhash, token_count, topk, toxicity, warc
+from textguard.llm import bpe, collocation, divergence, embedding, html_text, mixing, pii, quality, simhash, token_count, topk, toxicity, warc
 from textguard.llm.common import table
 from textguard.session import written
 
@@ -87,6 +87,11 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocation.collocations(docs, least=100, longest=5, covered=100, top=2000)
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("text", "lang", "source")
+    return divergence.audit(docs, least=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_topk": op11_topk,
     "op12_collocations": op12_collocations,
+    "op13_divergence": op13_divergence,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -211,4 +217,52 @@ ORACLE: dict[str, str] = {
         )
         SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
     """,
+    "op13_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), e AS (
+            SELECT id, lang, source, unnest(ts) AS term FROM d
+        ), kept AS (
+            SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM e) GROUP BY ALL HAVING count(*) >= 30
+        ), v AS (
+            SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), c AS (
+            SELECT e.lang, e.source, e.term, count(*) AS n FROM e JOIN kept USING (lang, term) GROUP BY ALL
+        ), t AS (
+            SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL
+        ), g AS (
+            SELECT o.lang, o.source, coalesce(t.total, 0) AS total, coalesce(v.v, 0) AS v
+            FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN t USING (lang, source) LEFT JOIN v USING (lang)
+        ), p AS (
+            SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.total + 5 * g.v) AS p
+            FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), w AS (
+            SELECT lang, sum(total) AS total, max(v) AS v FROM g GROUP BY lang
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)::HUGEINT) // (any_value(w.total) + 5 * any_value(w.v)) AS q
+            FROM c JOIN w USING (lang) GROUP BY lang, term
+        ), x AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                   CAST(coalesce(sum(abs(m.p - n.p)), 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN p m ON m.lang = a.lang AND m.source = a.source
+            LEFT JOIN p n ON n.lang = b.lang AND n.source = b.source AND n.term = m.term
+            GROUP BY ALL
+            UNION ALL
+            SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT)
+            FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+        ), r AS (
+            SELECT *, row_number() OVER (
+                       PARTITION BY lang, source, part ORDER BY value DESC, encode(item)
+                   ) AS n
+            FROM x
+        )
+        SELECT lang, source, part, item, value, CAST(n AS INTEGER) AS rank
+        FROM r WHERE part = 'pair' OR n <= 50
+    """,
 }
