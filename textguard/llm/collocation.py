@@ -28,6 +28,8 @@ TRIGGER = 32
 SIEVE = 1 << 26
 #: Entries of a task's tables, after which they are handed on or forgotten.
 ENTRIES = 1 << 19
+#: Parts of a lang that pick their best phrases apart.
+PARTS = 64
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, piece ends as line ends, tabs as spaces.
@@ -306,8 +308,7 @@ def collocations(
     are left out. Ranks go by score, then ``a``, both the highest first, then phrase in byte order.
 
     Null texts are empty, a null lang is ``und``, repeated rows count again, other columns are not
-    looked at, and an empty table gives no rows. Products are decimals of 38 digits. A lang's
-    first rows are picked in every task before one puts them in order.
+    looked at, and an empty table gives no rows. Products are decimals of 38 digits.
     """
     parse = written(dictionary(frame, longest, text, lang), "parse")
     every, totals = frequent_phrases(parse, least, longest)
@@ -335,6 +336,11 @@ def collocations(
     holds = holds.groupBy("lang", "phrase").agg(F.max("held").alias("held"))
     kept = judged.join(holds, ["lang", "phrase"], "left")
     kept = kept.filter(F.coalesce(100 * F.col("held") < covered * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    # Each part of a lang gives its own best, so that no task orders all phrases of a lang.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    some = F.row_number().over(Window.partitionBy("lang", part).orderBy(*best))
+    kept = kept.withColumn("rank", some).filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
+    ranked = ranked.filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
