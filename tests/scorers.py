@@ -1,5 +1,8 @@
 """Stand-in models; a file of its own, so that Python workers can import it."""
 
+import os
+import time
+
 from textguard.operators.second_pass import ScorerUnavailable
 
 
@@ -28,3 +31,22 @@ def everything(name):
 def by_name(name):
     """Condemns the texts that hold the model's own name."""
     return lambda prompts: prompts.map(lambda p: "MALICIOUS" if name in p else "SAFE")
+
+
+def hanging(name):
+    """Waits for ever for one text, and answers the others."""
+
+    def run(prompts):
+        if prompts.str.contains("hang").any():
+            time.sleep(3600)
+        return prompts.map(lambda p: "MALICIOUS")
+
+    return run
+
+
+def unmade(name):
+    raise ScorerUnavailable
+
+
+def fleeting(name):
+    return lambda prompts: os._exit(3)

@@ -1,10 +1,14 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
+import re
+
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from textguard.operators import requests, second_pass
 from textguard.plans.queries import QUERIES as OWN
+from textguard.session import written
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "events")
@@ -66,6 +70,31 @@ def test_nothing_is_done_twice(spark, name, function, most):
     assert plan.count(function) == most
 
 
+@pytest.mark.parametrize(
+    "name, parses",
+    [("guarded_documents", 0), ("requests_guarded", 0), ("search_guarded", 2), ("settings_guarded", 0),
+     ("search_by_settings", 2), ("semantic_candidates", 0), ("pairs_guarded", 0)],
+)
+def test_each_text_is_folded_once(spark, monkeypatch, name, parses):
+    """Of all that a flow with a model runs, one plan has the rules, once, and above the spread."""
+    plans = []
+
+    def kept(frame, label):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame, label)
+
+    for module in (second_pass, requests):
+        monkeypatch.setattr(module, "written", kept)
+    plans.append(QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString())
+    rules = [re.sub(r"(regexp_replace\()+verdict#", "", p).count("regexp_replace") for p in plans]
+    # The anonymiser of a search request has two of its own.
+    assert sum(rules) == (8 if name.startswith("search") else 6), rules
+    assert sum(p.count("from_json") for p in plans) == parses  # a body, and its items
+    for plan in plans:
+        below = plan.split("REPARTITION_BY_NUM", 1)[1:]
+        assert not any("regexp_replace" in b or "rlike" in b.lower() for b in below)
+
+
 def test_scan_reads_only_what_is_used(spark, capsys):
     QUERIES["sanitize_documents"](spark, FOLDER).explain("formatted")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in capsys.readouterr().out

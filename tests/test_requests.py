@@ -58,9 +58,9 @@ def test_repeated_and_missing_ids(spark):
     item = lambda text: {"title": "t", "content": text, "url": "u"}
     rows = [("1", [item("evil"), item("good")]), ("1", [item("good"), item("evil")]), (None, [item("evil")]), (None, [item("good")])]
     requests = spark.createDataFrame(rows, REQUEST_SCHEMA)
-    texts = requests.select(F.explode("results.content").alias("content"))
-    verdicts = second.score(second.candidates(texts, "content"), evil, "m")
-    found = req.apply_verdicts_to_items(requests, verdicts)
+    asked = req.asked_items(requests)
+    verdicts = second.score(second.candidates(req.item_texts(asked), "content"), evil, "m")
+    found = req.apply_verdicts_to_items(asked, verdicts)
     assert found.columns == ["request_id", "results"]
     bad = fixed.SEMANTIC_MARKER
     assert sorted((str(r.request_id), *(i.content for i in r.results)) for r in found.collect()) == sorted(

@@ -1,8 +1,14 @@
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
-from scorers import bad_words, broken, by_name, everything
+from scorers import bad_words, broken, by_name, everything, fleeting, hanging, unmade
 
 from textguard.functions import fixed, model
+from textguard.operators import fitted, verdict_store
 from textguard.operators import second_pass as second
 from textguard.plans import flows
 
@@ -34,7 +40,7 @@ def test_a_model_out_of_reach_leaves_the_texts(frame):
     verdicts = second.score(second.candidates(frame, "t"), bad_words, "m1", batch_rows=1, tasks=3)
     status = {r.text_hash: (r.verdict, r.status) for r in verdicts.collect()}
     assert sorted(s for _, s in status.values()) == ["ok", "ok", "ok", "unavailable"]
-    rows = sorted(second.apply_verdicts(frame, verdicts, "t", ["id"]).collect())
+    rows = sorted(second.apply_verdicts(frame, verdicts, "t").collect())
     assert [r.t for r in rows] == [
         "good", fixed.SEMANTIC_MARKER, fixed.SEMANTIC_MARKER, "down",
         fixed.MARKER + " bad", "", fixed.SEMANTIC_MARKER,
@@ -68,14 +74,14 @@ def test_other_errors_are_not_hidden(frame):
 
 def test_no_verdicts_at_all(spark, frame):
     none = spark.createDataFrame([], second.VERDICT_SCHEMA)
-    rows = sorted(second.apply_verdicts(frame, none, "t", ["id"]).collect())
+    rows = sorted(second.apply_verdicts(frame, none, "t").collect())
     assert [r.t for r in rows] == TEXTS
 
 
 def test_switched_off_rows_stay(frame):
     verdicts = second.score(second.candidates(frame, "t"), bad_words, "m1", batch_rows=1)
     rows = sorted(
-        second.apply_verdicts(frame, verdicts, "t", ["id"], enabled=F.col("id") != 1).collect()
+        second.apply_verdicts(frame, verdicts, "t", enabled=F.col("id") != 1).collect()
     )
     assert [r.malicious for r in rows][:3] == [False, False, True]
 
@@ -83,9 +89,108 @@ def test_switched_off_rows_stay(frame):
 def test_text_flow(frame):
     answer = flows.text_flow(
         frame.withColumn("t", F.concat("t", F.when(F.col("id") == 0, " system override").otherwise(""))),
-        "t", ["id"], make_scorer=everything, model_name="m",
+        "t", make_scorer=everything, model_name="m",
     )
     rows = sorted(answer.collect())
     assert rows[0].t == "good " + fixed.MARKER and rows[5].t == ""
     assert {r.t for r in rows[1:4]} == {fixed.SEMANTIC_MARKER}
     assert [r.threat for r in rows] == [True, True, True, True, True, False, True]
+
+
+def test_a_call_that_hangs_is_ended(spark):
+    rows = [(f"bad {i}",) for i in range(20)] + [("hang",)]
+    prompts = second.candidates(spark.createDataFrame(rows, "t string").coalesce(1), "t")
+    start = time.perf_counter()
+    verdicts = second.score(prompts, hanging, "m1", batch_rows=8, seconds=0.5).collect()
+    assert time.perf_counter() - start < 60
+    answered = [r.verdict for r in verdicts if r.status == "ok"]
+    assert answered == ["MALICIOUS"] * 20 and [r.verdict for r in verdicts if r.status == "unavailable"] == [None]
+
+
+def test_a_model_that_cannot_be_made(frame):
+    verdicts = second.score(second.candidates(frame, "t"), unmade, "m1").collect()
+    assert {(r.verdict, r.status) for r in verdicts} == {(None, "unavailable")}
+
+
+def test_a_scorer_whose_process_ends_fails_the_job(frame):
+    with pytest.raises(Exception, match="process ended"):
+        second.score(second.candidates(frame, "t"), fleeting, "m1")
+
+
+@pytest.mark.parametrize("bits", [64, second.SIEVE])
+def test_copies_whatever_the_sieve_holds(spark, monkeypatch, bits):
+    monkeypatch.setattr(second, "SIEVE", bits)
+    texts = [f"t{i}" for i in range(300)] + ["hot"] * 700 + ["twice", "twice", None, ""]
+    rows = second.candidates(spark.createDataFrame([(t,) for t in texts], "t string").repartition(5), "t").collect()
+    copies = {r.prompt: r.copies for r in rows}
+    want = {t: texts.count(t) for t in texts if t}
+    assert len(rows) == len(copies) == 302
+    assert copies == {fixed.PROMPT_HEAD + t + fixed.PROMPT_TAIL: n for t, n in want.items()}
+
+
+def test_only_repeated_texts_are_shuffled(spark):
+    asked = second.asked(spark.createDataFrame([("a",), ("b",), ("b",)], "t string"), "t")
+    plan = second.candidates(asked, "t")._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Aggregate" in line and " t#" in line]
+    assert len(texts) == 1 and "sha2" not in plan  # those that may repeat; hashes are columns
+
+
+def test_a_second_run_scores_nothing(spark, tmp_path, frame):
+    path = str(tmp_path / "store")
+    prompts = second.candidates(frame, "t")
+    first = verdict_store.score(prompts, everything, "m:1/b", path, "one")
+    assert {r.verdict for r in first.collect()} == {"malicious"} and first.count() == 4
+    again = verdict_store.score(prompts, broken, "m:1/b", path, "two")  # it would fail if asked
+    assert sorted(again.select("text_hash", "verdict").collect()) == sorted(first.select("text_hash", "verdict").collect())
+    # Another model or version knows nothing yet, and the same run again doubles nothing.
+    assert verdict_store.known(spark, path, "m:1_b", "1").isEmpty()
+    assert verdict_store.known(spark, path, "m:1/b", "2").isEmpty()
+    verdict_store.score(prompts, everything, "m:1/b", path, "one")
+    assert spark.read.parquet(path).count() == 4
+    assert verdict_store.known(spark, str(tmp_path / "none"), "m", "1").isEmpty()
+
+
+def test_what_had_no_answer_is_asked_again(spark, tmp_path, frame):
+    path = str(tmp_path / "store")
+    prompts = second.candidates(frame, "t")
+    first = verdict_store.score(prompts, bad_words, "m1", path, "one")
+    assert sorted(r.status for r in first.collect()) == ["ok", "ok", "ok", "unavailable"]
+    later = verdict_store.score(prompts, everything, "m1", path, "two").collect()
+    assert sorted(r.verdict for r in later) == [" Malicious.\n", " Malicious.\n", "malicious", "safe"]
+
+
+def test_a_fitted_model(spark, tmp_path):
+    rows = [(i, "rob the bank " * 2 if i % 3 == 0 else "pet the cat", int(i % 3 == 0)) for i in range(30)]
+    rows += [(40, None, 1), (41, "the", None), (42, "cat cat", 7)]
+    frame = spark.createDataFrame(rows, "id long, t string, bad int")
+    fitted.fit(frame, "t", "bad").save(str(tmp_path / "model"))
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel.load(str(tmp_path / "model"))
+    new = spark.createDataFrame([(1, "rob"), (2, "a CAT"), (3, ""), (4, "BANK cat bank bank")], "id long, t string")
+    verdicts = fitted.score(second.asked(new, "t"), model, "t")
+    done = second.apply_verdicts(new, verdicts, "t")
+    assert [r.malicious for r in sorted(done.collect())] == [True, False, False, True]
+    plan = model.transform(new.withColumnRenamed("t", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_flows_need_no_package_on_the_workers():
+    """A session that nobody shipped the package to, with the package only on the driver's path."""
+    script = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from textguard.session import session
+from textguard.plans import flows
+from textguard.operators import gating
+spark = session("plain", "local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+def make(name):
+    return lambda prompts: prompts.map(lambda p: "MALICIOUS" if "evil" in p else "SAFE")
+rows = spark.createDataFrame([(1, "evil", ["a"]), (2, "good", ["("])], "id int, t string, own array<string>")
+assert sorted(r.threat for r in flows.text_flow(rows.drop("own"), "t", make_scorer=make, model_name="m").collect()) == [False, True]
+found = {r.id: r.reason for r in gating.sanitize_by_lists(rows, "t", "own", chains=0).collect()}
+assert found[1] is None and "does not compile" in found[2], found
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", script, root], cwd="/", capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]

@@ -52,7 +52,7 @@ def test_gated_sanitize(spark, tmp_path):
     names = [p["profile_id"] for p in PROFILES] + ["unknown", None]
     rows = [(i, name, TEXT) for i, name in enumerate(names)] + [(99, "default", None)]
     frame = spark.createDataFrame(rows, "id int, who string, t string")
-    joined = gating.with_settings(frame, _profiles(spark, tmp_path), "who", ["id"])
+    joined = gating.with_settings(frame, _profiles(spark, tmp_path), "who")
     clean = joined.select("id", "who", gating.gated_sanitize("t").alias("c"), "use_model")
     found = {r.id: r for r in clean.collect()}
     full = brute.clean(TEXT)
@@ -81,7 +81,7 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
     rows += [(7, "strict", "see qwen2.5-coder:1.5b"), (8, "off", "see qwen2.5-coder:1.5b")]
     frame = spark.createDataFrame(rows, "id int, who string, t string")
     judged = flows.settings_flow(
-        frame, _profiles(spark, tmp_path), "t", "who", ["id", "t"], make_scorer=by_name
+        frame, _profiles(spark, tmp_path), "t", "who", make_scorer=by_name
     )
     assert judged.columns == ["id", "who", "t", "threat", "reason"]
     found = sorted(tuple(r) for r in judged.collect())
@@ -99,10 +99,14 @@ def test_each_row_is_judged_by_its_own_model(spark, tmp_path):
 def test_patterns_that_only_java_refuses(spark):
     lists = [[r"[^\S]x"], ["(?P<a_b>x)"], ["(x)?(?(1)y|z)"], [r"a\.b"], ["a", "(?P<a_b>x)"]]
     frame = spark.createDataFrame([(i, own, TEXT) for i, own in enumerate(lists)], "id int, own array<string>, t string")
-    for chains in (64, 1):
-        for r in gating.sanitize_by_lists(frame, "t", "own", chains).collect():
+    reasons = []
+    for chains in (64, 1, 0):
+        rows = sorted(gating.sanitize_by_lists(frame, "t", "own", chains).select("id", "t", "reason").collect())
+        reasons.append([r.reason for r in rows])
+        for r in rows:
             assert r.t == (brute.clean(TEXT, [r"a\.b"]) if r.id == 3 else brute.clean(TEXT))
             assert (r.reason is None) == (r.id == 3)
+    assert reasons[0] == reasons[1] == reasons[2]
 
 
 def test_rows_with_their_own_patterns(spark):

@@ -7,22 +7,23 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import fixed, inbound
 from textguard.functions.dialect import to_java
-from textguard.operators.joins import lookup_join
-from textguard.session import written
-from textguard.sources.rules import INJECTION, Rule, check_rules, custom_rules
+from textguard.session import ship_package, written
+from textguard.sources.rules import INJECTION, Rule, custom_rules
 
 
-def with_settings(
-    frame: DataFrame, settings: DataFrame, profile_id: str, row_key: Sequence[str]
-) -> DataFrame:
-    """Join each row's settings (from ``with_defaults``); rows of no known profile get the defaults."""
+def with_settings(frame: DataFrame, settings: DataFrame, profile_id: str) -> DataFrame:
+    """Join each row's settings (from ``with_defaults``); rows of no known profile get the defaults.
+
+    Spark sends few settings to the rows; where there are many it splits a profile that most rows
+    share, which a left join allows.
+    """
     renamed = settings.withColumnRenamed("profile_id", profile_id)
-    joined = lookup_join(frame, renamed, profile_id, row_key)
+    joined = frame.join(renamed, profile_id, "left")
     return joined.withColumns(
         {
             "protected": F.coalesce("protected", F.lit(True)),
@@ -74,63 +75,58 @@ def sanitize_by_lists(
     once before the job; a row whose list has a pattern that does not compile, or that matches
     the empty string, is treated by the built-in rules and says so in ``reason``. An empty or
     NULL list stands for the built-in rules. Few lists become literal chains, each compiled once;
-    of many, the translation is joined to the rows.
+    of many, the translation is joined to the rows. Both are checked in the same way.
     """
     spark = frame.sparkSession
-    lists = frame.select(patterns).filter(F.size(patterns) > 0).distinct()
-    found = [r[0] for r in lists.limit(chains + 1).collect()]
-    plain = inbound.sanitize(text)
-    if len(found) > chains:
-        known = written(_translated(lists, patterns), "pattern-lists")
-        key = F.to_json(F.struct(patterns))
-        joined = lookup_join(frame.withColumn("_list", key), known, "_list", ["_list"])
+    lists = frame.select(F.to_json(F.struct(patterns)).alias("_list"), F.col(patterns).alias("own"))
+    lists = lists.filter(F.size("own") > 0).distinct()
+    few = lists.limit(chains + 1).collect()
+    key = F.to_json(F.struct(patterns))
+    if len(few) > chains:
+        known = _compiled(_translated(lists))
+        joined = frame.withColumn("_list", key).join(known, "_list", "left")
         own = inbound.sanitize_with(text, "_java")
         return joined.withColumn(text, own).drop("_list", "_java")
-    result, reason = plain, F.lit(None).cast("string")
-    for own in found:
-        same = F.col(patterns) == F.array(*(F.lit(p).cast("string") for p in own))
-        bad = _refused(spark, own)
-        if bad:
-            reason = F.when(same, F.lit(bad)).otherwise(reason)
-        else:
-            result = F.when(same, inbound.sanitize(text, custom_rules(own))).otherwise(result)
+    result, reason = inbound.sanitize(text), F.lit(None).cast("string")
+    if few:
+        made = spark.createDataFrame([(r["_list"], *_java(r["own"])) for r in few], _TRANSLATED)
+        against = {r["_list"]: r["reason"] for r in _compiled(made).collect()}
+        for r in few:
+            same, bad = key == F.lit(r["_list"]), against[r["_list"]]
+            if bad:
+                reason = F.when(same, F.lit(bad)).otherwise(reason)
+            else:
+                result = F.when(same, inbound.sanitize(text, custom_rules(r["own"]))).otherwise(result)
     return frame.withColumns({text: result, "reason": reason})
 
 
-def _refused(spark: SparkSession, patterns: Sequence[str | None]) -> str | None:
-    """Why a list cannot be used."""
-    if any(p is None for p in patterns):
-        return "pattern missing"
+_TRANSLATED = "_list string, _java array<string>, reason string"
+
+
+def _java(own: list[str | None]) -> tuple[list[str] | None, str | None]:
+    """A list of patterns for Spark, or the reason why it cannot be used."""
     try:
-        check_rules(spark, custom_rules(patterns))
-    except (ValueError, re.error) as error:
-        return str(error)
-    return None
+        if any(p is None for p in own):
+            return None, "pattern missing"
+        if any(re.search(p, "") for p in own):
+            return None, "pattern matches the empty string"
+        return [to_java(p) for p in own], None
+    except (ValueError, OverflowError, RecursionError, re.error) as error:
+        return None, f"pattern does not compile: {error}"
 
 
-def _translated(lists: DataFrame, patterns: str) -> DataFrame:
+def _translated(lists: DataFrame) -> DataFrame:
     """``_list`` with ``_java``, its patterns for Spark, or a ``reason`` against it."""
-
-    def java(own: list) -> tuple[list[str] | None, str | None]:
-        try:
-            if any(p is None for p in own):
-                return None, "pattern missing"
-            if any(re.search(p, "") for p in own):
-                return None, "pattern matches the empty string"
-            return [to_java(p) for p in own], None
-        except (ValueError, OverflowError, RecursionError, re.error) as error:
-            return None, f"pattern does not compile: {error}"
+    ship_package(lists.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [java(list(own)) for own in batch["own"]]
+            made = [_java(list(own)) for own in batch["own"]]
             yield pd.DataFrame(
                 {"_list": batch["_list"], "_java": [m[0] for m in made], "reason": [m[1] for m in made]}
             )
 
-    keyed = lists.select(F.to_json(F.struct(patterns)).alias("_list"), F.col(patterns).alias("own"))
-    made = keyed.mapInPandas(run, "_list string, _java array<string>, reason string")
-    return _compiled(made)
+    return lists.mapInPandas(run, _TRANSLATED)
 
 
 def _compiled(made: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from textguard.functions import egress, fixed, inbound, model
 from textguard.operators.gating import gated_sanitize
-from textguard.operators.joins import lookup_join
-from textguard.operators.second_pass import condemned, hashed
+from textguard.operators.second_pass import condemned, text_hash
+from textguard.session import written
 from textguard.sources.rules import DLP, Rule
 
 
@@ -74,33 +74,48 @@ def with_request_report(requests: DataFrame, items: str = "results") -> DataFram
     )
 
 
-def apply_verdicts_to_items(
+def asked_items(
     requests: DataFrame,
-    verdicts: DataFrame,
-    request_id: str = "request_id",
     items: str = "results",
     enabled: Column | None = None,
     model_name: str | None = None,
 ) -> DataFrame:
-    """Replace the condemned items inside each request's array.
+    """Requests of sanitised items, written with a number for each and their items' hashes.
 
-    Requests are told apart by all their columns, so repeated or NULL ids do no harm; requests
-    that are equal get equal answers. ``requests`` holds sanitised items and is read twice.
-    ``enabled`` says which requests a model was asked about, ``model_name`` names the column
-    with its name where they differ.
+    Numbers tell requests apart, so repeated or NULL ids do no harm, and what made the items runs
+    once. An item that no model is asked about has no hash; ``enabled`` says which requests a
+    model is asked about, ``model_name`` names the column with its name where they differ.
     """
-    keyed = requests.withColumn("_key", F.sha2(F.to_json(F.struct(*requests.columns)), 256))
-    asked = keyed if enabled is None else keyed.filter(enabled)
+
+    def hashed(item: Column) -> Column:
+        whole = item["content"]
+        if model_name:
+            whole = F.concat(F.coalesce(F.col(model_name), F.lit("")), F.lit("\0"), whole)
+        return F.when(inbound.open_for_model(item["content"]), text_hash(whole))
+
+    hashes = F.transform(items, hashed)
+    if enabled is not None:
+        hashes = F.when(enabled, hashes)
+    numbered = requests.withColumns({"_hashes": hashes, "_request": F.monotonically_increasing_id()})
+    return written(numbered, "requests")
+
+
+def item_texts(asked: DataFrame, items: str = "results", model_name: str | None = None) -> DataFrame:
+    """``content`` and ``text_hash`` of all items of ``asked_items``, for ``second_pass.candidates``."""
+    pair = F.arrays_zip(F.col("_hashes").alias("text_hash"), F.col(f"{items}.content").alias("content"))
     named = [model_name] if model_name else []
-    rows = asked.select("_key", *named, F.posexplode(items).alias("_pos", "_item")).select(
-        "_key", *named, "_pos", F.col("_item.content").alias("content")
-    )
-    rows = hashed(rows.filter(inbound.open_for_model("content")), "content", model_name)
-    rows = rows.select("_key", "_pos", "text_hash")
+    return asked.select(*named, F.inline(pair))
+
+
+def apply_verdicts_to_items(asked: DataFrame, verdicts: DataFrame, items: str = "results") -> DataFrame:
+    """Replace the condemned items inside each array of ``asked_items``.
+
+    Hashes meet the verdicts; only the places of condemned items are joined to the requests.
+    """
+    places = asked.select("_request", F.posexplode("_hashes").alias("_pos", "text_hash"))
     bad = (
-        lookup_join(rows, condemned(verdicts), "text_hash", ["_key", "_pos"])
-        .filter("malicious")
-        .groupBy("_key")  # at most the positions of one array
+        places.filter("text_hash IS NOT NULL").join(condemned(verdicts), "text_hash")
+        .groupBy("_request")  # at most the positions of one array
         .agg(F.collect_set("_pos").alias("_bad"))
     )
     replaced = F.transform(
@@ -113,7 +128,8 @@ def apply_verdicts_to_items(
             item["url"].alias("url"),
         ),
     )
-    return keyed.join(bad, "_key", "left").withColumn(items, replaced).drop("_bad", "_key")
+    judged = asked.join(bad, "_request", "left").withColumn(items, replaced)
+    return judged.select(*(c for c in asked.columns if c not in ("_hashes", "_request")))
 
 
 def threat_by_request(

@@ -1,45 +1,66 @@
 """Second pass: a model's verdict on the texts the rules left alone.
 
-Texts are scored once per distinct text. The scorer is the library's only Python code that
-runs in tasks; everything around it is column work.
+Texts are scored once per distinct text. What is counted, compared and joined is their hash; a
+text itself only moves where its hash occurs more than once. The scorer is the library's only
+Python code that runs in tasks; everything around it is column work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import inbound, model
-from textguard.operators.joins import lookup_join
-from textguard.session import written
-
-VERDICT_SCHEMA = "text_hash string, verdict string, status string"
-
-Scorer = Callable[[pd.Series], pd.Series]
+from textguard.operators.bounded import Bounded, Scorer, ScorerUnavailable
+from textguard.session import ship_package, written
 
+__all__ = ["Scorer", "ScorerUnavailable"]
 
-class ScorerUnavailable(Exception):
-    """The model could not be reached or took too long. The texts stay as they are."""
+VERDICT_SCHEMA = "text_hash string, verdict string, status string"
+#: Bits of the sieve of repeated hashes, 64 to a row; it is broadcast and has no more rows.
+SIEVE = 1 << 26
 
 
 def text_hash(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def hashed(frame: DataFrame, sanitized: str, model_name: str | None = None) -> DataFrame:
-    """Add ``text_hash`` where it is not there yet.
+def _hash(text: Column, enabled: Column | None, model_name: str | None) -> Column:
+    """The hash of a text that a model is asked about, else NULL."""
+    wanted = inbound.open_for_model(text)
+    wanted = wanted if enabled is None else wanted & enabled
+    whole = text
+    if model_name:
+        whole = F.concat(F.coalesce(F.col(model_name), F.lit("")), F.lit("\0"), text)
+    return F.when(wanted, text_hash(whole))
+
+
+def hashed(
+    frame: DataFrame,
+    sanitized: str,
+    enabled: Column | None = None,
+    model_name: str | None = None,
+) -> DataFrame:
+    """Add ``text_hash`` where it is not there yet; NULL for a text no model is asked about.
 
     ``model_name`` names a column: the hash then stands for a text and the model asked about it.
     """
     if "text_hash" in frame.columns:
         return frame
-    text = F.col(sanitized)
-    if model_name:
-        text = F.concat(F.coalesce(F.col(model_name), F.lit("")), F.lit("\0"), text)
-    return frame.withColumn("text_hash", text_hash(text))
+    return frame.withColumn("text_hash", _hash(F.col(sanitized), enabled, model_name))
+
+
+def asked(
+    frame: DataFrame,
+    sanitized: str,
+    enabled: Column | None = None,
+    model_name: str | None = None,
+) -> DataFrame:
+    """The frame with ``text_hash``, written, so that what made the texts runs once for each row."""
+    return written(hashed(frame, sanitized, enabled, model_name), "asked")
 
 
 def candidates(
@@ -50,15 +71,27 @@ def candidates(
 ) -> DataFrame:
     """The distinct texts to score: ``text_hash``, ``prompt``, ``copies``.
 
-    With ``model_name``, a column, they are distinct by text and model, which comes along.
-    Copies are counted before the shuffle by hashing, so a text that fills a third of the table
-    arrives as one row per input partition and no text is sorted.
+    With ``model_name``, a column, they are distinct by text and model, which comes along. The
+    frame is read three times: pass a table, best the result of ``asked``.
+
+    Hashes alone are counted first. Those that repeat set a bit each in a sieve of fixed size. A
+    row whose bit is not set holds the only copy of its text, which is scored where it lies; only
+    the others are brought together, counted before the shuffle, so a text that fills a third of
+    the table arrives as one row per input partition. A bit that is set by chance costs one move.
     """
-    wanted = inbound.open_for_model(sanitized)
-    rows = frame.filter(wanted if enabled is None else wanted & enabled)
+    rows = hashed(frame, sanitized, enabled, model_name).filter("text_hash IS NOT NULL")
+    place = F.xxhash64("text_hash")
+    at = F.pmod(place, F.lit(SIEVE // 64))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(text_hash), 40), 64) as int))")
+    repeats = rows.groupBy("text_hash").count().filter("count > 1")
+    sieve = repeats.select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumns({"_at": at, "_bit": bit}).join(F.broadcast(sieve), "_at", "left")
+    repeated = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
     named = [model_name] if model_name else []
-    texts = rows.groupBy(*named, sanitized).agg(F.count("*").alias("copies"))
-    return hashed(texts, sanitized, model_name).select(
+    keys = [*named, "text_hash", sanitized]
+    alone = marked.filter(~repeated).select(*keys, F.lit(1).cast("long").alias("copies"))
+    together = marked.filter(repeated).groupBy(*keys).agg(F.count("*").alias("copies"))
+    return alone.unionByName(together).select(
         *named, "text_hash", model.prompt(sanitized).alias("prompt"), "copies"
     )
 
@@ -69,10 +102,11 @@ def score(
     model_name: str,
     batch_rows: int = 64,
     tasks: int | None = None,
+    seconds: float = 5.0,
 ) -> DataFrame:
     """Run one model over ``prompts`` and write the verdict table; see ``score_by_model``."""
     named = prompts.withColumn("model_name", F.lit(model_name))
-    return score_by_model(named, make_scorer, batch_rows, tasks).drop("model_name")
+    return score_by_model(named, make_scorer, batch_rows, tasks, seconds).drop("model_name")
 
 
 def score_by_model(
@@ -80,44 +114,50 @@ def score_by_model(
     make_scorer: Callable[[str], Scorer],
     batch_rows: int = 64,
     tasks: int | None = None,
+    seconds: float = 5.0,
 ) -> DataFrame:
     """Run over each prompt the model that its ``model_name`` names; write the verdict table.
 
-    ``make_scorer(model_name)`` is called once per task and model and gives a function from a
-    series of prompts to a series of answers (None for no answer). Where it or the function
-    raises ``ScorerUnavailable``, the texts of that call are asked about one by one, and only
-    those that fail alone have no verdict, so ``batch_rows`` does not change the result; any
-    other error fails the job. A scorer should bound its own waiting and raise. ``tasks``
-    spreads few prompts over more tasks than their size asks for, which pays where a model is
-    slow.
+    ``make_scorer(model_name)`` is called once per task and model, in a process of its own, and
+    gives a function from a series of prompts to a series of answers (None for no answer). A
+    call gets ``seconds`` for each of its texts; one that takes longer is ended, whatever it
+    waits for. Where a call is ended or raises ``ScorerUnavailable``, its texts are asked about
+    one by one, and only those that fail alone have no verdict, so ``batch_rows`` does not change
+    the result; any other error fails the job. ``tasks`` spreads few prompts over more tasks
+    than their size asks for, which pays where a model is slow.
     """
+    ship_package(prompts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers: dict[str, Scorer] = {}
+        scorers: dict[str, Bounded] = {}
 
         def answers(name: str, asked: pd.Series) -> list:
             try:
                 if name not in scorers:
-                    scorers[name] = make_scorer(name)
-                return list(scorers[name](asked))
+                    scorers[name] = Bounded(make_scorer, name, seconds)
+                return scorers[name](asked)
             except ScorerUnavailable:
                 if len(asked) == 1:
                     return [None]
                 return [answers(name, asked.iloc[[i]])[0] for i in range(len(asked))]
 
-        for batch in batches:
-            for name, rows in batch.groupby("model_name", dropna=False, sort=False):
-                for at in range(0, len(rows), batch_rows):
-                    part = rows.iloc[at : at + batch_rows]
-                    found = pd.Series(answers(name, part["prompt"]), dtype=object)
-                    yield pd.DataFrame(
-                        {
-                            "model_name": name,
-                            "text_hash": part["text_hash"].to_numpy(),
-                            "verdict": found,
-                            "status": found.map(lambda a: "unavailable" if a is None else "ok"),
-                        }
-                    )
+        try:
+            for batch in batches:
+                for name, rows in batch.groupby("model_name", dropna=False, sort=False):
+                    for at in range(0, len(rows), batch_rows):
+                        part = rows.iloc[at : at + batch_rows]
+                        found = pd.Series(answers(name, part["prompt"]), dtype=object)
+                        yield pd.DataFrame(
+                            {
+                                "model_name": name,
+                                "text_hash": part["text_hash"].to_numpy(),
+                                "verdict": found,
+                                "status": found.map(lambda a: "unavailable" if a is None else "ok"),
+                            }
+                        )
+        finally:
+            for scorer in scorers.values():
+                scorer.close()
 
     prompts = prompts.select("model_name", "text_hash", "prompt")
     if tasks:
@@ -138,18 +178,18 @@ def apply_verdicts(
     frame: DataFrame,
     verdicts: DataFrame,
     sanitized: str,
-    row_key: Sequence[str],
     enabled: Column | None = None,
 ) -> DataFrame:
     """Replace condemned texts; a text without a verdict is left alone.
 
-    ``malicious`` says whether the text was replaced.
+    ``malicious`` says whether the text was replaced. Few condemned hashes are sent to the rows by
+    Spark itself; of many, Spark splits the hot ones.
     """
-    joined = lookup_join(hashed(frame, sanitized), condemned(verdicts), "text_hash", row_key)
+    joined = hashed(frame, sanitized).join(condemned(verdicts), "text_hash", "left")
     replaced = F.coalesce("malicious", F.lit(False)) & inbound.open_for_model(sanitized)
     if enabled is not None:
         replaced = replaced & enabled
     judged = joined.withColumn("malicious", replaced).withColumn(
         sanitized, model.apply_verdict(sanitized, "malicious")
     )
-    return judged.drop("text_hash")  # it was that of the text before
+    return judged.select(*(c for c in frame.columns if c != "text_hash"), "malicious")

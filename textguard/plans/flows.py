@@ -13,7 +13,7 @@ from textguard.operators import requests as req
 from textguard.operators import second_pass as second
 from textguard.sources import search
 from textguard.sources.requests import split_valid_pairs, split_valid_requests
-from textguard.sources.rules import DLP, INJECTION, Rule
+from textguard.sources.rules import DLP, INJECTION, Rule, check_rules
 from textguard.sources.settings import unlisted
 
 MakeScorer = Callable[[str], second.Scorer]
@@ -38,6 +38,7 @@ def search_flow(
     The raw query is echoed, the anonymised one is what the provider was sent. A request
     without a response has no results and a NULL ``fetch_status``.
     """
+    _checked(requests, rules)
     asked, refused = search.split_requests(requests)
     found = search.normalize(landed, brave_key)
     joined = asked.join(found.select("request_id", "fetch_status", "items"), "request_id", "left")
@@ -62,11 +63,17 @@ def search_flow(
     return responses, refused
 
 
+def _checked(frame: DataFrame, *sets: Sequence[Rule] | None) -> None:
+    """Refuse a user's rules that do not compile before the job, not in one of its tasks."""
+    own = [r for rules in sets if rules and rules not in (INJECTION, DLP) for r in rules]
+    check_rules(frame.sparkSession, own)
+
+
 def _guarded_items(requests: DataFrame, make_scorer: MakeScorer, model_name: str) -> DataFrame:
     """Requests with the condemned of their sanitised ``results`` replaced."""
-    texts = requests.select(F.explode("results.content").alias("content"))
-    verdicts = second.score(second.candidates(texts, "content"), make_scorer, model_name)
-    return req.apply_verdicts_to_items(requests, verdicts)
+    asked = req.asked_items(requests)
+    prompts = second.candidates(req.item_texts(asked), "content")
+    return req.apply_verdicts_to_items(asked, second.score(prompts, make_scorer, model_name))
 
 
 def _items_by_settings(
@@ -79,18 +86,16 @@ def _items_by_settings(
 ) -> DataFrame:
     """Requests with their ``results`` treated by each one's own settings; ``reason`` beside them."""
     kept = requests.columns
-    rows = gating.with_settings(requests, settings, profile_id, ["request_id"])
+    rows = gating.with_settings(requests, settings, profile_id)
     clean = req.gated_items("results", rules or INJECTION, search)
     rows = rows.withColumns({"results": clean, "reason": unlisted()})
     if make_scorer:
-        asked = F.col("protected") & F.col("use_model")
-        rows = rows.select(*kept, "reason", "model_name", asked.alias("_asked"))
-        texts = rows.filter("_asked").select("model_name", F.explode("results.content").alias("content"))
+        wanted = F.col("protected") & F.col("use_model")
+        rows = rows.select(*kept, "reason", "model_name", wanted.alias("_asked"))
+        asked = req.asked_items(rows, enabled=F.col("_asked"), model_name="model_name")
+        texts = req.item_texts(asked, model_name="model_name")
         prompts = second.candidates(texts, "content", model_name="model_name")
-        verdicts = second.score_by_model(prompts, make_scorer)
-        rows = req.apply_verdicts_to_items(
-            rows, verdicts, enabled=F.col("_asked"), model_name="model_name"
-        )
+        rows = req.apply_verdicts_to_items(asked, second.score_by_model(prompts, make_scorer))
     return rows.select(*kept, "reason")
 
 
@@ -107,6 +112,7 @@ def sanitize_flow(
     Without a model this is one pass over the requests with no shuffle. ``settings`` as in
     ``search_flow``.
     """
+    _checked(requests, rules)
     valid, invalid = split_valid_requests(requests)
     if settings is not None:
         clean = _items_by_settings(valid, settings, profile_id, make_scorer, rules, False)
@@ -131,21 +137,21 @@ def pair_flow(
     ``settings`` as in ``search_flow``; a pair whose profile does not ask for leak prevention is
     let through without a report.
     """
+    _checked(pairs, rules, dlp_rules)
     valid, invalid = split_valid_pairs(pairs)
     if settings is not None:
         column, kept = "sanitized_inbound_preview", valid.columns
-        rows = gating.with_settings(valid, settings, profile_id, ["pair_id"])
+        rows = gating.with_settings(valid, settings, profile_id)
         rows = rows.withColumn(column, gating.gated_sanitize("incoming_content", rules or INJECTION))
         leaks = F.col("pii_leak_prevention") & F.col("protected")
         rows = egress.with_dlp_report(rows, "outbound_intent", dlp_rules, enabled=leaks)
         rows = rows.withColumn("reason", unlisted())
         report = ("safe", "violations", "action", "is_null")
         if make_scorer:
-            asked = F.col("protected") & F.col("use_model")
-            prompts = second.candidates(rows, column, asked, "model_name")
-            verdicts = second.score_by_model(prompts, make_scorer)
-            keyed = second.hashed(rows, column, "model_name")
-            rows = second.apply_verdicts(keyed, verdicts, column, ["pair_id"], asked)
+            wanted = F.col("protected") & F.col("use_model")
+            rows = second.asked(rows, column, wanted, "model_name")
+            prompts = second.candidates(rows, column, model_name="model_name")
+            rows = second.apply_verdicts(rows, second.score_by_model(prompts, make_scorer), column)
         rows = rows.select(*kept, column, "reason", *(c for c in report if c in rows.columns))
         return req.with_agent_status(rows), invalid
     if not make_scorer:
@@ -156,24 +162,26 @@ def pair_flow(
         "outbound_intent",
         dlp_rules,
     )
+    clean = second.asked(clean, column)
     verdicts = second.score(second.candidates(clean, column), make_scorer, model_name)
-    judged = second.apply_verdicts(clean, verdicts, column, ["pair_id"]).drop("malicious")
+    judged = second.apply_verdicts(clean, verdicts, column).drop("malicious")
     return req.with_agent_status(judged), invalid
 
 
 def text_flow(
     frame: DataFrame,
     text: str,
-    row_key: Sequence[str],
     rules: Sequence[Rule] | None = None,
     make_scorer: MakeScorer | None = None,
     model_name: str = "",
 ) -> DataFrame:
     """Any table with its text column sanitised, and ``threat`` beside it."""
+    _checked(frame, rules)
     clean = frame.withColumn(text, inbound.sanitize(text, rules))
     if make_scorer:
+        clean = second.asked(clean, text)
         verdicts = second.score(second.candidates(clean, text), make_scorer, model_name)
-        clean = second.apply_verdicts(clean, verdicts, text, row_key).drop("malicious")
+        clean = second.apply_verdicts(clean, verdicts, text).drop("malicious")
     return clean.withColumn("threat", inbound.flagged(text))
 
 
@@ -182,7 +190,6 @@ def settings_flow(
     settings: DataFrame,
     text: str,
     profile_id: str,
-    row_key: Sequence[str],
     make_scorer: MakeScorer | None = None,
     rules: Sequence[Rule] = INJECTION,
 ) -> DataFrame:
@@ -192,13 +199,13 @@ def settings_flow(
     the one they name, listed or not, all in one job; protection that is off leaves the text as
     it is, so nothing is scored. ``reason`` says what in a row's settings is not listed.
     """
+    _checked(frame, rules)
     kept = frame.columns
-    clean = gating.with_settings(frame, settings, profile_id, row_key)
+    clean = gating.with_settings(frame, settings, profile_id)
     clean = clean.withColumns({text: gating.gated_sanitize(text, rules), "reason": unlisted()})
     if make_scorer:
-        asked = F.col("protected") & F.col("use_model")
-        prompts = second.candidates(clean, text, asked, "model_name")
-        verdicts = second.score_by_model(prompts, make_scorer)
-        keyed = second.hashed(clean, text, "model_name")
-        clean = second.apply_verdicts(keyed, verdicts, text, row_key, asked).drop("malicious")
+        wanted = F.col("protected") & F.col("use_model")
+        clean = second.asked(clean, text, wanted, "model_name")
+        prompts = second.candidates(clean, text, model_name="model_name")
+        clean = second.apply_verdicts(clean, second.score_by_model(prompts, make_scorer), text)
     return clean.select(*kept, inbound.flagged(text).alias("threat"), "reason")

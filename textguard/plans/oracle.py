@@ -250,6 +250,37 @@ _SCORED = (
     f"CASE WHEN {_ANSWER} IS NULL THEN 'unavailable' ELSE 'ok' END AS status "
     f"FROM ({CLEAN}) WHERE {is_open('t')}"
 )
+_SLOW = f"CASE WHEN length(t) % 499 = 0 THEN NULL ELSE {_ANSWER} END"
+_DEADLINE = (
+    f"SELECT DISTINCT sha256(t) AS text_hash, {_SLOW} AS verdict, "
+    f"CASE WHEN {_SLOW} IS NULL THEN 'unavailable' ELSE 'ok' END AS status "
+    f"FROM ({CLEAN}) WHERE {is_open('t')}"
+)
+_INCREMENTAL = (
+    f"WITH d AS (SELECT DISTINCT t, {_ANSWER} AS known FROM ({CLEAN}) WHERE {is_open('t')}), "
+    f"b AS (SELECT t FROM d UNION SELECT t FROM (SELECT {fold('t')} AS t FROM ({CONVS})) WHERE {is_open('t')}) "
+    "SELECT sha256(b.t) AS text_hash, coalesce(d.known, 'later') AS verdict, 'ok' AS status "
+    "FROM b LEFT JOIN d ON d.t = b.t"
+)
+# Multinomial naive Bayes with one added to every count, as sums over words.
+_FITTED = (
+    f"WITH a AS (SELECT doc_id, t FROM ({CLEAN}) WHERE {is_open('t')}), "
+    "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS w FROM a), "
+    "x AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), "
+    "l AS (SELECT doc_id, toxic FROM labels JOIN a USING (doc_id) WHERE toxic IN (0, 1)), "
+    "c AS (SELECT toxic, w, sum(n) AS n FROM x JOIN l USING (doc_id) GROUP BY ALL), "
+    "v AS (SELECT DISTINCT w FROM c), k AS (SELECT count(*) AS k FROM v), "
+    "p AS (SELECT toxic, ln((count(*) + 1) / ((SELECT count(*) FROM l) + (SELECT count(DISTINCT toxic) FROM l))) AS p "
+    "FROM l GROUP BY toxic), "
+    "s AS (SELECT toxic, sum(n) AS s FROM c GROUP BY toxic), "
+    "f AS (SELECT p.toxic, v.w, ln((coalesce(c.n, 0) + 1) / (s.s + k.k)) AS f "
+    "FROM p CROSS JOIN v CROSS JOIN k JOIN s ON s.toxic = p.toxic LEFT JOIN c ON c.toxic = p.toxic AND c.w = v.w), "
+    "y AS (SELECT x.doc_id, f.toxic, sum(x.n * f.f) AS y FROM x JOIN f USING (w) GROUP BY ALL), "
+    "z AS (SELECT a.doc_id, p.toxic, p.p + coalesce(y.y, 0) AS z FROM a CROSS JOIN p "
+    "LEFT JOIN y ON y.doc_id = a.doc_id AND y.toxic = p.toxic), "
+    "m AS (SELECT doc_id, max_by(toxic, z) = 1 AS malicious FROM z GROUP BY doc_id) "
+    f"SELECT doc_id, coalesce(malicious, false) AS malicious FROM ({CLEAN}) LEFT JOIN m USING (doc_id)"
+)
 _LOG = (
     "SELECT strftime(DATE '2024-01-01' + (doc_id % 5)::INT, '%Y-%m-%d') AS day, "
     "doc_id::VARCHAR AS source_id, kind, rule_id, matches "
@@ -402,6 +433,9 @@ ORACLE = {
     ),
     "semantic_scored": _SCORED,
     "semantic_outage": _SCORED,
+    "semantic_deadline": _DEADLINE,
+    "semantic_incremental": _INCREMENTAL,
+    "semantic_fitted": _FITTED,
     "guarded_documents": _GUARDED,
     "stream_guarded": _GUARDED,
     "settings_defaults": (

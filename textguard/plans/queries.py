@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.functions import anonymize, egress, inbound
-from textguard.operators import events, findings, gating
+from textguard.functions import anonymize, egress, fixed, inbound
+from textguard.operators import events, findings, fitted, gating, verdict_store
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
 from textguard.plans import flows, planted, sinks
@@ -465,18 +468,17 @@ def _clean_documents(spark, folder):
     return documents(spark, folder).select("doc_id", inbound.sanitize("text").alias("text"))
 
 
-def _open_documents(spark, folder):
-    # A text no rule matches is its own sanitised form, so the chain need not run here.
-    return documents(spark, folder).filter(~inbound.matched("text"))
+def _asked_documents(spark, folder):
+    return second.asked(_clean_documents(spark, folder), "text")
 
 
 def semantic_candidates(spark, folder):
-    found = second.candidates(_open_documents(spark, folder), "text")
+    found = second.candidates(_asked_documents(spark, folder), "text")
     return found.select("text_hash", "copies")
 
 
 def semantic_prompt(spark, folder):
-    found = second.candidates(_open_documents(spark, folder), "text")
+    found = second.candidates(_asked_documents(spark, folder), "text")
     return found.select("text_hash", "prompt")
 
 
@@ -495,9 +497,7 @@ def _labelled_verdicts(spark, folder, clean):
 def semantic_apply(spark, folder):
     clean = written(_clean_documents(spark, folder), "clean")
     verdicts = written(_labelled_verdicts(spark, folder, clean), "verdicts")
-    return second.apply_verdicts(clean, verdicts, "text", ["doc_id"]).withColumnRenamed(
-        "text", "sanitized"
-    )
+    return second.apply_verdicts(clean, verdicts, "text").withColumnRenamed("text", "sanitized")
 
 
 def keyword_scorer(model_name: str):
@@ -512,8 +512,7 @@ def keyword_scorer(model_name: str):
 
 
 def semantic_scored(spark, folder):
-    clean = written(_clean_documents(spark, folder), "clean")
-    prompts = second.candidates(clean, "text")
+    prompts = second.candidates(_asked_documents(spark, folder), "text")
     return second.score(prompts, keyword_scorer, "keywords")
 
 
@@ -530,13 +529,60 @@ def outage_scorer(model_name: str):
 
 
 def semantic_outage(spark, folder):
-    prompts = second.candidates(_clean_documents(spark, folder), "text")
+    prompts = second.candidates(_asked_documents(spark, folder), "text")
     return second.score(prompts, outage_scorer, "keywords")
 
 
+def slow_scorer(model_name: str):
+    """The stand-in model, but some texts make it wait for ever."""
+    answer = keyword_scorer(model_name)
+
+    def scorer(prompts):
+        lengths = prompts.str.len() - len(fixed.PROMPT_HEAD) - len(fixed.PROMPT_TAIL)
+        if (lengths % 499 == 0).any():
+            time.sleep(3600)
+        return answer(prompts)
+
+    return scorer
+
+
+def semantic_deadline(spark, folder):
+    """Calls that never end cost only the texts that cause it."""
+    prompts = second.candidates(_asked_documents(spark, folder), "text")
+    return second.score(prompts, slow_scorer, "keywords", batch_rows=4, seconds=0.5)
+
+
+def later_scorer(model_name: str):
+    """Another answer to everything, as a changed model would give."""
+    return lambda prompts: pd.Series(["later"] * len(prompts), dtype=object)
+
+
+def semantic_incremental(spark, folder):
+    """Two runs over a store: the second scores only the texts that the first had not."""
+    path = new_path(spark, "verdict-store")
+    first = second.candidates(_asked_documents(spark, folder), "text")
+    verdict_store.score(first, keyword_scorer, "keywords", path, "day 1")
+    turns = conversations(spark, folder).select(inbound.sanitize("text").alias("text"))
+    both = _clean_documents(spark, folder).select("text").unionByName(turns)
+    again = second.candidates(second.asked(both, "text"), "text")
+    return verdict_store.score(again, later_scorer, "keywords", path, "day 2")
+
+
+def semantic_fitted(spark, folder):
+    """Verdicts of a model fitted on the labelled documents, saved and loaded again."""
+    labels = table(spark, folder, "labels", "doc_id", "toxic")
+    asked = _asked_documents(spark, folder)
+    path = new_path(spark, "fitted-scorer")
+    learned = asked.filter("text_hash IS NOT NULL").join(labels, "doc_id")
+    fitted.fit(learned, "text", "toxic").save(path)
+    verdicts = fitted.score(asked, PipelineModel.load(path), "text")
+    judged = second.apply_verdicts(asked, verdicts, "text")
+    return judged.select("doc_id", "malicious")
+
+
 def guarded_documents(spark, folder):
     return flows.text_flow(
-        documents(spark, folder), "text", ["doc_id"],
+        documents(spark, folder), "text",
         make_scorer=keyword_scorer, model_name="keywords",
     ).withColumnRenamed("text", "sanitized")
 
@@ -575,7 +621,7 @@ def settings_defaults(spark, folder):
 def config_gated_sanitize(spark, folder):
     profiles = written(settings.with_defaults(source_settings(spark, folder)), "settings")
     rows = gating.with_settings(
-        documents(spark, folder, "source"), profiles, "source", ["doc_id"]
+        documents(spark, folder, "source"), profiles, "source"
     )
     reported = egress.with_dlp_report(rows, "text", enabled=F.col("pii_leak_prevention"))
     return reported.select(
@@ -586,7 +632,7 @@ def config_gated_sanitize(spark, folder):
 def settings_guarded(spark, folder):
     profiles = written(settings.with_defaults(source_settings(spark, folder)), "settings")
     return flows.settings_flow(
-        documents(spark, folder, "source"), profiles, "text", "source", ["doc_id"],
+        documents(spark, folder, "source"), profiles, "text", "source",
         make_scorer=keyword_scorer,
     ).withColumnRenamed("text", "sanitized").drop("source", "reason")
 
@@ -601,7 +647,7 @@ def settings_unlisted_model(spark, folder):
     )
     profiles = written(settings.with_defaults(named), "settings")
     return flows.settings_flow(
-        documents(spark, folder, "source"), profiles, "text", "source", ["doc_id"],
+        documents(spark, folder, "source"), profiles, "text", "source",
         make_scorer=keyword_scorer,
     ).withColumnRenamed("text", "sanitized").drop("source")
 
@@ -704,7 +750,7 @@ def stream_guarded(spark, folder):
     """Both passes on a stream."""
     path = new_path(spark, "stream-guarded")
     query = streams.guarded(
-        _stream_documents(spark, folder), "text", path, new_path(spark, "progress"), ["doc_id"],
+        _stream_documents(spark, folder), "text", path, new_path(spark, "progress"),
         keyword_scorer, "keywords", available_now=True,
     )
     query.awaitTermination()
@@ -727,6 +773,6 @@ QUERIES = {
         search_guarded, search_partial, search_sink, requests_guarded, requests_sink,
         pairs_guarded, pairs_sink, latency_percentiles_hot, semantic_outage,
         settings_unlisted_model, search_by_settings, requests_by_settings, pairs_by_settings,
-        stream_event_log, stream_guarded,
+        stream_event_log, stream_guarded, semantic_deadline, semantic_incremental, semantic_fitted,
     )
 }

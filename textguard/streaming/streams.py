@@ -126,7 +126,6 @@ def guarded(
     text: str,
     path: str,
     checkpoint: str,
-    row_key: Sequence[str],
     make_scorer: MakeScorer,
     model_name: str,
     rules: Sequence[Rule] | None = None,
@@ -138,7 +137,7 @@ def guarded(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = text_flow(batch, text, row_key, rules, make_scorer, model_name)
+        done = text_flow(batch, text, rules, make_scorer, model_name)
         done.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
