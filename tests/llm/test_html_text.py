@@ -1,5 +1,7 @@
 """Main text of pages: parsing, gradients, held-out pages, and the whole table."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,25 @@ def test_stray_quotes():
     list(html_text.blocks("<p " + 'a="x" ' * 20_000))
 
 
+def test_hostile_pages_take_linear_time():
+    for unit in ("<a", "a<b ", "<div>x", '<x y="', "</", "<a ", "<b><div>x</b>", "<!--", "<script>", "<li>a<b"):
+        for tail in ("", ">", 'b=">"'):
+            page = unit * (1_000_000 // len(unit)) + tail
+            start = time.perf_counter()
+            for _ in html_text._leaves(page):
+                pass
+            assert time.perf_counter() - start < 10, (unit, tail)  # seconds a MB; it was hours
+    start = time.perf_counter()
+    html_text.encoded("".join(f"<div class=c{i}>x" for i in range(20_000)))
+    assert time.perf_counter() - start < 20
+
+
+def test_tags_that_do_not_end():
+    assert found('a <b href="x') == [("", "a")] and found("1 < 2 <3") == [("", "1 < 2 <3")]
+    assert found('<p>one</p><q <q <q b=">" c') == [("p", "one"), ("", '<q b=">" c')]
+    assert found('<p>x <a b="> y" </p>') == [("p a", "x")]
+
+
 def test_gradient():
     model = html_text.Labeller.fresh(3)
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}

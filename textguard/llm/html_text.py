@@ -6,7 +6,8 @@ import html
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -40,13 +41,145 @@ _WALLS = frozenset("table ul ol dl select article section aside nav body".split(
 
 #: A quote holds a value together only right after "="; any other is a plain character of its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>|</?[a-zA-Z][^<>]*(?=<|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>|</?[a-zA-Z][^<>]*(?=<|\Z)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: What is left where no tag ends any more: comments, and tags cut off by the next or the end.
+_REST = re.compile(r"<!--.*|<[!?][^>]*|</?[a-zA-Z][^<>]*", re.DOTALL)
+_OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z]", re.DOTALL)
+_NAME_END = re.compile(r"[\s/>]")
+_EVENT = re.compile(r"=\s*([\"'])|>")
+_CUT_OFF = re.compile(r"</?[a-zA-Z][^<>]*")
+
+
+class _Careful:
+    """Tokens as ``_TOKEN`` finds them, in time linear in a page whose tags do not end.
+
+    Where the search for a tag's end came to nothing, any later one that reaches one of the places
+    it passed outside of quotes comes to nothing as well. Such stretches are remembered, so each
+    place is looked at a fixed number of times.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.name_end = 0
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name and attributes of the next token from ``at`` on."""
+        page = self.page
+        while opening := _OPENING.search(page, at):
+            start = opening.start()
+            if page[start + 1] in "!?":
+                return start, opening.end(), "", "", ""
+            if self.name_end < opening.end():
+                found = _NAME_END.search(page, opening.end())
+                self.name_end = found.start() if found else len(page)
+            end = self._end(self.name_end)
+            if end >= 0:
+                slash = "/" if page[start + 1] == "/" else ""
+                name = page[start + 1 + len(slash) : self.name_end]
+                return start, end + 1, slash, name, page[self.name_end : end]
+            cut = _CUT_OFF.match(page, start).end()
+            if cut == len(page) or page[cut] == "<":
+                return start, cut, "", "", ""
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends, or -1."""
+        page, tried = self.page, []
+        while at <= self.last[">"]:
+            i = bisect_right(self.starts, at) - 1
+            if i >= 0 and at <= self.ends[i]:
+                break
+            stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(page) + 1
+            event = _EVENT.search(page, at)
+            while event and event[1] and event.end() > self.last[event[1]]:
+                event = _EVENT.search(page, event.start() + 1)  # a quote that nothing ends
+            if event is None or event.start() >= stop:
+                tried.append((at, stop - 1 if event else len(page)))
+                break
+            if not event[1]:
+                return event.start()
+            tried.append((at, event.start()))
+            at = page.index(event[1], event.end()) + 1
+        for start, end in tried:
+            i = bisect_right(self.starts, start)
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+        return -1
+
+
+class _Stack:
+    """The open elements, with what a block's path asks of them kept up to date."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.blocks: list[int] = []
+        self.words: dict[str, int] = {}
+        self.buckets: dict[int, int] = {}
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        here = len(self.open)
+        self.open.append((name, words))
+        self.at.setdefault(name, []).append(here)
+        if name in _WALLS:
+            self.walls.append(here)
+        if name in BLOCKS:
+            self.blocks.append(here)
+        for word in words:
+            n = self.words[word] = self.words.get(word, 0) + 1
+            if n == 1:
+                bucket = _bucket(word)
+                self.buckets[bucket] = self.buckets.get(bucket, 0) + 1
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            name, words = self.open.pop()
+            self.at[name].pop()
+            if name in _WALLS:
+                self.walls.pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            for word in words:
+                self.words[word] -= 1
+                if not self.words[word]:
+                    del self.words[word]
+                    bucket = _bucket(word)
+                    self.buckets[bucket] -= 1
+                    if not self.buckets[bucket]:
+                        del self.buckets[bucket]
+
+    def top(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def links(self) -> int:
+        return len(self.at.get("a", ()))
+
+    def last(self) -> list[str]:
+        """The last three words of the path."""
+        words: list[str] = []
+        for _, more in reversed(self.open[-3:]):
+            words[:0] = more
+        return words[-3:]
+
+
+#: For each element that starts, the open ones that it may end.
+_ENDED_BY = {
+    name: ("p", *(left for left, rights in _CLOSES.items() if name in rights)) for name in BLOCKS
+}
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, float]]:
     """The leaf blocks of a page in order: tag path, text, share of its characters in links.
 
@@ -54,64 +187,92 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, float]]:
     has its references decoded and its white space folded; blocks without text are left out.
     Comments, scripts and styles are no text. Markup may be broken anywhere.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    for stack, text, linked in _leaves(page):
+        yield tuple(t for _, names in stack.open for t in names), text, linked
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash, name and attributes of each token; the caller sends where to go on."""
+    at, careful = 0, None
+    while True:
+        if careful is None:
+            token = _TOKEN.search(page, at)
+            if token is None:
+                return
+            found = (token.start(), token.end(), token[1] or "", token[2] or "", token[3] or "")
+            if not found[3] and page[found[0] + 1] not in "!?":
+                careful = _Careful(page)  # a tag without an end; looking for more would add up
+        else:
+            found = careful.next(at)
+            if found is None:
+                return
+        at = yield found
+
+
+def _leaves(page: str) -> Iterator[tuple[_Stack, str, float]]:
+    """As ``blocks``, but with the stack itself, as it is at that moment."""
+    stack = _Stack()
     parts: list[str] = []
-    state = {"links": 0, "linked": 0}
+    linked = 0
+    raw_ends = {name: True for name in RAW}
 
-    def flush() -> Iterator[tuple[tuple[str, ...], str, float]]:
+    def flush() -> Iterator[tuple[_Stack, str, float]]:
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = tuple(t for _, names in stack for t in names)
-                yield path, text, min(1.0, state["linked"] / max(1, len(text)))
+                yield stack, text, min(1.0, linked / max(1, len(text)))
             parts.clear()
-        state["linked"] = 0
+        linked = 0
 
     def add(piece: str) -> None:
+        nonlocal linked
         parts.append(piece)
-        if state["links"]:
-            state["linked"] += len(piece.strip())
+        if stack.links():
+            linked += len(piece.strip())
 
     at, n = 0, len(page)
+    last_end = page.rfind(">")
+    tokens = _tokens(page)
+    token = next(tokens, None)
     while at < n:
-        token = _TOKEN.search(page, at)
         if token is None:
             add(page[at:])
             break
-        if token.start() > at:
-            add(page[at : token.start()])
-        at = token.end()
-        name = (token[2] or "").lower()
-        if not name:
-            continue
-        block = name in BLOCKS
-        if token[1]:
-            if block:
-                yield from flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (block or not any(s[0] in BLOCKS for s in stack[depth:])):
-                state["links"] -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
-            continue
-        if block:
-            yield from flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or name in _CLOSES.get(stack[i][0], ()):
-                    state["links"] -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in _WALLS:
-                    break
-        if name in EMPTY:
-            parts.append(" ")
-            continue
-        words = [w.lower() for m in _NAMES.finditer(token[3]) for w in _PART.findall(m[1] or m[2] or m[3] or "")]
-        stack.append((name, (name, *(f".{w}" for w in words))))
-        state["links"] += name == "a"
+        start, end, slash, name, attributes = token
+        if start > at:
+            add(page[at:start])
+        at, name = end, name.lower()
+        if name:
+            block = name in BLOCKS
+            if slash:
+                if block:
+                    yield from flush()
+                depth = stack.top((name,))
+                if depth >= 0 and (block or not stack.blocks or stack.blocks[-1] < depth):
+                    stack.cut(depth)
+            elif name in RAW:
+                found = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at) if raw_ends[name] else None
+                raw_ends[name] = found is not None
+                at = found.end() if found else n
+            else:
+                if block:
+                    yield from flush()
+                    ended = stack.top(_ENDED_BY[name])
+                    if ended >= 0 and (not stack.walls or ended >= stack.walls[-1]):
+                        stack.cut(ended)
+                if name in EMPTY:
+                    parts.append(" ")
+                else:
+                    words = [w.lower() for m in _NAMES.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")]
+                    stack.push(name, (name, *(f".{w}" for w in words)))
+        if at > last_end:  # no tag ends any more
+            add(_REST.sub("", page[at:]))
+            break
+        try:
+            token = tokens.send(at)
+        except StopIteration:
+            token = None
     yield from flush()
 
 
@@ -128,6 +289,7 @@ class Page:
 
     paths: np.ndarray = field(default_factory=lambda: np.empty(0, int))
     path_counts: np.ndarray = field(default_factory=lambda: np.empty(0, int))
+    path_weights: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
     words: np.ndarray = field(default_factory=lambda: np.empty(0, int))
     word_counts: np.ndarray = field(default_factory=lambda: np.empty(0, int))
     numbers: np.ndarray = field(default_factory=lambda: np.empty((0, 3), np.float32))
@@ -156,7 +318,7 @@ class Labeller:
     def inputs(self, page: Page) -> np.ndarray:
         """A row for each block."""
         rows = np.empty((len(page.numbers), INPUT), np.float32)
-        rows[:, :PATH_SIZE] = _sums(self.weights["paths"], page.paths, page.path_counts)
+        rows[:, :PATH_SIZE] = _sums(self.weights["paths"], page.paths, page.path_counts, page.path_weights)
         counts = page.word_counts
         rows[:, PATH_SIZE:-3] = _sums(self.weights["words"], page.words, counts) / np.maximum(counts, 1)[:, None]
         rows[:, -3:] = page.numbers
@@ -221,18 +383,22 @@ class Labeller:
 def encoded(page: str) -> tuple[Page, list[str]]:
     """What the network reads of a page's blocks, and their texts."""
     made, found = Page(), []
-    paths, words, path_counts, word_counts, numbers = [], [], [], [], []
-    for path, text, linked in blocks(page):
-        known = _path(path)
-        paths += known
-        path_counts.append(len(known))
+    paths, weights, words, path_counts, word_counts, numbers = [], [], [], [], [], []
+    for stack, text, linked in _leaves(page):
+        last = stack.last()
+        paths += stack.buckets
+        weights += stack.buckets.values()
+        paths += (_bucket(f"{t}/{len(last) - i}") for i, t in enumerate(last))
+        weights += [1] * len(last)
+        path_counts.append(len(stack.buckets) + len(last))
         split = text.lower().split()
         words += map(_BUCKETS.__getitem__, split)
         word_counts.append(len(split))
-        head = bool(path) and path[-1] in ("h1", "h2", "h3")
+        head = bool(last) and last[-1] in ("h1", "h2", "h3")
         numbers.append((math.log1p(len(text)) / 4, linked, head))
         found.append(text)
     made.paths, made.words = np.array(paths, int), np.array(words, int)
+    made.path_weights = np.array(weights, np.float32)
     made.path_counts, made.word_counts = np.array(path_counts, int), np.array(word_counts, int)
     made.numbers = np.array(numbers, np.float32).reshape(-1, 3)
     return made, found
@@ -252,18 +418,18 @@ _BUCKETS = _Buckets()
 
 
 @lru_cache(maxsize=20_000)
-def _path(path: tuple[str, ...]) -> list[int]:
-    near = [f"{t}/{min(3, len(path) - i)}" for i, t in enumerate(path)][-3:]
-    return [zlib.crc32(t.encode()) % PATHS for t in dict.fromkeys((*path, *near))]
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % PATHS
 
 
-def _sums(vectors: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of vectors; runs may be empty."""
+def _sums(vectors: np.ndarray, flat: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sums of consecutive runs of vectors, weighted; runs may be empty."""
     out = np.zeros((len(counts), vectors.shape[1]), np.float32)
     some = counts > 0
     if some.any():
         starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.add.reduceat(vectors[flat], starts, axis=0)
+        rows = vectors[flat] if weights is None else vectors[flat] * weights[:, None]
+        out[some] = np.add.reduceat(rows, starts, axis=0)
     return out
 
 
@@ -329,7 +495,8 @@ def _gradient(model: Labeller, group: list[tuple]) -> dict[str, np.ndarray]:
     d_paths, d_words = np.zeros_like(w["paths"]), np.zeros_like(w["words"])
     for column, (page, _) in enumerate(group):
         slope = to_x[: len(page.numbers), column]
-        np.add.at(d_paths, page.paths, np.repeat(slope[:, :PATH_SIZE], page.path_counts, axis=0))
+        each = np.repeat(slope[:, :PATH_SIZE], page.path_counts, axis=0)
+        np.add.at(d_paths, page.paths, each * page.path_weights[:, None])
         share = slope[:, PATH_SIZE:-3] / np.maximum(page.word_counts, 1)[:, None]
         np.add.at(d_words, page.words, np.repeat(share, page.word_counts, axis=0))
     return slopes | {"paths": d_paths, "words": d_words}
