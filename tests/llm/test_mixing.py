@@ -1,9 +1,11 @@
 """Mixing against a plain water filling, and limits on copies."""
 
+import math
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from textguard.llm import mixing, queries
 
@@ -50,12 +52,40 @@ def test_mix(spark):
     check(got, lambda goal: max(12, 0.002 * goal))
     again = mixing.mixed(docs.repartition(3), ["doc_id"]).select(*got[0].asDict()).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
-    copies = mixing.repeated(docs, ["doc_id"])
-    assert copies.columns == docs.columns
+    named = docs.withColumn("Size", F.concat(F.lit("s"), F.col("doc_id").cast("string"))).withColumn("copies", F.lit(1.5))
+    copies = mixing.repeated(named, ["doc_id"])
+    assert copies.schema == named.schema
+    assert all(r.target == "x" and r.copies == 1.5 and r.Size == (r.doc_id is not None and f"s{r.doc_id}" or None) for r in copies.collect())
     assert copies.count() == sum(r.copies for r in got)
     assert mixing.mixed(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_rates_are_tilted(spark):
+    """The solved dual against a plain search for the same tilt."""
+    rng = random.Random(5)
+    sizes = {s: [int(rng.paretovariate(1.2) * 6) for _ in range(400)] for s in "abc"}
+    aims = {"a": 0.4, "b": 2.5, "c": 1.0}
+    rows = [(s, size, 1) for s in sizes for size in sizes[s]]
+    counts = spark.createDataFrame(rows, "__mix_source string, __mix_size long, n long")
+    counts = counts.groupBy("__mix_source", "__mix_size").agg(F.sum("n").alias("n"))
+    goals = [(s, sum(sizes[s]), aims[s] * sum(sizes[s])) for s in sizes]
+    goals = spark.createDataFrame(goals, "__mix_source string, __mix_source_size long, __mix_target double")
+    found = {r["__mix_source"]: r for r in mixing.tilts(counts, goals).collect()}
+    for s, all_sizes in sizes.items():
+        mean = sum(all_sizes) / len(all_sizes)
+
+        def words(tilt):
+            return sum(x * min(3.0, math.exp(min(2.0, tilt * x / mean))) for x in all_sizes)
+
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < aims[s] * sum(all_sizes) else (low, middle)
+        assert found[s].mean == pytest.approx(mean)
+        assert found[s].tilt == pytest.approx(low, abs=1e-5)
+        assert abs(found[s].tilt) < 1e-6 if s == "c" else abs(found[s].tilt) > 0.01
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.op9_mixing(spark, folder)
@@ -65,3 +95,16 @@ def test_whole_table(spark):
     for r in rows:
         assert r.size == len((r.text or "").encode().split())
     check(rows, lambda goal: max(25, 0.002 * goal))
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    tilted = 0
+    for some in by_source.values():
+        some.sort(key=lambda r: r.size)
+        third = len(some) // 3
+        short, long = (sum(r.copies for r in part) / third for part in (some[:third], some[-third:]))
+        ratio = some[0].target / some[0].source_size
+        if ratio < 0.7 or 1.4 < ratio < 2.5:
+            assert (long < short) == (ratio < 1)  # long documents go, or come, first
+            tilted += 1
+    assert tilted > 4
