@@ -88,3 +88,21 @@ def test_search_flow_and_its_sink(spark, tmp_path):
 def test_results_are_read_without_a_shuffle(spark, tmp_path):
     found = search.normalize(_landed(spark, tmp_path)).select(F.size("items"))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damaged_bodies(spark, tmp_path):
+    bodies = {
+        "page": "<html>502</html>", "cut": '{"results":[{"title":"a"', "object": '{"results":{"title":"a"}}', "empty": "",
+        "text": '{"results":"x"}', "none": None, "fine": '{"results":[{"title":"a"}]}', "no results": '{"q":1}',
+        "web": '{"web":[1]}', "array": "[1]",
+    }
+    rows = [(k, "searxng", 200, b) for k, b in bodies.items()]
+    landed = spark.createDataFrame(rows, "request_id string, provider string, fetch_status int, body string")
+    found = {r.request_id: r for r in search.normalize(search.parse_body(landed)).collect()}
+    fine = {"none", "fine", "no results"}
+    assert {k for k, r in found.items() if r.parse_ok} == fine
+    assert {k for k, r in found.items() if r["items"]} == {"fine"}
+    path = tmp_path / "landed.json"
+    path.write_text('{"request_id":"a","provider":"searxng","fetch_status":200,"results":[{"title":"t"}]}\n<html>\n')
+    read = search.normalize(search.read_landed(spark, str(path))).collect()
+    assert sorted((str(r.request_id), r.parse_ok) for r in read) == [("None", False), ("a", True)]

@@ -365,6 +365,11 @@ ORACLE = {
         "CASE WHEN page_id % 3 = 2 THEN 3 ELSE 1 END::BIGINT AS n_items, "
         f"{planted.with_phrase_sql('html', 'page_id')} AS content FROM pages"
     ),
+    "search_damaged": (
+        "SELECT page_id AS request_id, page_id % 4 = 3 AS parse_ok, "
+        "CASE WHEN page_id % 4 = 3 THEN 1 ELSE 0 END::BIGINT AS n_items, "
+        f"CASE WHEN page_id % 4 = 3 THEN {planted.with_phrase_sql('html', 'page_id')} END AS content FROM pages"
+    ),
     "sanitize_requests": _requests("doc_id", "t"),
     "requests_sink": _requests("doc_id", "t"),
     "requests_guarded": _requests(

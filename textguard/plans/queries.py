@@ -281,6 +281,28 @@ def search_partial(spark, folder):
     )
 
 
+def search_damaged(spark, folder):
+    """Responses of status 200 whose body is a web page, cut off, or has no list of results."""
+    page = F.col("page_id")
+    rows = spread(table(spark, folder, "pages", "page_id", "url", "html"), "page_id")
+    item = F.to_json(F.struct(planted.with_phrase("html", page).alias("content"), "url"))
+    whole = F.concat(F.lit('{"results":['), item, F.lit("]}"))
+    body = (
+        F.when(page % 4 == 0, F.coalesce("html", F.lit("")))
+        .when(page % 4 == 1, F.substring(whole, 1, 24))
+        .when(page % 4 == 2, F.concat(F.lit('{"results":'), item, F.lit("}"))).otherwise(whole)
+    )
+    landed = rows.select(
+        page.alias("request_id"), F.lit("searxng").alias("provider"),
+        F.lit(200).alias("fetch_status"), body.alias("body"),
+    )
+    found = search.normalize(search.parse_body(landed))
+    return found.select(
+        "request_id", "parse_ok", F.size("items").cast("bigint").alias("n_items"),
+        F.get("items", F.lit(0))["content"].alias("content"),
+    )
+
+
 def search_sink(spark, folder):
     """Search responses written as JSON and read again."""
     landed = search.parse_body(landed_pages(spark, folder))
@@ -774,5 +796,6 @@ QUERIES = {
         pairs_guarded, pairs_sink, latency_percentiles_hot, semantic_outage,
         settings_unlisted_model, search_by_settings, requests_by_settings, pairs_by_settings,
         stream_event_log, stream_guarded, semantic_deadline, semantic_incremental, semantic_fitted,
+        search_damaged,
     )
 }

@@ -32,10 +32,17 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_body(frame: DataFrame, body: str = "body") -> DataFrame:
-    """The same shape from a column that holds the provider's JSON text."""
-    parsed = F.from_json(body, BODY_SCHEMA)
-    return frame.withColumn("_body", parsed).select(
-        *(c for c in frame.columns if c != body), "_body.results", "_body.web"
+    """The same shape from a column that holds the provider's JSON text, parsed once.
+
+    A body that is no JSON, is cut off, or has something else where the results should be stays
+    in ``_corrupt``.
+    """
+    parsed = F.from_json(body, f"{BODY_SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    read = frame.withColumn("_body", parsed)
+    none = F.when(F.col("_body").isNull(), F.col(body))  # an empty body is no JSON either
+    return read.select(
+        *(c for c in frame.columns if c != body), "_body.results", "_body.web",
+        F.coalesce("_body._corrupt", none).alias("_corrupt"),
     )
 
 
@@ -97,7 +104,8 @@ def normalize(landed: DataFrame, brave_key: bool = True) -> DataFrame:
 
     A failed fetch, an unknown provider, and Brave without a key have no items. The fetch
     status stays beside them, so that a failure does not pass for an empty result. ``parse_ok``
-    is false where an item was no object; the items before it are kept.
+    is false where an item was no object; the items before it are kept. It is also false where
+    ``_corrupt`` says that the body was damaged, which has no items.
     """
     provider, ok = provider_name(), F.col("fetch_status") == 200
     results = F.when(ok & (provider == SEARXNG), F.col("results"))
@@ -106,10 +114,11 @@ def normalize(landed: DataFrame, brave_key: bool = True) -> DataFrame:
         results = results.when(ok & (provider == BRAVE), F.col("web.results"))
         key = F.when(provider == BRAVE, "description").otherwise(key)
     kept = [c for c in landed.columns if c not in ("results", "web")]
+    whole = F.col("_corrupt").isNull() if "_corrupt" in landed.columns else F.lit(True)
     return landed.select(
         *kept,
-        F.coalesce(_items(results, key), F.array().cast(ITEMS_TYPE)).alias("items"),
-        _all_objects(results).alias("parse_ok"),
+        F.coalesce(_items(F.when(whole, results), key), F.array().cast(ITEMS_TYPE)).alias("items"),
+        (whole & _all_objects(results)).alias("parse_ok"),
     )
 
 
