@@ -37,3 +37,28 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
     assert mixing.MOST == 3
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    """Stages keep columns of any name as they are, and take null, empty, long and repeated texts."""
+    folder = "/root/testdata/sf0.001"
+    long = " ".join(f"word{i} of a long and plain text." for i in range(4000))
+    texts = [None, "", " \n", "same text twice " * 9, "same text twice " * 9, long]
+    texts += [f"A plain line of text, the number {i} of some, with words of its own like w{i} and v{i}, to be read and kept by all." for i in range(40)]
+    rows = [(i if i != 7 else None, t, ("en", None)[i % 2], f"s{i % 3}" if i % 5 else None, 1, f"t{i}", float(i), "x") for i, t in enumerate(texts)]
+    rows.append(rows[9])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, target string, Size double, copies string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        made = corpus_pipeline.written(stage(spark, docs, folder), name)
+        if name != "tokens":
+            assert made.schema.simpleString() == docs.schema.simpleString(), name
+        assert all(r.target == f"t{int(r.Size)}" and r.copies == "x" for r in made.collect()), name
+        own = made.collect()
+        if name == "near_duplicates":
+            assert sum(r.text is not None and r.text.startswith("same") for r in own) == 1
+            assert sum(not (r.text or "").split() for r in own) == 1
+        if name == "personal_data":
+            assert len(own) == len(rows)
+        if name == "tokens":
+            assert all(r.lossless and r.n_tokens == len(r.ids) for r in own)
