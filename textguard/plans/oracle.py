@@ -5,7 +5,7 @@ from __future__ import annotations
 from textguard.functions import fixed
 from textguard.plans import planted
 from textguard.plans.planted import quoted
-from textguard.plans.queries import BLOCKED, CUSTOM_PATTERNS
+from textguard.plans.queries import BLOCKED, CUSTOM_PATTERNS, MEETING
 from textguard.sources.rules import DLP, INJECTION
 
 DOC = planted.with_phrase_sql("text", "doc_id")
@@ -288,6 +288,16 @@ _LOG = (
 )
 _BY_SETTINGS = judged(f"protected AND use_model AND coalesce({_ANSWER} = 'Malicious.', false)")
 
+_PHRASES = (
+    f"list_concat([{', '.join(map(quoted, BLOCKED))}], (SELECT list(array_to_string("
+    "string_split(text, ' ')[1:3], ' ') ORDER BY item_id) FROM benchmark), "
+    f"[{', '.join(map(quoted, MEETING))}])"
+)
+_ITEM_RULES = (
+    "SELECT concat('item_', i, '_', n) AS rule_id, '(?i)' || w[n + 1] || '[ .,]+' || w[n + 2] AS pattern "
+    "FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, "
+    "string_split_regex(text, '[^A-Za-z]+')[1:11] AS w, unnest(range(len(w) - 1)) AS n FROM benchmark)"
+)
 ORACLE = {
     "sanitize_documents": _SANITIZED,
     "sanitize_pages": (
@@ -311,6 +321,15 @@ ORACLE = {
         f"ELSE {fold('t')} END AS sanitized FROM ({DOCS})"
     ),
     "blocklist_sanitize": f"SELECT doc_id, {blocked(fold('t'))} AS sanitized FROM ({DOCS})",
+    "blocklist_phrases": (
+        f"SELECT doc_id, list_reduce(list_concat([{fold('t')}], {_PHRASES}), "
+        f"lambda acc, p: replace(acc, p, {quoted(fixed.MARKER)})) AS sanitized FROM ({DOCS})"
+    ),
+    "catalogue_findings": (
+        f"SELECT doc_id, kind, rule_id, matches FROM ({long_findings(RULES)}) WHERE matches > 0 "
+        "UNION ALL SELECT * FROM (SELECT doc_id, 'injection', rule_id, "
+        f"len(regexp_extract_all(t, pattern)) AS matches FROM ({DOCS}), ({_ITEM_RULES})) WHERE matches > 0"
+    ),
     "rule_toggle": (
         "SELECT doc_id, "
         + fold("t", [r.pattern for r in INJECTION if r.rule_id not in ("system_override", "sudo_rm")])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import anonymize, egress, fixed, inbound
-from textguard.operators import events, findings, fitted, gating, verdict_store
+from textguard.operators import catalogue, events, findings, fitted, gating, verdict_store
 from textguard.operators import requests as req
 from textguard.operators import second_pass as second
 from textguard.plans import flows, planted, sinks
@@ -20,6 +20,7 @@ from textguard.sources.requests import split_valid_pairs
 from textguard.streaming import streams
 
 CUSTOM_PATTERNS = (r"(?i)closing\s+line", r"the [a-z]+ing ")
+MEETING = ("[SECURITY SAN", "TRIGGERED]", " ATION", "ZATION TRIG", "SUDO")
 BLOCKED = ("closing line", "a.b.", "of the", "SUDO")
 
 
@@ -99,6 +100,34 @@ def blocklist_sanitize(spark, folder):
     )
 
 
+def _of_items(spark, folder, words):
+    """A user's list: some words of every benchmark item, in the order of the items."""
+    items = table(spark, folder, "benchmark", "item_id", "text").orderBy("item_id")
+    return [r.w for r in items.select(words.alias("w")).collect()]
+
+
+def blocklist_phrases(spark, folder):
+    """The rules, then a block list: the openings of all benchmark items among other phrases."""
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    phrases = [*BLOCKED, *_of_items(spark, folder, opening), *MEETING]
+    clean = catalogue.sanitize_phrases(documents(spark, folder), "text", phrases)
+    return clean.select("doc_id", F.col("text").alias("sanitized"))
+
+
+def catalogue_findings(spark, folder):
+    """Findings of a rule for each of the first words of every benchmark item and the next, beside the built-in ones."""
+    items = _of_items(spark, folder, F.slice(F.split("text", "[^A-Za-z]+"), 1, 11))
+    own = [
+        rules.Rule(f"item_{i}_{n}", i, "injection", "own", rf"(?i){one}[ .,]+{two}")
+        for i, words in enumerate(items)
+        for n, (one, two) in enumerate(zip(words, words[1:]))
+    ]
+    found = catalogue.findings(
+        documents(spark, folder), "doc_id", "text", [*own, *rules.INJECTION, *rules.DLP]
+    )
+    return found.select("doc_id", "kind", "rule_id", "matches")
+
+
 def rule_toggle(spark, folder):
     chosen = rules.toggle(rules.INJECTION, system_override=False, sudo_rm=False)
     return documents(spark, folder).select(
@@ -796,6 +825,6 @@ QUERIES = {
         pairs_guarded, pairs_sink, latency_percentiles_hot, semantic_outage,
         settings_unlisted_model, search_by_settings, requests_by_settings, pairs_by_settings,
         stream_event_log, stream_guarded, semantic_deadline, semantic_incremental, semantic_fitted,
-        search_damaged,
+        search_damaged, blocklist_phrases, catalogue_findings,
     )
 }
