@@ -123,3 +123,21 @@ def test_stream_and_batch_windows_agree(spark, tmp_path):
     found = streams.current_counts(spark, out, ["kind"])
     text = F.date_format("window_start", "HH:mm").alias("w")
     assert sorted(found.select(text, "kind", "n").collect()) == sorted(batch.select(text, "kind", "n").collect())
+
+
+def test_merged_sketches_are_near_the_exact_percentiles(spark):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 3).alias("g"), (F.col("id") % 30).alias("day"),
+        F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, float("nan"))
+        .otherwise((F.hash("id") % 10_000).cast("double")).alias("v"),
+    )
+    stored = events.sketches(rows, "v", ["g", "day"])
+    merged = events.merged(stored, ["g"])
+    found = events.sketched_percentiles(merged, [0.1, 0.5, 0.99, 0.5], ["g"]).collect()
+    assert len(found) == 9
+    kept = rows.filter("v IS NOT NULL AND NOT isnan(v)").toPandas()
+    for r in found:
+        values = kept[kept.g == r.g].v
+        assert abs((values <= r.value).mean() - r.prob) < 0.015
+    nothing = events.sketches(rows.withColumn("v", F.lit(None).cast("double")), "v", ["g"])
+    assert events.sketched_percentiles(nothing, [0.5], ["g"]).collect() == []

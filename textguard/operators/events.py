@@ -147,5 +147,33 @@ def percentiles(
     return found.withColumn("_i", F.explode(F.sequence(F.lit(1), repeats))).drop("_i")
 
 
+def sketches(frame: DataFrame, value: str, by: Sequence[str], k: int = 400) -> DataFrame:
+    """A KLL sketch of the values of each group, to be stored as a table and merged later.
+
+    A sketch has a bounded size and is combined before the shuffle, so a group may be of any size.
+    Values that are NULL or NaN take no part; a group without any other has no sketch.
+    """
+    values = frame.select(*by, F.col(value).cast("double").alias("_v"))
+    values = values.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return values.groupBy(*by).agg(F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"))
+
+
+def merged(stored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored sketches merged over the columns that ``by`` leaves out, as days into a month."""
+    return stored.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(stored: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Values of the group near the wanted ranks: ``by``, ``prob``, ``value``.
+
+    With the default ``k`` a value's rank is off by under 1 % of the group, at 99 % confidence;
+    ``percentiles`` is the exact form.
+    """
+    probs = [float(p) for p in dict.fromkeys(probs)]
+    values = F.array(*(F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in probs))
+    each = F.arrays_zip(F.array(*map(F.lit, probs)).alias("prob"), values.alias("value"))
+    return stored.select(*by, F.inline(each).alias("prob", "value"))
+
+
 def _parts(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))

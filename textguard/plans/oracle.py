@@ -511,4 +511,27 @@ ORACLE = {
     "stream_sanitize": f"SELECT *, {flagged('sanitized')} AS threat FROM ({_SANITIZED})",
     "stream_dlp": f"SELECT doc_id, NOT {LEAK} AS safe, {ACTION} AS action FROM ({DOCS})",
     "stream_event_counts": _COUNTS,
+    "stream_parted": (
+        f"SELECT doc_id, NOT {LEAK} AS safe, {ACTION} AS action, {ACTION} AS sink FROM ({DOCS})"
+    ),
+    "stream_counts_late": (
+        "WITH e AS (SELECT *, date_trunc('hour', ts) AS w, CASE WHEN event_id % 7 = 0 THEN 3 "
+        "ELSE least(2, (day(ts) - 1) // 10) END AS b FROM events), "
+        "x AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+        "PRECEDING) - INTERVAL 10 MINUTE AS edge FROM e GROUP BY b), "
+        "l AS (SELECT *, coalesce(w + INTERVAL 1 HOUR <= edge, false) AS gone FROM e JOIN x USING (b)) "
+        "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
+        "count(*) FILTER (NOT gone) AS n, count(*) FILTER (gone) AS late FROM l GROUP BY ALL"
+    ),
+    "stream_overview": (
+        "SELECT source, day, concat_ws(',', CASE WHEN grouping(source) = 0 THEN 'source' END, "
+        "CASE WHEN grouping(day) = 0 THEN 'day' END) AS level, sum(n)::BIGINT AS requests, "
+        "sum(hit)::BIGINT AS injections_blocked, sum(leak)::BIGINT AS dlp_events FROM ("
+        "SELECT source, strftime(DATE '2024-01-01' + (doc_id % 5)::INT, '%Y-%m-%d') AS day, 1 AS n, "
+        f"{HIT}::INT AS hit, {LEAK}::INT AS leak FROM ({DOCS})) GROUP BY CUBE (source, day)"
+    ),
+    "latency_sketched": (
+        "SELECT DISTINCT event_type, prob, true AS within FROM events, "
+        "(SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS prob) WHERE value IS NOT NULL"
+    ),
 }

@@ -17,7 +17,7 @@ from textguard.plans import flows, planted, sinks
 from textguard.session import new_path, spread, written
 from textguard.sources import rules, search, settings
 from textguard.sources.requests import split_valid_pairs
-from textguard.streaming import streams
+from textguard.streaming import live, streams
 
 CUSTOM_PATTERNS = (r"(?i)closing\s+line", r"the [a-z]+ing ")
 MEETING = ("[SECURITY SAN", "TRIGGERED]", " ATION", "ZATION TRIG", "SUDO")
@@ -503,6 +503,24 @@ def latency_percentiles_hot(spark, folder):
     return found.select("event_type", "prob", F.round("value", 6).alias("value"))
 
 
+def latency_sketched(spark, folder):
+    """Sketches by day and type, stored, merged by type; are the ranks of their percentiles within 2 %?"""
+    log = table(spark, folder, "events", "event_type", "value", "ts")
+    daily = log.withColumn("day", F.to_date("ts"))
+    stored = written(events.sketches(daily, "value", ["event_type", "day"]), "daily-sketches")
+    merged = events.merged(stored, ["event_type"])
+    found = events.sketched_percentiles(merged, [0.5, 0.95, 0.99], ["event_type"])
+    ranks = log.filter("value IS NOT NULL").join(
+        found.withColumnRenamed("value", "near"), "event_type"
+    )
+    ranks = ranks.groupBy("event_type", "prob").agg(
+        F.avg((F.col("value") < F.col("near")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("near")).cast("int")).alias("upto"),
+    )
+    within = (F.col("below") - 0.02 <= F.col("prob")) & (F.col("prob") <= F.col("upto") + 0.02)
+    return ranks.select("event_type", "prob", within.alias("within"))
+
+
 def _hour_text(frame):
     return frame.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -782,6 +800,66 @@ def stream_event_counts(spark, folder):
     return _hour_text(streams.current_counts(spark, path, ["event_type"]))
 
 
+def stream_counts_late(spark, folder):
+    """Counts and late rows of events that come in four batches, a seventh of them in the last."""
+    log = table(spark, folder, "events", "event_id", "ts", "event_type")
+    tenth = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    log = log.withColumn("b", F.when(F.col("event_id") % 7 == 0, 3).otherwise(tenth))
+    source, path = new_path(spark, "event-batches"), new_path(spark, "stream-sums")
+    sums = live.Sums(path, "ts", "1 hour", "10 minutes", ("event_type string",), {"n": F.count("*")})
+    progress = new_path(spark, "progress")
+    for b in range(4):  # the stream is stopped and goes on with each
+        log.filter(F.col("b") == b).write.mode("append").parquet(source)
+        stream = streams.read_files(spark, source, log.schema)
+        sums.start(stream, progress, available_now=True, tidy_every=2).awaitTermination()
+    late = sums.late_rows(spark, "event_id bigint, ts timestamp_ntz, event_type string")
+    lost = events.window_counts(late, "ts", ["event_type"]).withColumnRenamed("n", "late")
+    both = sums.current(spark).withColumn("late", F.lit(0)).unionByName(
+        lost.withColumns({"n": F.lit(0), "window_start": F.col("window_start").cast("timestamp")})
+    )
+    whole = both.groupBy("window_start", "event_type").agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("late").cast("bigint").alias("late")
+    )
+    return _hour_text(whole)
+
+
+def stream_parted(spark, folder):
+    """BLOCK and ALLOW rows in sinks of their own."""
+    paths = {action: new_path(spark, f"sink-{action}") for action in (fixed.BLOCK, fixed.ALLOW)}
+    query = live.part_by_action(
+        _stream_documents(spark, folder), "text", *paths.values(), new_path(spark, "progress"),
+        available_now=True,
+    )
+    query.awaitTermination()
+    sinks = [spark.read.parquet(p).withColumn("sink", F.lit(a)) for a, p in paths.items()]
+    return sinks[0].unionByName(sinks[1]).select("doc_id", "safe", "action", "sink")
+
+
+def stream_overview(spark, folder):
+    """The overview by source and day and all their levels, kept by a stream and a batch run again."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
+    measures = {
+        "requests": F.count("*"),
+        "injections_blocked": F.count_if(F.col("hit")),
+        "dlp_events": F.count_if(F.col("leak")),
+    }
+    sums = live.Sums(
+        new_path(spark, "overview"), "at", "1 day", "1 day", ("source string",), measures
+    )
+    rows = _stream(spark, folder, "documents", "doc_id").select("doc_id", "text", "source")
+    batch = documents(spark, folder, "source")
+    rows = rows.withColumn("text", planted.with_phrase("text", F.col("doc_id")))
+    rows, batch = (
+        r.select("source", day.cast("timestamp").alias("at"), inbound.hit("text").alias("hit"),
+                 egress.leaks("text").alias("leak"))
+        for r in (rows, batch)
+    )
+    sums.start(rows, new_path(spark, "progress"), available_now=True).awaitTermination()
+    sums.write(batch, 0)
+    daily = sums.current(spark).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    return live.levels(daily, ["source", "day"], list(measures))
+
+
 def stream_event_log(spark, folder):
     """Findings of a stream in the event log."""
     found = findings.findings(_stream_documents(spark, folder), "doc_id", "text")
@@ -826,5 +904,6 @@ QUERIES = {
         settings_unlisted_model, search_by_settings, requests_by_settings, pairs_by_settings,
         stream_event_log, stream_guarded, semantic_deadline, semantic_incremental, semantic_fitted,
         search_damaged, blocklist_phrases, catalogue_findings,
+        latency_sketched, stream_counts_late, stream_parted, stream_overview,
     )
 }
