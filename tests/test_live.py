@@ -126,8 +126,9 @@ def test_levels(spark):
 
 def test_only_a_missing_table_is_an_empty_one(spark, tmp_path):
     assert live.read_or_empty(spark, str(tmp_path / "none"), "a int").isEmpty()
+    spark.range(1).write.parquet(str(tmp_path / "some"))
     with pytest.raises(AnalysisException):
-        live.read_or_empty(spark, "nosuchscheme:bad path//", "a int").collect()
+        live.read_or_empty(spark, str(tmp_path / "some"), "a int, a int").collect()
 
 
 def test_two_sinks_and_a_batch_run_again(spark, tmp_path, monkeypatch):
