@@ -83,3 +83,19 @@ def test_whole_table_and_edges(spark):
     assert quality.judged(odd.limit(0), quality.Crf()).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(odd, none).viterbi(quality.line_features(["a"])) == [1]
+
+
+def test_repeated_ids_fit_the_same_model_in_any_order(spark):
+    rows = [
+        (i, f"good words number {n} of {i}\n[menu] [{n}] {'#' * (n + i)}") for i in range(40) for n in range(6)
+    ]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fits = [
+        quality.fit(spark.createDataFrame(some, "doc_id long, text string").repartition(parts), labels)
+        for some, parts in ((rows, 1), (rows[::-1] + rows, 7))
+    ]
+    lines = quality.line_features(["good words number 3", "[menu] [3] ####", ""])
+    assert all(np.array_equal(a, b) for a, b in zip(vars(fits[0]).values(), vars(fits[1]).values()))
+    assert fits[0].viterbi(lines) == fits[1].viterbi(lines)
+    many = spark.createDataFrame([(0, "a\n" * 40_000), (1, "b c\n" * quality.SAMPLE_LINES)], "doc_id long, text string")
+    assert quality.fit(many, labels).viterbi(lines) == [1, 1, 1]  # as with no documents at all

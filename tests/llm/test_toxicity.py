@@ -56,3 +56,14 @@ def test_held_out_rows_and_edges(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert 0 < toxicity.fit(docs, none).score("anything") <= 0.5
+
+
+def test_repeated_ids_fit_the_same_model_in_any_order(spark):
+    rows = [(i, f"{'idiot' if i % 2 else 'friend'} number {n} of {i}") for i in range(60) for n in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    fits = [
+        toxicity.fit(spark.createDataFrame(some, "doc_id long, text string").repartition(parts), labels)
+        for some, parts in ((rows, 1), (rows[::-1] + rows, 7))
+    ]
+    for text in ("idiot", "friend number 3", ""):
+        assert fits[0].score(text) == fits[1].score(text)

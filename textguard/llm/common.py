@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -79,6 +80,15 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
+def one_text_each(sampled: DataFrame, label: str) -> DataFrame:
+    """One row for each ``doc_id``: the text with the least hash, so reruns take the same.
+
+    Equal ids are brought down to one before the shuffle.
+    """
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return sampled.groupBy("doc_id", label).agg(least.alias("text"))
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

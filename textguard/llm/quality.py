@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.llm.common import Columns, append, texts
+from textguard.llm.common import Columns, append, one_text_each, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -22,7 +22,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Least share of words in content lines of a document that is kept.
 CONTENT_SHARE = 0.5
 #: Labelled documents the model is fitted on, and the longest of them in bytes.
-SAMPLE, SAMPLE_BYTES = 1500, 100_000
+SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 1500, 100_000, 5000
 
 FEATURES = (
     "one", "log_words", "no_words", "few_words", "symbols", "capitals", "marks", "distinct",
@@ -152,7 +152,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
-    """A model fitted on at most ``sample`` labelled documents of up to ``SAMPLE_BYTES`` bytes.
+    """A model fitted on at most ``sample`` labelled documents.
+
+    Those of over ``SAMPLE_BYTES`` bytes or ``SAMPLE_LINES`` lines teach nothing; of documents with
+    the same id the one whose text has the least hash does.
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``quality`` (0 or 1). The
     sample has the smallest hashes of doc_id, so it does not depend on how tables are stored.
@@ -167,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     )
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sampled = sampled.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
+    sampled = sampled.filter(F.length(F.regexp_replace("text", "[^\n]+", "")) < SAMPLE_LINES)
+    sampled = one_text_each(sampled, "quality")
 
     def make() -> Callable[[pa.RecordBatch], Columns]:
         return lambda batch: {
@@ -174,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
         }
 
     lines = append(sampled, make, [T.StructField("lines", T.ArrayType(T.DoubleType()))])
-    rows = lines.select("doc_id", "lines", "quality").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lines))
+    rows = lines.select("doc_id", "lines", "quality").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([(np.reshape(r.lines, (-1, len(FEATURES))), r.quality) for r in rows])
 
 

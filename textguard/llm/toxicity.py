@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.llm.common import Columns, append, texts
+from textguard.llm.common import Columns, append, one_text_each, texts
 
 #: Buckets of hashed words, words the model may use, labelled rows it is fitted on, the longest
 #: text among these in bytes.
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``toxic`` (0 or 1). The sample
     has the smallest hashes of doc_id. Words are hashed where the texts are; only buckets come to
-    the driver, those of texts of up to ``SAMPLE_BYTES`` bytes.
+    the driver, those of texts of up to ``SAMPLE_BYTES`` bytes. Of rows with the same id the one
+    whose text has the least hash is taken.
     """
     chosen = (
         labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
@@ -168,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sampled = sampled.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
+    sampled = one_text_each(sampled, "toxic")
     kind = T.ArrayType(T.IntegerType())
 
     def make() -> Callable[[pa.RecordBatch], Columns]:
@@ -183,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return columns
 
     made = append(sampled, make, [T.StructField("buckets", kind), T.StructField("swapped", kind)])
-    found = made.select("doc_id", "buckets", "swapped", "toxic").limit(4 * sample).toArrow()
+    found = made.select("doc_id", "buckets", "swapped", "toxic").toArrow()
     return train(_rows(found))
 
 
@@ -192,7 +194,7 @@ def _rows(found: pa.Table) -> list[tuple]:
     found = found.combine_chunks()
     ids, labels = found["doc_id"].to_pylist(), found["toxic"].to_pylist()
     plain, other = ([v.values.to_numpy() if v.is_valid else None for v in found[c]] for c in ("buckets", "swapped"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], plain[i].tobytes()))
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
     return [(plain[i], other[i], labels[i]) for i in order]
 
 
