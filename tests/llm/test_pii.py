@@ -56,7 +56,7 @@ def test_formats():
     assert made != iban and made[:2] == "DE" and pii._mod97(made[4:] + made[:4]) == 1
     assert pii.surrogate(KEY, "given_f_latin", "vera")[-1] in "ae"
     assert "а" <= pii.surrogate(KEY, "surname_cyrillic", "петров")[0] <= "я"
-    assert pii.replaced("Mr STONE, Mrs. Vera Stone", KEY, {})[1] == 2
+    assert pii.replaced("Mr STONE, Mrs. Vera Stone", KEY, {})[1] == 3
     assert re.fullmatch(r"call \(\d{3}\) \d{3}-\d{4}\.", pii.replaced("call (212) 555-0100.", KEY, {})[0])
 
 
@@ -118,6 +118,105 @@ def test_more_names_than_short_ones(spark):
     assert max(drawn.values()) < 12
 
 
+def test_kinds_that_are_full(spark):
+    """Every entity gets a surrogate of its own, also where all or most forms are known."""
+    full = [f"national:02{i:02d}" for i in range(100)]
+    most = [f"ssn:{i}" for i in range(10, 85)] + [f"phone:1{i}" for i in range(10)]
+    blocks = [f"ip:169.254.{i}.{j}" for i in range(256) for j in range(0, 256, 3)]
+    known = full + most + blocks
+    rows = pii.redrawn(spark.createDataFrame([(e,) for e in known], "entity string"), KEY).collect()
+    drawn = {r.entity: r.made or r.draw for r in rows}
+    made = {}
+    for e in known:
+        kind, _, form = e.partition(":")
+        own = drawn.get(e, 0)
+        made[e] = f"{kind}:{own if isinstance(own, str) else pii.surrogate(KEY, kind, form, own)}"
+    assert len(set(made.values())) == len(known)
+    assert {made[e] for e in full} == set(full)
+    assert all(made[e].startswith("ip:169.254.") for e in blocks)
+    walked = {e for e in blocks if isinstance(drawn.get(e), str)}
+    assert len(walked) < len(blocks) / 50 and not {made[e] for e in blocks if e not in walked} & set(blocks)
+    assert len(rows) == len({r.entity for r in rows})
+
+
+def test_columns_of_any_name(spark, monkeypatch):
+    rows = [(i, f"Mr Stone{chr(97 + i)} of 10.0.0.{i}", "x", "y", i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text string, __DRAWS string, made int")
+    monkeypatch.setattr(pii, "BROADCAST", -1)
+    out = pii.pseudonymised(docs, KEY)
+    assert out.columns == [*docs.columns, "n_entities"]
+    got = out.orderBy("doc_id").collect()
+    assert [(r["__text"], r["__DRAWS"], r.made, r.n_entities) for r in got] == [("x", "y", i, 2) for i in range(9)]
+    monkeypatch.setattr(pii, "BROADCAST", 10**6)
+    assert pii.pseudonymised(docs, KEY).orderBy("doc_id").collect() == got
+
+
+def test_no_mention_of_a_found_name_stays():
+    rng = random.Random(4)
+    given, family = ["John", "Priya", "Wei", "Анна"], ["Smith", "Sharma", "McDonald", "O'Brien", "Петрова"]
+    forms = ["{g} {f}", "Mr {f}", "{G} {F}", "Dr. {g} {f}", "MRS {F}"]
+    for _ in range(300):
+        people = [(rng.choice(given), rng.choice(family)) for _ in range(rng.randint(1, 3))]
+        words = []
+        for g, f in people:
+            words.append(rng.choice(forms).format(g=g, f=f, G=g.upper(), F=f.upper()))
+            words += rng.choices([f, f"{f}'s", f.upper(), "The house", "then", "Later", "it was"], k=4)
+        text = ", ".join(rng.sample(words, len(words)))
+        new, n = pii.replaced(text, KEY, {})
+        # By brute force: each word of the text beside each part of each name that was found.
+        parts = {e.form for e in pii.detect(text)}
+        assert parts >= {f.lower() for _, f in people}
+        left = [w for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]{2,})?", new) if w.lower() in parts]
+        assert not left, (text, new)
+        for word in ("The house", "then", "Later", "it was"):
+            assert new.count(word) == text.count(word)
+        assert n >= 2 * len(people) - len(people)
+
+
+def test_mentions_need_more_than_a_capital():
+    text = "Mr Will will go. Will went, and Mark too. Mark my words, said Mark Hill."
+    assert [e.form for e in pii.detect(text)] == ["will", "mark", "mark", "mark", "hill"]
+    assert pii.detect("MARY HAD A LITTLE LAMB; MISS UNIVERSE; GEORGE STREET IS CLOSED") == []
+
+
+def test_addresses_keep_their_kind():
+    import ipaddress
+
+    rng = random.Random(5)
+    blocks = ["10.0.0.0/8", "127.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fd00::/8", "fe80::/64", "2001:db8::/32", "2a00::/12"]
+    for block in map(ipaddress.ip_network, blocks):
+        olds = {str(block[rng.randrange(block.num_addresses)]) for _ in range(40)}
+        text = " and ".join(sorted(olds))
+        assert len(pii.detect(text)) == len(olds)
+        news = pii.replaced(text, KEY, {})[0].split(" and ")
+        assert len(set(news)) == len(olds)
+        around = block if str(block) != "2a00::/12" else ipaddress.ip_network("2000::/3")
+        assert all(ipaddress.ip_address(n) in around for n in news) and news != sorted(olds)
+    for _ in range(300):
+        made = ipaddress.ip_address(pii.surrogate(KEY, "ip", f"{rng.choice([8, 81, 140, 203])}.{rng.randrange(256)}.4.5"))
+        assert made.is_global or not (made.is_loopback or made.is_multicast or made.is_link_local)
+        assert not any(made in b for b in pii._BLOCKS if b.version == 4)
+    assert pii.detect("std::map a::b ::1 :: 12:30:45 00:1a:2b:3c:4d:5e dead::beef 1:2:3") == []
+
+
+def test_phones_and_streets():
+    cases = {
+        "020 7946 0958": ("national", r"02\d \d{4} \d{4}"),
+        "(030) 1234567": ("national", r"\(03\d\) \d{7}"),
+        "01 23 45 67 89": ("national", r"01( \d\d){4}"),
+        "0171 2345678": ("national", r"01\d\d \d{7}"),
+        "12 Main Street": ("street", r"\d\d [A-Z][a-z]+ Street"),
+        "221 O'Neill Park Rd": ("street", r"\d{3} [A-Z][a-z]+ [A-Z][a-z]+ Rd"),
+    }
+    for surface, (kind, shape) in cases.items():
+        text = f"it is {surface}, now"
+        assert [e.kind for e in pii.detect(text)] == [kind], surface
+        new = pii.replaced(text, KEY, {})[0]
+        assert re.fullmatch(f"it is {shape}, now", new) and surface not in new, new
+    for text in ("in 1999 Wall Street", "01/02/2003", "2003-01-02", "0.12 34 56", "02 04 06 08 10 12", "007 1234", "5 roads"):
+        assert pii.detect(text) == [], text
+
+
 def test_every_script(spark):
     arabic = lambda text: text.translate({48 + i: 0x660 + i for i in range(10)})
     persian = lambda text: text.translate({48 + i: 0x6F0 + i for i in range(10)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable
@@ -25,6 +26,10 @@ DRAWS = 64
 LONGER = 16
 #: Draws in which an email keeps its length; from then on it grows as names do.
 SAME = 3
+#: Draws after which an entity of a kind of fixed size takes a free surrogate by walking.
+WALK = 6
+#: Kinds whose first surrogates are a permutation of all their forms.
+_PERMUTED = ("card", "ip", "ip6", "national", "phone", "secret", "ssn")
 
 #: Titles that tell a name, by gender (f, m, or x for either).
 TITLES = {
@@ -36,13 +41,17 @@ TITLES = {
 GIVEN = {
     "f": "Alice Barbara Carol Claudia Diana Elizabeth Emily Emma Françoise Gabriele Helen Isabel Jennifer Jessica "
     "Julia Karen Katharina Laura Linda Lucía Margaret Maria Mary Michelle Monika Nancy Olivia Patricia Petra Rachel "
-    "Rebecca Sabine Sandra Sarah Sophie Susan Ursula Victoria Анна Елена Мария Наталья Ольга Татьяна",
+    "Rebecca Sabine Sandra Sarah Sophie Susan Ursula Victoria Aisha Ananya Carmen Chiara Elif Fatima Giulia Ingrid Mei "
+    "Priya Yuki Zeynep Анна Елена Мария Наталья Ольга Татьяна",
     "m": "Alexander Andrew Anthony Benjamin Carlos Charles Christopher Daniel David Edward Frank George Henry Jack "
     "James John Joseph Jürgen Kevin Klaus Luis Mark Matthew Michael Miguel Oliver Patrick Paul Peter Philippe Richard "
-    "Robert Samuel Stephen Thomas Walter William Wolfgang Алексей Андрей Дмитрий Иван Михаил Сергей",
+    "Robert Samuel Stephen Thomas Walter William Wolfgang Ahmed Arjun Erik Giovanni Hassan Hiroshi Jorge José Juan "
+    "Kenji Lars Marco Mehmet Mohammed Muhammad Mustafa Omar Pedro Piotr Rahul Sven Wei Алексей Андрей Дмитрий Иван Михаил Сергей",
 }
 _GENDER = {name.lower(): g for g, names in GIVEN.items() for name in names.split()}
 _TITLED = {title.lower(): g for g, titles in TITLES.items() for title in titles.split()}
+#: Titles that also tell a name where they are written in capitals.
+_CAPITAL_TITLES = "DR MR MRS PROF Г-Н Г-ЖА".split()
 
 
 def _letters(category: str) -> str:
@@ -55,15 +64,30 @@ _UPPER, _LOWER = _letters("Lu"), _letters("Ll")
 #: A part of a name, as in McDonald or O'Brien, and parts joined by hyphens or apostrophes.
 _NAME_PART = rf"(?:[{_UPPER}]['’])?(?:[{_UPPER}][{_LOWER}]+)+"
 _NAME = rf"{_NAME_PART}(?:[-'’]{_NAME_PART})*"
+#: A name in capitals only; two letters are rather an abbreviation.
+_CAPITALS = rf"(?:[{_UPPER}]['’])?[{_UPPER}]{{3,}}(?:[-'’][{_UPPER}]{{2,}})*"
+
+
+def _any(words: list[str]) -> str:
+    """A pattern of any of the words, the longest first."""
+    return "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+
+
+_TITLE_WORDS, _GIVEN_WORDS = " ".join(TITLES.values()).split() + _CAPITAL_TITLES, " ".join(GIVEN.values()).split()
+_CAPITAL_GIVEN = [name.upper() for name in _GIVEN_WORDS]
 _PERSON = re.compile(
-    rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, ' '.join(TITLES.values()).split()), key=len, reverse=True))})\.?[ \t]+"
-    rf"(?P<first>{_NAME})(?:[ \t]+(?P<last>{_NAME}))?"
-    rf"|(?P<given>{'|'.join(sorted(' '.join(GIVEN.values()).split(), key=len, reverse=True))})[ \t]+(?P<family>{_NAME}))(?!\w)"
+    rf"(?<!\w)(?:(?P<title>{_any(_TITLE_WORDS)})\.?[ \t]+"
+    rf"(?P<first>{_NAME}(?!\w)|{_CAPITALS})(?:[ \t]+(?P<last>{_NAME}(?!\w)|{_CAPITALS}(?!\w)))?"
+    rf"|(?P<given>{_any(_GIVEN_WORDS)})[ \t]+(?P<family>{_NAME}(?!\w)|{_CAPITALS})"
+    # In a line of capitals the next word need not be a name: the pair has to end the run.
+    rf"|(?P<loud_given>{_any(_CAPITAL_GIVEN)})[ \t]+(?P<loud_family>{_CAPITALS})(?!\w|[ \t]+(?!(?:AND|ET|OR|UND|Y)\b)[{_UPPER}]+(?!\w))"
+    rf")(?!\w)"
 )
 #: A text without any of these words names nobody.
-_TELLING = re.compile(
-    rf"(?:{'|'.join(sorted(map(re.escape, ' '.join([*TITLES.values(), *GIVEN.values()]).split()), key=len, reverse=True))})(?!\w)"
-)
+_TELLING = re.compile(rf"(?:{_any(_TITLE_WORDS + _GIVEN_WORDS + _CAPITAL_GIVEN)})(?!\w)")
+#: Words that may be a later mention of a name, and words in small letters.
+_MENTION = re.compile(rf"(?<!\w)(?:{_NAME}|{_CAPITALS})(?!\w)")
+_SMALL = re.compile(rf"(?<!\w)[{_LOWER}]+(?:['’-][{_LOWER}]+)*(?!\w)")
 _GAP = r"[\s!*#$%&|.()/-]{0,6}"
 #: Patterns by kind, the surest first; a later one takes nothing of an earlier one's match.
 _PATTERNS = (
@@ -72,6 +96,7 @@ _PATTERNS = (
     ("secret", "", re.compile(r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")),
     ("phone", "+", re.compile(rf"\+1(?:{_GAP}\d){{10}}(?!\d)|\+[2-9]\d{{0,2}}(?:[ ().-]{{0,2}}\d){{7,12}}(?!\d)")),
     ("ip", ".", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
+    ("ip6", ":", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|(?::?[0-9A-Fa-f]{1,4}){1,7})(?![\w:]|\.\d)")),
     (
         "card",
         "",
@@ -81,6 +106,23 @@ _PATTERNS = (
     ),
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", "", re.compile(r"(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\w)")),
+    # With the zero that is dialled inside a country.
+    (
+        "national",
+        "0",
+        re.compile(
+            r"(?<![\w+.,/-])(?:\(0\d{2,4}\) ?|0\d{2,4}[ -])(?:\d{3,4}[ -]\d{4}|\d{6,8})(?![\w/]|[.,-]\d)"
+            r"|(?<![\w+.,/-])0[1-9](?:([ .])\d{2})(?:\1\d{2}){3}(?![\w/]|[ .,-]\d)"
+        ),
+    ),
+    (
+        "street",
+        "",
+        re.compile(
+            rf"(?<![\w.,/-])(?!(?:19|20)\d\d )\d{{1,5}} {_NAME}(?: {_NAME})?"
+            r"(?= (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Terrace|Crescent)(?!\w))"
+        ),
+    ),
 )
 _DIGIT = re.compile(r"\d")
 
@@ -109,21 +151,46 @@ def detect(text: str) -> list[Entity]:
                 rest = f"{rest[: e.start]}{chr(0) * (e.end - e.start)}{rest[e.end :]}"
             found += new
     if _TELLING.search(rest):
-        for m in _PERSON.finditer(rest):
-            if m["given"]:
-                gender = _GENDER[m["given"].lower()]
-                parts = [("given", gender), ("family", "")]
-            else:
-                gender = _TITLED[m["title"].lower()]
-                first = _GENDER.get(m["first"].lower())
-                gender = first or gender if gender == "x" else gender
-                parts = [("first", gender), ("last", "")] if m["last"] else [("first", "")]
-            for group, sex in parts:
-                kind = f"given_{sex}" if sex else "surname"
-                found.append(Entity(*m.span(group), f"{kind}_{_script(m[group])}", m[group].lower().replace("’", "'")))
+        found += _people(rest)
     return sorted(found, key=lambda e: e.start)
 
 
+def _people(text: str) -> list[Entity]:
+    """Names behind titles and given names, then all other mentions of their parts in the text.
+
+    A part is looked for wherever it stands with a capital letter or in capitals, unless the
+    text also has it in small letters, as a word that is no name; known given names are names.
+    """
+    found: list[Entity] = []
+    for m in _PERSON.finditer(text):
+        given = "given" if m["given"] else "loud_given" if m["loud_given"] else ""
+        if given:
+            parts = [(given, _GENDER[m[given].lower()]), (given.replace("given", "family"), "")]
+        else:
+            gender = _TITLED[m["title"].lower()]
+            first = _GENDER.get(m["first"].lower())
+            gender = first or gender if gender == "x" else gender
+            parts = [("first", gender), ("last", "")] if m["last"] else [("first", "")]
+        for group, sex in parts:
+            kind = f"given_{sex}" if sex else "surname"
+            found.append(Entity(*m.span(group), f"{kind}_{_script(m[group])}", _name_form(m[group])))
+    if not found:
+        return found
+    kinds: dict[str, str] = {}
+    for e in found:
+        kinds.setdefault(e.form, e.kind)
+    taken = {e.start for e in found}
+    later = [m for m in _MENTION.finditer(text) if m.start() not in taken and _name_form(m[0]) in kinds]
+    if later:
+        words = {m[0].replace("’", "'") for m in _SMALL.finditer(text)} - _GENDER.keys()
+        found += [Entity(*m.span(), kinds[form], form) for m in later if (form := _name_form(m[0])) not in words]
+    return found
+
+
+def _name_form(surface: str) -> str:
+    return surface.lower().replace("’", "'")
+
+
 def _form(kind: str, surface: str) -> str:
     """What is the same in all spellings of an entity; empty if it is none."""
     if kind in ("email", "secret"):
@@ -131,6 +198,14 @@ def _form(kind: str, surface: str) -> str:
     if kind == "ip":
         octets = [int(o) for o in surface.split(".")]
         return ".".join(map(str, octets)) if max(octets) < 256 else ""
+    if kind == "ip6":
+        try:
+            address = ipaddress.IPv6Address(surface)
+        except ValueError:
+            return ""
+        return address.compressed if _block(address) else ""
+    if kind == "street":
+        return _name_form(_ascii(surface))
     if kind == "iban":
         form = _ascii(surface.replace(" ", ""))
         return form if _mod97(form[4:] + form[:4]) == 1 else ""
@@ -140,6 +215,19 @@ def _form(kind: str, surface: str) -> str:
     return digits
 
 
+#: Blocks of addresses that serve one purpose; a surrogate stays in its block.
+_BLOCKS = [
+    ipaddress.ip_network(block)
+    for block in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4 "
+    "2001:db8::/32 2000::/3 fc00::/8 fd00::/8 fe80::/64".split()
+]
+
+
+def _block(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
+    """The first listed block that holds the address; IPv6 addresses outside all are no entity."""
+    return next((b for b in _BLOCKS if b.version == address.version and address in b), None)
+
+
 def _ascii(text: str) -> str:
     """The text with the decimal digits of every script as 0 to 9."""
     return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
@@ -259,9 +347,14 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
         return f"{_plain(key, f'{tweak}|{domain}', local)}{grown}@{host}"
     if kind == "secret":
         return _rewritten(key, tweak, form, ["0123456789abcdef"] * len(form))
-    if kind == "ip":
-        value = int.from_bytes(bytes(map(int, form.split("."))), "big")
-        return ".".join(map(str, permuted(key, tweak, value, 1 << 32).to_bytes(4, "big")))
+    if kind in ("ip", "ip6"):
+        return _address(key, tweak, ipaddress.ip_address(form)).compressed
+    if kind == "national":
+        return form[:2] + _plain(key, tweak, form[2:])
+    if kind == "street":
+        number, _, street = form.partition(" ")
+        words = [_made_up(key, f"{tweak}|{i}|{number}", word, "latin", 2 + min(draw, LONGER)) for i, word in enumerate(street.split())]
+        return " ".join([_plain(key, f"{tweak}|{street}", number), *words])
     if kind == "iban":
         upper = ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in form[4:]]
         body = _rewritten(key, tweak, form[4:], upper)
@@ -276,20 +369,48 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
     if kind == "ssn":
         return _plain(key, tweak, form)
     base, _, script = kind.rpartition("_")
-    parts, ends = _PARTS[script], _ENDS[script][base.removeprefix("given").removeprefix("_") if base != "surname" else ""].split()
+    # Each draw has names one part longer, so that however many are taken some are free.
+    count = (2 if base.startswith("given") else 3) + min(draw, LONGER)
+    return _made_up(key, tweak, form, script, count, base.removeprefix("given").removeprefix("_") if base != "surname" else "")
+
+
+def _made_up(key: bytes, tweak: str, form: str, script: str, count: int, gender: str = "") -> str:
+    """A name of so many parts and an ending."""
+    parts, ends = _PARTS[script], _ENDS[script][gender].split()
     seed = _round(key, tweak, 0, int.from_bytes(hashlib.sha256(form.encode()).digest(), "big"))
     made = []
-    # Each draw has names one part longer, so that however many are taken some are free.
-    for _ in range((2 if base.startswith("given") else 3) + min(draw, LONGER)):
+    for _ in range(count):
         seed, at = divmod(seed, len(parts))
         made.append(parts[at])
     return "".join(made) + ends[seed % len(ends)]
 
 
+def _address(
+    key: bytes, tweak: str, address: ipaddress.IPv4Address | ipaddress.IPv6Address
+) -> ipaddress.IPv4Address | ipaddress.IPv6Address:
+    """The address moved inside its block, or among those outside all blocks."""
+    block = _block(address)
+    # An inner block (the documentation prefix) is no target of the block around it.
+    base, size = (int(block[0]), block.num_addresses) if block else (0, 1 << 32)
+    tweak, value = f"{tweak}|{block}", int(address) - base
+    while True:
+        value = permuted(key, tweak, value, size)
+        moved = type(address)(base + value)
+        if _block(moved) == block:
+            return moved
+
+
 def written_as(kind: str, surface: str, made: str) -> str:
     """A surrogate in the spelling of the mention: its case, separators and grouping."""
     if kind in ("email", "secret"):
         return made.upper() if surface.isupper() else made
+    if kind == "ip6":
+        made = ipaddress.IPv6Address(made).exploded if len(surface) == 39 else made
+        return made.upper() if surface.isupper() else made
+    if kind == "street":
+        # The number may be in other digits; words start with a capital.
+        number, _, street = made.partition(" ")
+        return " ".join(["".join(_digit_as(d, surface[0]) for d in number), *(w[:1].upper() + w[1:] for w in street.split())])
     if kind == "ip":
         return made if surface.isascii() else "".join(_digit_as(c, surface[0]) for c in made)
     if "_" in kind:
@@ -310,14 +431,18 @@ def _remembered(key: bytes, kind: str, form: str, draw: int) -> str:
     return surrogate(key, kind, form, draw)
 
 
-def replaced(text: str, key: bytes, draws: dict[str, int]) -> tuple[str, int]:
-    """The text with surrogates for its entities, and how many mentions it has."""
+def replaced(text: str, key: bytes, draws: dict[str, int | str]) -> tuple[str, int]:
+    """The text with surrogates for its entities, and how many mentions it has.
+
+    ``draws`` has a draw, or a surrogate itself, for entities that do not have the first one.
+    """
     entities = detect(text)
     if not entities:
         return text, 0
     out, at = [], 0
     for e in entities:
-        made = _remembered(key, e.kind, e.form, draws.get(f"{e.kind}:{e.form}", 0))
+        drawn = draws.get(f"{e.kind}:{e.form}", 0)
+        made = drawn if isinstance(drawn, str) else _remembered(key, e.kind, e.form, drawn)
         out += [text[at : e.start], written_as(e.kind, text[e.start : e.end], made)]
         at = e.end
     return "".join([*out, text[at:]]), len(entities)
@@ -340,51 +465,84 @@ def entities(frame: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redrawn(known: DataFrame, key: bytes) -> DataFrame:
-    """``entity`` and ``draw`` of the entities that cannot have their first surrogate.
+    """``entity``, ``draw`` and ``made`` of the entities that cannot have their first surrogate.
 
     ``known`` has each entity once in ``entity`` and is a table. A surrogate may be neither an
     entity of the corpus nor another entity's surrogate; of those that meet in one, an entity
-    settled earlier keeps it, else the first by name. The others draw again until none is left.
-    All checks are joins on the surrogate; nothing is collected.
+    settled earlier keeps it, else the first by name. The others draw again. Names, emails and
+    streets grow with the draws, so that a free one exists. Kinds of fixed size can be full of
+    known entities: from draw ``WALK`` on their open entities take a surrogate that no other has,
+    though the corpus may know it, and ``made`` names it (it is null for drawn ones).
+    All checks are joins on the surrogate; nothing is collected. Only kinds that do not grow and
+    are not permuted (bank numbers) could run out; that is an error after ``DRAWS`` draws.
     """
     spark = known.sparkSession
-    kinds = [T.StructField("made", T.StringType())]
     settled, open_, draw = None, known, 0
     while not open_.isEmpty():
         if draw == DRAWS:
             raise RuntimeError(f"no free surrogate in {DRAWS} draws")
-
-        def make(draw: int = draw) -> Callable[[pa.RecordBatch], Columns]:
-            def columns(batch: pa.RecordBatch) -> Columns:
-                parts = [e.partition(":") for e in batch.column(batch.schema.get_field_index("entity")).to_pylist()]
-                return {"made": pa.array([f"{k}:{surrogate(key, k, f, draw)}" for k, _, f in parts], pa.string())}
-
-            return columns
-
         place = F.row_number().over(Window.partitionBy("made").orderBy("entity"))
-        tried = append(open_.select("entity"), make, kinds).withColumn("place", place)
+        tried = _drawn(open_.select("entity"), "entity", key, draw).withColumn("place", place)
         tried = tried.join(known.select(F.col("entity").alias("made"), F.lit(True).alias("real")), "made", "left")
         if settled is not None:
             tried = tried.join(settled.select("made", F.lit(True).alias("had")), "made", "left")
         else:
             tried = tried.withColumn("had", F.lit(None).cast("boolean"))
-        tried = written(tried.withColumn("draw", F.lit(draw)), "surrogates")
+        tried = written(tried, "surrogates")
         good = (F.col("place") == 1) & F.col("real").isNull() & F.col("had").isNull()
-        fine = tried.filter(good).select("entity", "made", "draw")
+        fine = tried.filter(good).select("entity", "made", F.lit(draw).alias("draw"), F.lit(False).alias("walked"))
         settled = fine if settled is None else settled.unionByName(fine)
         open_, draw = tried.filter(~good).select("entity"), draw + 1
+        if draw == WALK:
+            permuted_kind = F.substring_index("entity", ":", 1).isin(*_PERMUTED)
+            settled = settled.unionByName(_walked(open_.filter(permuted_kind), settled, key))
+            open_ = open_.filter(~permuted_kind)
     if settled is None:
-        return spark.createDataFrame([], "entity string, draw int")
-    return settled.filter("draw > 0").select("entity", "draw")
+        return spark.createDataFrame([], "entity string, draw int, made string")
+    made = F.when(F.col("walked"), F.expr("substring(made, locate(':', made) + 1)"))
+    return settled.filter("draw > 0 or walked").select("entity", "draw", made.alias("made"))
+
+
+def _drawn(frame: DataFrame, entity: str, key: bytes, draw: int) -> DataFrame:
+    """The frame with the surrogate of an entity at a draw in ``made``, with its kind."""
+
+    def make() -> Callable[[pa.RecordBatch], Columns]:
+        def columns(batch: pa.RecordBatch) -> Columns:
+            parts = [e.partition(":") for e in batch.column(batch.schema.get_field_index(entity)).to_pylist()]
+            return {"made": pa.array([f"{k}:{surrogate(key, k, f, draw)}" for k, _, f in parts], pa.string())}
+
+        return columns
+
+    return append(frame, make, [T.StructField("made", T.StringType())])
+
+
+def _walked(open_: DataFrame, settled: DataFrame, key: bytes) -> DataFrame:
+    """Surrogates of entities of permuted kinds, different from all settled ones and each other.
+
+    An entity tries its first surrogate; where that is taken, it goes on with the first surrogate
+    of the entity that has it. First surrogates are a permutation and settled ones are different,
+    so no two walks meet and each ends. At most half of a kind's forms are settled, as these
+    are no known entities, so the walks still open halve with every step.
+    """
+    owners = settled.select("made", F.col("entity").alias("owner"))
+    at, done = open_.select("entity", F.col("entity").alias("at")), None
+    while done is None or not at.isEmpty():
+        step = written(_drawn(at, "at", key, 0).join(owners, "made", "left"), "walks")
+        free = step.filter("owner is null").select("entity", "made", F.lit(0).alias("draw"), F.lit(True).alias("walked"))
+        done = free if done is None else done.unionByName(free)
+        at = step.filter("owner is not null").select("entity", F.col("owner").alias("at"))
+    return done
 
 
 def pseudonymised(frame: DataFrame, key: bytes, text: str = "text", count: str = "n_entities") -> DataFrame:
     """The frame with surrogates in its text, and the number of mentions in ``count``.
 
-    Emails, phone, card, bank and social security numbers, addresses of machines, long hex
-    secrets and names of people are found by pattern. The same entity gets the same surrogate
-    everywhere, whatever its spelling, and different ones stay different. Names keep gender and
-    script, numbers their grouping and check digits. Without the key surrogates tell nothing.
+    Emails, phone, card, bank and social security numbers, addresses of machines and streets,
+    long hex secrets and names of people are found by pattern. Names are found behind titles and
+    listed given names; once found, all mentions of their parts in the text are. The same entity
+    gets the same surrogate everywhere, whatever its spelling, and different ones stay different.
+    Names keep gender and script, numbers their grouping and check digits, addresses of machines
+    their block. Without the key surrogates tell nothing.
     A null text stays null with 0 mentions, text outside mentions stays as it is, repeated rows
     give repeated results; a column named as ``count`` is replaced. The frame is read twice.
     """
@@ -392,23 +550,36 @@ def pseudonymised(frame: DataFrame, key: bytes, text: str = "text", count: str =
     exceptions = written(redrawn(written(found, "entities"), key), "redrawn")
     fields = [T.StructField(text, T.StringType()), T.StructField(count, T.LongType())]
     if exceptions.limit(BROADCAST + 1).count() <= BROADCAST:
-        draws = frame.sparkSession.sparkContext.broadcast({r.entity: r.draw for r in exceptions.collect()})
-        return append(frame, lambda: _replacer(key, text, count, draws.value), fields)
+        draws = {r.entity: r.made or r.draw for r in exceptions.collect()}
+        shared = frame.sparkSession.sparkContext.broadcast(draws)
+        return append(frame, lambda: _replacer(key, text, count, shared.value), fields)
     # Too many for every worker: each text gets the draws of its own entities.
-    marked = frame.withColumn("__text", F.sha2(F.col(text), 256))
-    own = entities(marked.select("__text", text).dropDuplicates(["__text"]), text)
-    own = own.select("__text", F.explode("found").alias("entity")).join(exceptions, "entity")
-    own = own.groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("__draws"))
-    joined = marked.join(own, "__text", "left")
-    return append(joined, lambda: _replacer(key, text, count, None), fields).drop("__text", "__draws")
-
-
-def _replacer(key: bytes, text: str, count: str, draws: dict[str, int] | None) -> Callable[[pa.RecordBatch], Columns]:
+    hashed, own = _unused(frame, "__text"), _unused(frame, "__draws")
+    marked = frame.withColumn(hashed, F.sha2(F.col(text), 256))
+    found = entities(marked.select(hashed, text).dropDuplicates([hashed]), text)
+    found = found.select(hashed, F.explode("found").alias("entity")).join(exceptions, "entity")
+    drawn = F.struct("entity", F.struct("draw", "made").alias("drawn"))
+    found = found.groupBy(hashed).agg(F.map_from_entries(F.collect_list(drawn)).alias(own))
+    joined = marked.join(found, hashed, "left")
+    return append(joined, lambda: _replacer(key, text, count, None, own), fields).drop(hashed, own)
+
+
+def _unused(frame: DataFrame, name: str) -> str:
+    """The name, made longer until the frame has no column of it in any letter case."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _replacer(
+    key: bytes, text: str, count: str, draws: dict[str, int | str] | None, own_draws: str = ""
+) -> Callable[[pa.RecordBatch], Columns]:
     def columns(batch: pa.RecordBatch) -> Columns:
         values = batch.column(batch.schema.get_field_index(text)).to_pylist()
         if draws is None:
-            rows = batch.column(batch.schema.get_field_index("__draws")).to_pylist()
-            own = [dict(r or []) for r in rows]
+            rows = batch.column(batch.schema.get_field_index(own_draws)).to_pylist()
+            own = [{entity: drawn["made"] or drawn["draw"] for entity, drawn in r or []} for r in rows]
         else:
             own = [draws] * len(values)
         made = [(None, 0) if v is None else replaced(v, key, d) for v, d in zip(values, own, strict=True)]
