@@ -112,7 +112,7 @@ _PATTERNS = (
         "0",
         re.compile(
             r"(?<![\w+.,/-])(?:\(0\d{2,4}\) ?|0\d{2,4}[ -])(?:\d{3,4}[ -]\d{4}|\d{6,8})(?![\w/]|[.,-]\d)"
-            r"|(?<![\w+.,/-])0[1-9](?:([ .])\d{2})(?:\1\d{2}){3}(?![\w/]|[ .,-]\d)"
+            r"|(?<![\w+.,/-])(?<!\d )0[1-9](?:([ .])\d{2})(?:\1\d{2}){3}(?![\w/]|[ .,-]\d)"
         ),
     ),
     (
