@@ -65,6 +65,34 @@ def test_training_tells_lines_apart():
     assert quality.train([(x, 1) for x, _ in documents]).viterbi(documents[0][0]) == [1] * len(documents[0][0])
 
 
+def test_lines_of_mixed_texts(spark):
+    """Texts glued from held-out documents of both labels are told apart line by line."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality IN (0, 1)")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id").orderBy("doc_id").collect()
+    known = [(quality.line_features((r.text or "").split("\n")), r.quality) for r in rows]
+    model = quality.train(known[::2])
+    some = [[x for x, label in known[1::2] if label == which and 3 <= len(x) < 60] for which in (0, 1)]
+    assert min(map(len, some)) > 10
+    rng, right, one = random.Random(3), [], 0
+    for i in range(200):
+        order = [(0, 1), (1, 0), (1, 0, 1)][i % 3]
+        parts = [(rng.choice(some[label]), label) for label in order]
+        truth = np.concatenate([np.full(len(x), label) for x, label in parts])
+        found = np.array(model.viterbi(np.concatenate([x for x, _ in parts])))
+        right.append((found == truth).mean())
+        one += len(set(found)) == 1
+    assert np.mean(right) > 0.93 and one < 20
+
+
+def test_glued_chains():
+    rows = lambda n, v: np.full((n, len(quality.FEATURES)), float(v))
+    chains = quality.glued([(rows(3, 1), 0), (rows(50, 2), 1), (rows(2, 3), 1), (rows(0, 9), 1)])
+    assert [y.tolist() for _, y in chains] == [[1] * 21 + [0] * 3 + [1] * 2, [0] * 3 + [1] * 21 + [0] * 3]
+    assert all(len(x) == len(y) <= quality.CHAIN for x, y in chains)
+    assert quality.glued([(rows(3, 1), 0)]) == [] == quality.glued([(rows(0, 1), 0), (rows(3, 1), 1)])
+
+
 def test_whole_table_and_edges(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -80,6 +108,9 @@ def test_whole_table_and_edges(spark):
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "word " * 70_000, "x")], "doc_id long, text string, KEPT string")
     assert quality.judged(odd, quality.Crf()).filter("kept").count() == 0
     assert quality.keep(odd, quality.Crf()).columns == ["doc_id", "text", "KEPT"]
+    text = " ".join(map(str, range(30)))
+    clash = spark.createDataFrame([("b", text, 7, "a"), ("b", text, 7, "a")], "__1 string, text string, __0 int, n_words string")
+    assert [tuple(r) for r in quality.keep(clash, quality.Crf()).collect()] == [("b", text, 7, "a")] * 2
     assert quality.judged(odd.limit(0), quality.Crf()).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(odd, none).viterbi(quality.line_features(["a"])) == [1]

@@ -23,6 +23,8 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 CONTENT_SHARE = 0.5
 #: Labelled documents the model is fitted on, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 1500, 100_000, 5000
+#: Lines of a chain that is trained on, and of each of the three parts of a glued one.
+CHAIN, GLUED = 64, 21
 
 FEATURES = (
     "one", "log_words", "no_words", "few_words", "symbols", "capitals", "marks", "distinct",
@@ -89,27 +91,51 @@ def line_features(lines: list[str]) -> np.ndarray:
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
+def glued(documents: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains of three parts of documents whose labels alternate, with the label of each line.
+
+    A document is glued between two of the other label, its first lines after the last ones of
+    the one before; each document of the rarer label comes up in two chains.
+    """
+    by = [[x for x, label in documents if label == which and len(x)] for which in (0, 1)]
+    rarer = min(by, key=len)
+    chains = []
+    for i in range(len(rarer) if all(by) else 0):
+        for middle in (0, 1):
+            inner = by[middle][i % len(by[middle])]
+            before, after = (by[1 - middle][(2 * i + k) % len(by[1 - middle])] for k in (0, 1))
+            parts = before[-GLUED:], inner[:GLUED], after[:GLUED]
+            labels = [[label] * len(part) for label, part in zip((1 - middle, middle, 1 - middle), parts, strict=True)]
+            chains.append((np.concatenate(parts), np.concatenate(labels).astype(int)))
+    return chains
+
+
 def train(documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
     """Fits by gradient ascent on the likelihood of line labels; the same input fits the same.
 
-    A document's label stands for each of its lines. Without documents of both labels all lines
-    are content.
+    A document's label stands for each of its lines. Where labels change between lines is learned
+    from glued documents. Without documents of both labels all lines are content.
     """
     if len({label for _, label in documents}) < 2:
         return Crf()
-    chains = [(x[i : i + 64], y) for x, y in documents for i in range(0, len(x), 64)]
+    chains = [(x[i : i + CHAIN], np.full(len(x[i : i + CHAIN]), y)) for x, y in documents for i in range(0, len(x), CHAIN)]
+    chains += glued(documents)
     longest = max(len(x) for x, _ in chains)
     n = len(chains)
-    x = np.zeros((n, longest, len(FEATURES)))
-    y = np.array([label for _, label in chains])
+    x, y = np.zeros((n, longest, len(FEATURES))), np.zeros((n, longest), int)
     size = np.array([len(c) for c, _ in chains])
-    for i, (c, _) in enumerate(chains):
-        x[i, : len(c)] = c
+    for i, (c, labels) in enumerate(chains):
+        x[i, : len(c)], y[i, : len(c)] = c, labels
     there = np.arange(longest) < size[:, None]
-    # Both labels weigh the same, and each document as one.
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    share = weight / size
-    truth = np.eye(2)[y][:, None, :] * there[:, :, None]
+    # Chains of either label and of both weigh the same, and each chain of a kind as one.
+    kind = np.array([3 if len(set(labels)) > 1 else labels[0] for _, labels in chains])
+    kinds, place, counts = np.unique(kind, return_inverse=True, return_counts=True)
+    share = 1 / len(kinds) / counts[place] / size
+    truth = np.eye(2)[y] * there[:, :, None]
+    seen = np.zeros((2, 2))
+    for a, b in np.ndindex(2, 2):
+        moves = (y[:, :-1] == a) & (y[:, 1:] == b) & there[:, 1:]
+        seen[a, b] = (moves * share[:, None]).sum()
     model = Crf()
     parameters = [model.emit, model.step, model.start]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
@@ -127,13 +153,11 @@ def train(documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: floa
             behind[t] = np.where(there[:, t + 1, None], move, 0.0)
         chance = np.exp(ahead + behind - total[None, :, None]).transpose(1, 0, 2) * there[:, :, None]
         miss = (truth - chance) * share[:, None, None]
-        steps = np.zeros((2, 2))
+        steps = seen.copy()
         for t in range(1, longest):
             both = ahead[t - 1][:, :, None] + model.step + (score[:, t] + behind[t])[:, None, :]
             live = share * there[:, t]
             steps -= (np.exp(both - total[:, None, None]) * live[:, None, None]).sum(0)
-            steps[0, 0] += live[y == 0].sum()
-            steps[1, 1] += live[y == 1].sum()
         slopes = [
             np.einsum("ntl,ntf->lf", miss, x) - decay * model.emit,
             steps - decay * model.step,
@@ -264,6 +288,7 @@ def judged(frame: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
 def keep(frame: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """The rows whose text is kept, with their own columns."""
-    names = {c: f"__{i}" for i, c in enumerate(frame.columns)}
-    marked = judged(frame.withColumnsRenamed(names), model, names[text])
-    return marked.filter("kept").select(*names.values()).withColumnsRenamed({v: k for k, v in names.items()})
+    # By place, as a column may have any name.
+    names = [f"__{i}" for i in range(len(frame.columns))]
+    marked = judged(frame.toDF(*names), model, names[frame.columns.index(text)])
+    return marked.filter("kept").select(*names).toDF(*frame.columns)
