@@ -18,6 +18,8 @@ from textguard.session import written
 BITS = 64
 #: Bits of a segment. Its popcount is 0, 1 or 2, one digit of a cell's number.
 SEGMENT = 2
+#: Parts that the rows of one fingerprint are dealt to.
+PARTS = 1024
 #: Shingles whose bits are counted at once in a worker.
 CHUNK = 1 << 16
 
@@ -123,11 +125,13 @@ def clustered(frame: DataFrame, order: Column, distance: int = 3, out: str = "co
 
     The frame has ``fingerprint`` (a long, not null) and must be a table; repeated fingerprints
     are one class, so copies are never paired, and groups reach as far as links do. Keep it
-    narrow: it is shuffled by fingerprint. Nulls of ``order`` count only where a group has
-    nothing else. A column named as ``out`` is replaced.
+    narrow: it is shuffled by fingerprint and a part of its rows, so that no task gets all copies.
+    Nulls of ``order`` count only where a group has nothing else. A column named as ``out`` is
+    replaced, names that begin with ``__sim_`` are kept for this.
     """
-    frame = frame.drop(out)
-    classes = written(frame.groupBy("fingerprint").agg(F.min(order).alias("__first")), "classes")
+    frame = frame.drop(out).withColumn("__sim_part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
+    parts = written(frame.groupBy("fingerprint", "__sim_part").agg(F.min(order).alias("__first")), "parts")
+    classes = written(parts.groupBy("fingerprint").agg(F.min("__first").alias("__first")), "classes")
     joined = components(near_pairs(classes.select("fingerprint"), distance))
     linked = joined.withColumnsRenamed({"id": "fingerprint", "component": "__root"})
     grouped = classes.join(linked, "fingerprint", "inner")
@@ -135,7 +139,9 @@ def clustered(frame: DataFrame, order: Column, distance: int = 3, out: str = "co
     moved = grouped.join(firsts, "__root").select("fingerprint", "__least")
     every = classes.join(moved, "fingerprint", "left")
     least = every.select("fingerprint", F.coalesce("__least", "__first").alias(out))
-    return frame.join(least, "fingerprint")
+    # A class is told to the parts it has, at most PARTS, and each part to its rows.
+    told = parts.select("fingerprint", "__sim_part").join(least, "fingerprint")
+    return frame.join(told, ["fingerprint", "__sim_part"]).drop("__sim_part")
 
 
 def as_hex(fingerprint: str) -> Column:
