@@ -62,6 +62,24 @@ def test_round_trip(spark):
         assert lines == [f"{r.offset}\t{r.length}\t{r.record_id}" for r in rows]
 
 
+def test_sieve_of_two_rows_of_bits(spark, monkeypatch):
+    """Bits set by chance change nothing, as the shared digests are joined behind the sieve."""
+    rows = [(i, None, f"{i // 2 if i % 3 else i}" * 1500) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    most = {}
+    for i, _, h in rows:
+        most[h] = max(i, most.get(h, -1))
+    want = {(i, most[h] if most[h] != i else None) for i, _, h in rows}
+    for bits in (64, 1 << 24):
+        monkeypatch.setattr(warc, "SIEVE", bits)
+        assert {(r.page_id, r.refers_to) for r in warc.planned(pages).collect()} == want
+
+
+def test_folders_are_qualified(spark):
+    for folder in ("/tmp/a b", "file:/tmp/a b", "file:///tmp/a b"):
+        assert warc.qualified(spark, folder) == "/tmp/a b"
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 0

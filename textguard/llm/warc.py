@@ -12,7 +12,7 @@ from itertools import chain
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.session import new_path, ship_package, written
@@ -22,6 +22,8 @@ LEAST_SHARED = 1000
 #: Payload bytes after which a writer starts another archive, bytes that are held at once, level
 #: of compression, and the span of an archive that one reading task takes.
 ARCHIVE, PIECE, LEVEL, SPAN = 128 << 20, 1 << 20, 4, 16 << 20
+#: Bits of the sieve of digests that are shared, 64 to a row; it is broadcast and has no more rows.
+SIEVE = 1 << 24
 
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,7 +43,9 @@ def planned(pages: DataFrame, key: str = "page_id", uri: str = "url", body: str
     others are revisits of it; smaller ones are all responses. Rows that repeat page_id and
     payload are records of their own, all of them responses where one is. A null body is an
     empty payload, a null page_id is smaller than any other and never referred to unless nothing
-    else is there, in which case all are responses. Only digests are counted and joined.
+    else is there, in which case all are responses. Digests alone are counted; shared ones set
+    bits in a sieve of fixed size, and only rows whose bit is set are joined, so a payload that
+    occurs once stays where it is read. The pages are read three times.
     """
     body_ = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(uri).alias("uri"), body_.alias("payload"))
@@ -53,7 +57,16 @@ def planned(pages: DataFrame, key: str = "page_id", uri: str = "url", body: str
         .filter("n > 1 AND first IS NOT NULL")
         .drop("n")
     )
-    joined = rows.join(shared, ["digest", "bytes"], "left")
+    # As a table its size is known, and a small one is sent to where the pages are.
+    shared = written(shared, "shared")
+    place = F.xxhash64("digest")
+    at, bit = F.pmod(place, F.lit(SIEVE // 64)), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(digest), 40), 64) as int))")
+    sieve = shared.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumns({"at": at, "bit": bit}).join(F.broadcast(sieve), "at", "left")
+    maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)) & (F.col("bytes") >= LEAST_SHARED)
+    marked = marked.withColumn("maybe", maybe).drop("at", "bit", "bits")
+    together = marked.filter("maybe").join(shared, ["digest", "bytes"], "left")
+    joined = together.unionByName(marked.filter("NOT maybe").withColumn("first", F.lit(None).cast("long")))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "uri", "payload", "digest",
@@ -308,12 +321,20 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
     return spread.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as all tasks reach it: one without a scheme is on Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # Arrow takes a path of a mounted folder as it is, with any characters.
+    return "/" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives, normalises these, and reads all records back by the index.
 
     Files go to the shared folder. The result has the columns of ``RECORDS`` without payloads.
     """
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
+    folder = qualified(spark, new_path(spark, "warc"))
     index = normalised(write_archives(planned(pages), f"{folder}/whole"), f"{folder}/records")
     return read_records(index, keep_payload=False).drop("payload")
