@@ -18,8 +18,8 @@ from textguard.session import written
 BITS = 64
 #: Bits of a segment. Its popcount is 0, 1 or 2, one digit of a cell's number.
 SEGMENT = 2
-#: Parts that the rows of one fingerprint are dealt to.
-PARTS = 1024
+#: Branches that the rows of one fingerprint are dealt to, and parts of a branch.
+BRANCHES = 32
 #: Shingles whose bits are counted at once in a worker.
 CHUNK = 1 << 16
 
@@ -129,7 +129,7 @@ def clustered(frame: DataFrame, order: Column, distance: int = 3, out: str = "co
     Nulls of ``order`` count only where a group has nothing else. A column named as ``out`` is
     replaced, names that begin with ``__sim_`` are kept for this.
     """
-    frame = frame.drop(out).withColumn("__sim_part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
+    frame = frame.drop(out).withColumn("__sim_part", F.pmod(F.xxhash64(order), F.lit(BRANCHES**2)))
     parts = written(frame.groupBy("fingerprint", "__sim_part").agg(F.min(order).alias("__first")), "parts")
     classes = written(parts.groupBy("fingerprint").agg(F.min("__first").alias("__first")), "classes")
     joined = components(near_pairs(classes.select("fingerprint"), distance))
@@ -139,9 +139,11 @@ def clustered(frame: DataFrame, order: Column, distance: int = 3, out: str = "co
     moved = grouped.join(firsts, "__root").select("fingerprint", "__least")
     every = classes.join(moved, "fingerprint", "left")
     least = every.select("fingerprint", F.coalesce("__least", "__first").alias(out))
-    # A class is told to the parts it has, at most PARTS, and each part to its rows.
-    told = parts.select("fingerprint", "__sim_part").join(least, "fingerprint")
-    return frame.join(told, ["fingerprint", "__sim_part"]).drop("__sim_part")
+    # A class tells its branches, each of them its parts, and those their rows.
+    branch = F.pmod("__sim_part", F.lit(BRANCHES)).alias("__sim_branch")
+    branches = parts.select("fingerprint", branch).distinct().join(least, "fingerprint")
+    told = parts.select("fingerprint", "__sim_part", branch).join(branches, ["fingerprint", "__sim_branch"])
+    return frame.join(told.drop("__sim_branch"), ["fingerprint", "__sim_part"]).drop("__sim_part")
 
 
 def as_hex(fingerprint: str) -> Column:
