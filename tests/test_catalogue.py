@@ -102,3 +102,36 @@ def test_two_thousand_rules(spark):
     few = {r.rule_id for r in rules[:300]}
     again = catalogue.findings(frame, "id", "t", rules[:300], lot=2000).collect()
     assert sorted(map(tuple, again)) == sorted(t for t in theirs if t[2] in few)
+
+
+def test_rules_of_short_words_are_named_by_neighbours_alone(spark):
+    words = [a + b for a in "adeiks" for b in "elnor"]
+    rules = [
+        Rule(f"r{i}_{j}", i, "injection", "own", rf"(?i){one}[ .,]+{two}")
+        for i, one in enumerate(words)
+        for j, two in enumerate(words)
+    ]
+    texts = [" ".join(words), ". ".join(words[:3]), "de-la", "ſe,  Kl", " İl. el ıl"]
+    frame = _frame(spark, texts)
+    part = [(r, catalogue._indexed(r)) for r in rules]
+    assert part[1][1] == ["ae al"] and all(needles for _, needles in part)
+    named = frame.select("id", F.size(catalogue._candidates(spark, F.col("t"), part)).alias("n"))
+    # "de-la" names one more than it matches; each text named all of them before.
+    found = sorted(map(tuple, named.collect()))
+    assert [n for _, n in found][0] == len(words) - 1 and all(n < 5 for _, n in found[1:])
+    mine = catalogue.findings(frame, "id", "t", rules).collect()
+    theirs = [
+        (i, r.kind, r.rule_id, n)
+        for r in rules
+        for i, t in enumerate(texts)
+        if (n := len(re.findall(r.pattern, t)))
+    ]
+    assert len(theirs) > 30 and sorted(map(tuple, mine)) == sorted(theirs)
+
+
+def test_more_entries_than_are_handed_back_at_once(spark):
+    rules = [Rule(f"r{i}", i, "injection", "own", f"a+b{{0,{i}}}") for i in range(600)]
+    frame = spark.createDataFrame([(i, "aab a") for i in range(100)], "id bigint, t string").coalesce(1)
+    assert len(rules) * 100 > 2 * catalogue.GIVEN
+    rows = catalogue.findings(frame, "id", "t", rules).groupBy("matches").count().collect()
+    assert sorted(map(tuple, rows)) == [(2, 60_000)]

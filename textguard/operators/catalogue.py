@@ -6,14 +6,16 @@ that can match; Spark's own functions then do the exact work for those alone. Th
 those of the plain forms, ``inbound.scrub`` and ``findings.findings``.
 
 The automaton is built once per task. A list is cut into lots of at most ``LOT`` letters, so that
-no automaton grows with the list; every lot costs one more pass. Workers need ``pyahocorasick``.
+no automaton grows with the list; every lot costs one more pass. What is named is handed back in
+batches of at most ``GIVEN`` entries or so, however many texts came together. Workers need
+``pyahocorasick``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import replace
 from operator import itemgetter
 from re import _parser as regex_parser
 
@@ -27,6 +29,8 @@ from textguard.sources.rules import DLP, Rule
 
 #: Letters of the words of one automaton.
 LOT = 4_000_000
+#: Entries handed back at once; a text that names more is a batch of its own.
+GIVEN = 20_000
 
 
 def _lots(entries: Iterable, letters: Callable, lot: int) -> list[list]:
@@ -57,11 +61,12 @@ def _finder(words: Iterable[str]) -> Callable[[str | None], set[int]]:
 
 def _held(
     spark: SparkSession, text: Column, words: Sequence[str], entries: Sequence[tuple], kind: str,
-    pick: Callable[[set[int]], Iterable[int]],
+    pick: Callable[[set[int]], Iterable[int]], view: Callable[[str], str] = str,
 ) -> Column:
     """The entries that ``pick`` names by the words a text holds, as an array of ``kind``.
 
-    Words and entries go to each executor once, in a broadcast of at most ``LOT`` letters or so.
+    ``view`` makes of a text what is searched. Words and entries go to each executor once, in a
+    broadcast of at most ``LOT`` letters or so.
     """
     shared = spark.sparkContext.broadcast((list(words), list(entries)))
 
@@ -70,8 +75,16 @@ def _held(
         words, entries = shared.value
         found = _finder(words)
         for texts in batches:
-            rows = [[entries[i] for i in sorted(pick(found(t)))] for t in texts]
-            yield pd.Series(rows, dtype=object)
+            rows, given = [], 0
+            for t in texts:
+                named = [entries[i] for i in sorted(pick(found(t and view(t))))]
+                if rows and given + len(named) > GIVEN:
+                    yield pd.Series(rows, dtype=object)
+                    rows, given = [], 0
+                rows.append(named)
+                given += len(named)
+            if rows:
+                yield pd.Series(rows, dtype=object)
 
     return held(text)
 
@@ -139,11 +152,11 @@ def sanitize_phrases(
 _RULE = "struct<kind:string,rule_id:string,java:string>"
 
 
-def required_words(pattern: str) -> tuple[str, ...]:
-    """Lower-case runs of ASCII letters that every match of the pattern holds; maybe none.
+def _runs(pattern: str, gaps: bool) -> tuple[str, ...]:
+    """Runs of lower-case ASCII letters that every match of the pattern holds; maybe none.
 
-    Only what stands outside alternatives, classes, options and assertions counts. Letters that a
-    case-insensitive match may take for a non-ASCII one are cut out by ``inbound`` later.
+    Only what stands outside alternatives, classes, options and assertions counts. With ``gaps``
+    one or more characters that are surely no part of a word stand for a blank in a run.
     """
     words, run = [], []
 
@@ -151,14 +164,32 @@ def required_words(pattern: str) -> tuple[str, ...]:
         words.append("".join(run))
         run.clear()
 
+    def is_gap(items: Iterable) -> bool:
+        """Is what the items match always one character that is no part of a word?"""
+        kinds = [(str(op), arg) for op, arg in items]
+        if len(kinds) == 1 and kinds[0][0] == "IN":
+            kinds = [(str(op), arg) for op, arg in kinds[0][1]]
+        elif len(kinds) != 1:
+            return False
+        return all(
+            (name == "LITERAL" and arg < 128 and not chr(arg).isalnum())
+            or (name == "CATEGORY" and str(arg) == "CATEGORY_SPACE")
+            for name, arg in kinds
+        )
+
     def walk(items: Iterable) -> None:
         for op, arg in items:
             name = str(op)
-            if name == "LITERAL" and arg < 128:
+            if gaps and is_gap([(op, arg)]):
+                run.append(" ")
+            elif name == "LITERAL" and arg < 128:
                 run.append(chr(arg).lower())
             elif name == "SUBPATTERN":
                 walk(arg[3])
             elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                if gaps and is_gap(arg[2]):
+                    run.append(" ")
+                    continue
                 close()
                 walk(arg[2])
                 close()
@@ -170,8 +201,31 @@ def required_words(pattern: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w for w in words if w))
 
 
+def required_words(pattern: str) -> tuple[str, ...]:
+    """Lower-case runs of ASCII letters that every match of the pattern holds; maybe none.
+
+    Only what stands outside alternatives, classes, options and assertions counts.
+    """
+    return _runs(pattern, False)
+
+
+def _seen(text: str) -> str:
+    """A text as rules are looked up in it: lower-case, a blank for all that parts two words.
+
+    The non-ASCII letters that a case-insensitive match takes for an ASCII one become that one.
+    """
+    low = text.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s")
+    return re.sub(r"[\W_]+", " ", low)
+
+
 def _indexed(rule: Rule) -> list[str]:
-    return inbound._needles(replace(rule, words=rule.words or required_words(rule.pattern)))
+    """What ``_seen`` shows of every text that the rule matches, the longer the better; maybe none.
+
+    Words that a pattern parts by blanks or signs are one piece, so a rule of common words, or of
+    words of a letter or two, is named by texts that hold them side by side alone.
+    """
+    runs = (*_runs(rule.pattern, True), *rule.words)
+    return list(dict.fromkeys(w for w in map(_seen, runs) if w.strip()))
 
 
 def findings(
@@ -179,9 +233,9 @@ def findings(
 ) -> DataFrame:
     """As ``findings.findings``, for catalogues of thousands of rules.
 
-    A rule is indexed by the longest word that all its matches hold; a text names its rules by the
-    words it holds, a rule stays if the text holds the others too, and only those are matched.
-    A rule whose matches need no word is matched on every text. The built-in leak detectors, which
+    A rule is indexed by the longest words in a row that all its matches hold; a text names its
+    rules by what it holds, a rule stays if the text holds the others too, and only those are
+    matched. A rule whose matches need no word is matched on every text. The built-in leak detectors, which
     have forms of their own, are columns as before. NULL and empty texts find nothing. Rows come
     in no order.
     """
@@ -193,9 +247,8 @@ def findings(
     counts = egress.match_counts(text, [r for r, b in zip(enabled, own) if b])
     indexed = [(r, _indexed(r)) for r, b in zip(enabled, own) if not b]
     columns = list(counts.values())
-    low = F.lower(text)
     for part in _lots(indexed, lambda e: sum(map(len, e[1])) + len(e[0].java), lot):
-        columns.append(_candidates(spark, low, part))
+        columns.append(_candidates(spark, F.col(text), part))
     narrow = frame.select(key, text)
     held, names = _beside(narrow, columns)
     kinds = {r.rule_id: r.kind for r in enabled}
@@ -214,7 +267,7 @@ def findings(
     return listed.withColumnRenamed("type", "rule_id")
 
 
-def _candidates(spark: SparkSession, low: Column, part: Sequence[tuple[Rule, list[str]]]) -> Column:
+def _candidates(spark: SparkSession, text: Column, part: Sequence[tuple[Rule, list[str]]]) -> Column:
     numbers: dict[str, int] = {}
     by_word: dict[int | None, list[tuple[int, frozenset[int]]]] = {}
     for i, (_, needles) in enumerate(part):
@@ -226,4 +279,4 @@ def _candidates(spark: SparkSession, low: Column, part: Sequence[tuple[Rule, lis
         return (i for w in (None, *found) for i, ids in by_word.get(w, ()) if ids <= found)
 
     entries = [(r.kind, r.rule_id, r.java) for r, _ in part]
-    return _held(spark, low, list(numbers), entries, _RULE, pick)
+    return _held(spark, text, list(numbers), entries, _RULE, pick, _seen)
