@@ -194,3 +194,18 @@ assert found[1] is None and "does not compile" in found[2], found
     root = str(Path(__file__).resolve().parents[1])
     done = subprocess.run([sys.executable, "-c", script, root], cwd="/", capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_calls_that_hang_hold_up_no_others():
+    from textguard.operators.bounded import Overlapped
+
+    lots = [[((i, j), "hang" if j == 3 else f"bad {i} {j}") for j in range(8)] for i in range(6)]
+    model, start = Overlapped(hanging, "m1", 0.5), time.perf_counter()
+    try:
+        found = [a for lot in lots for a in model.ask(lot)]
+        found += model.rest()
+    finally:
+        model.close()
+    took = time.perf_counter() - start
+    assert sorted(found) == [((i, j), None if j == 3 else "MALICIOUS") for i in range(6) for j in range(8)]
+    assert took < 20  # one after the other they take 27 s
