@@ -209,3 +209,20 @@ def test_calls_that_hang_hold_up_no_others():
     took = time.perf_counter() - start
     assert sorted(found) == [((i, j), None if j == 3 else "MALICIOUS") for i in range(6) for j in range(8)]
     assert took < 20  # one after the other they take 27 s
+
+
+def test_few_texts_of_a_batch_are_python_objects_at_once(spark):
+    def counting(name):
+        import sys
+
+        held = sys.getallocatedblocks()  # of the worker too, as the process is forked from it
+        return lambda prompts: prompts.map(lambda p: str(held))
+
+    def held(n):
+        prompts = spark.range(0, n, 1, 1).selectExpr("cast(id as string) text_hash", "concat('text ', id) prompt")
+        rows = second.score(prompts, counting, "m").collect()
+        assert sorted(int(r.text_hash) for r in rows) == list(range(n))
+        return max(int(r.verdict) for r in rows)
+
+    held(300)  # what is imported on the first call
+    assert held(9000) - held(300) < 5000
