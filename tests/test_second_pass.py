@@ -226,3 +226,26 @@ def test_few_texts_of_a_batch_are_python_objects_at_once(spark):
 
     held(300)  # what is imported on the first call
     assert held(9000) - held(300) < 5000
+
+
+@pytest.mark.parametrize("broadcast", [0, 2, fitted.VOCABULARY])
+def test_a_fitted_model_knows_every_word(spark, tmp_path, broadcast):
+    from pyspark.ml import PipelineModel
+
+    rows = [(f"the the common word{'abcdefghij'[i % 10] * (i + 1)}", i % 2) for i in range(40)]
+    fitted.fit(spark.createDataFrame(rows, "t string, bad int"), "t", "bad", broadcast).save(str(tmp_path / "model"))
+    model = PipelineModel.load(str(tmp_path / "model"))
+    texts = [r[0] for r in rows] + ["", "unheard", "the"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "id long, t string")
+    asked = second.asked(frame, "t")
+    verdicts = fitted.score(asked, model, "t")
+    done = {r.id: r.malicious for r in second.apply_verdicts(asked, verdicts, "t").collect()}
+    want = [bool(bad) for _, bad in rows] + [False] * 3
+    assert [done[i] for i in range(len(done))] == want * 2
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_a_model_fitted_on_one_label(spark, label):
+    model = fitted.fit(spark.createDataFrame([("a b", label), ("c", label)], "t string, bad int"), "t", "bad")
+    rows = model.transform(spark.createDataFrame([(1, "a"), (2, "x y"), (3, "")], "id long, text string"))
+    assert sorted(map(tuple, rows.select("id", "prediction").collect())) == [(i, float(label)) for i in (1, 2, 3)]
