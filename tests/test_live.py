@@ -151,3 +151,18 @@ def test_two_sinks_and_a_batch_run_again(spark, tmp_path, monkeypatch):
         commit.unlink()
     assert run() == got
     assert spark.read.parquet(bad).count() + spark.read.parquet(good).count() == 160
+
+
+def test_a_batch_without_late_rows_is_worked_out_once(spark, tmp_path):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def at(n):
+        worked.add(1)
+        return dt.datetime(2024, 1, 1, n % 5, 30)
+
+    rows = spark.range(100).select(F.lit("a").alias("kind"), at(F.col("id").cast("int")).alias("ts"))
+    sums = live.Sums(str(tmp_path), "ts", "1 hour", "30 minutes", ("kind string",), {"n": F.count("*")})
+    sums.write(rows, 0)
+    assert worked.value == 100
+    assert [r.n for r in sums.current(spark).collect()] == [20] * 5

@@ -86,23 +86,34 @@ class Sums:
         window = F.window(F.coalesce(time, F.lit("1970-01-01").cast("timestamp")), self.length)
         why = F.when(time.isNull(), "no time").when(window["end"] <= self._edge(seen), "late")
         placed = batch.select("*", window["start"].alias("window_start"), why.alias("why"))
-        placed.filter("why IS NOT NULL").drop("window_start").write.mode("overwrite").parquet(
-            f"{self.path}/late/batch_id={batch_id}"
-        )
-        added = placed.filter("why IS NULL").groupBy(*self._keys).agg(
-            *(m.cast("bigint").alias(name) for name, m in self.measures.items())
+        # What the batch holds is worked out once, late rows too; the rest reads these sums.
+        summed = placed.groupBy(*self._keys, "why").agg(
+            F.max(time).alias("_newest"),
+            *(m.cast("bigint").alias(name) for name, m in self.measures.items()),
+        ).persist()
+        try:
+            self._write(summed, placed, seen, batch_id)
+        finally:
+            summed.unpersist()
+        if batch_id % tidy_every == tidy_every - 1:
+            self.tidy(spark, batch_id + 1)
+
+    def _write(self, summed: DataFrame, placed: DataFrame, seen: object, batch_id: int) -> None:
+        some_late = not summed.filter("why IS NOT NULL").isEmpty()
+        placed.filter("why IS NOT NULL" if some_late else "false").drop("window_start").write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/late/batch_id={batch_id}")
+        added = summed.filter("why IS NULL").select(
+            *self._keys, *self.measures, F.to_date("window_start").alias("day"), F.lit(batch_id).alias("batch_id")
         )
-        added = added.select("*", F.to_date("window_start").alias("day"), F.lit(batch_id).alias("batch_id"))
         added.hint("rebalance", "day").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("day", "batch_id").parquet(f"{self.path}/open")
-        newest = batch.agg(F.greatest(F.max(time), F.lit(seen).cast("timestamp")).alias("newest"))
+        newest = summed.agg(F.greatest(F.max("_newest"), F.lit(seen).cast("timestamp")).alias("newest"))
         # Two places in turn: a batch that fails here leaves the mark of the one before.
         newest.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "newest").write.mode(
             "overwrite"
         ).parquet(f"{self.path}/marks/slot={batch_id % 2}")
-        if batch_id % tidy_every == tidy_every - 1:
-            self.tidy(spark, batch_id + 1)
 
     def tidy(self, spark: SparkSession, before: int) -> None:
         """Close the days that can get no more rows, and remove the parts of those closed earlier.
