@@ -11,6 +11,7 @@ from textguard.functions import fixed, model
 from textguard.operators import fitted, verdict_store
 from textguard.operators import second_pass as second
 from textguard.plans import flows
+from textguard.session import conf_for
 
 TEXTS = ["good", "bad one", "bad one", "down", fixed.MARKER + " bad", "", "bad: " + fixed.MARKER_PREFIX]
 
@@ -182,6 +183,7 @@ import sys
 sys.path.insert(0, sys.argv[1])
 from textguard.session import session
 from textguard.plans import flows
+from textguard.session import conf_for
 from textguard.operators import gating
 spark = session("plain", "local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
 def make(name):
@@ -249,3 +251,38 @@ def test_a_model_fitted_on_one_label(spark, label):
     model = fitted.fit(spark.createDataFrame([("a b", label), ("c", label)], "t string, bad int"), "t", "bad")
     rows = model.transform(spark.createDataFrame([(1, "a"), (2, "x y"), (3, "")], "id long, text string"))
     assert sorted(map(tuple, rows.select("id", "prediction").collect())) == [(i, float(label)) for i in (1, 2, 3)]
+
+
+def test_few_bytes_of_a_batch_are_held_at_once(spark):
+    def holding(name):
+        import resource
+        from pathlib import Path
+
+        pages = int(Path("/proc/self/statm").read_text().split()[1])
+        held = pages * resource.getpagesize()  # with what the worker had when the process was forked from it
+        return lambda prompts: prompts.map(lambda p: str(held))
+
+    def held(n):
+        prompts = spark.range(0, n, 1, 1).selectExpr("cast(id as string) text_hash", "rpad(id, 6000, 'x') prompt")
+        rows = second.score(prompts, holding, "m").collect()
+        assert sorted(int(r.text_hash) for r in rows) == list(range(n))
+        return max(int(r.verdict) for r in rows)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    held(300)  # what is imported on the first call
+    assert held(9000) - held(300) < 16 << 20  # the texts have 54 MB
+    assert spark.conf.get(key) == before
+
+
+def test_settings_of_a_job_are_put_back(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "123456")
+        with pytest.raises(ZeroDivisionError), conf_for(spark, spark__sql__execution__arrow__maxBytesPerBatch=7):
+            assert spark.conf.get(key) == "7"
+            1 / 0
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,26 @@ def session(app: str = "textguard", master: str | None = None, **conf: object) -
     return builder.getOrCreate()
 
 
+@contextmanager
+def conf_for(spark: SparkSession, **conf: object) -> Iterator[None]:
+    """Settings, named as in ``session``, for the jobs that run meanwhile in this session.
+
+    The values before are put back, whatever happens; queries not run yet do not see them.
+    """
+    settings = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers where it is not installed.
 
