@@ -275,6 +275,26 @@ def test_few_bytes_of_a_batch_are_held_at_once(spark):
     assert spark.conf.get(key) == before
 
 
+def test_processes_of_several_models_hold_few_bytes(spark):
+    def holding(name):
+        import resource
+        from pathlib import Path
+
+        held = int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize()
+        return lambda prompts: prompts.map(lambda p: f"{name} {held}")
+
+    def held(n):
+        rows = spark.range(0, n, 1, 1).selectExpr("cast(id as string) text_hash", "rpad(id, 6000, 'x') prompt", "id")
+        prompts = rows.selectExpr("concat('m', id div 100 % 3) model_name", "text_hash", "prompt")
+        found = second.score_by_model(prompts, holding).collect()
+        assert sorted(int(r.text_hash) for r in found) == list(range(n))
+        assert all(r.model_name == f"m{int(r.text_hash) // 100 % 3}" == r.verdict.split()[0] for r in found)
+        return max(int(r.verdict.split()[1]) for r in found)
+
+    held(300)  # what is imported on the first call
+    assert held(9000) - held(300) < 16 << 20  # the texts have 54 MB
+
+
 def test_settings_of_a_job_are_put_back(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
