@@ -68,6 +68,21 @@ def asked(
     return written(hashed(frame, sanitized, enabled, model_name), "asked")
 
 
+def parted(frame: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is surely none of ``keys``, and those whose key may be one.
+
+    Each of the keys sets a bit in a sieve of fixed size, which is broadcast. A row whose bit is not
+    set has none of them, nor has one whose key is NULL; a bit may also be set by chance. The frame
+    is read for each of the two, so pass a table.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE // 64))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 40), 64) as int))")
+    sieve = keys.select(at.alias("__at"), bit.alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
+    marked = frame.withColumns({"__at": at, "__bit": bit}).join(F.broadcast(sieve), "__at", "left")
+    maybe = F.col(key).isNotNull() & F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return tuple(marked.filter(m).drop("__at", "__bit", "__bits") for m in (~maybe, maybe))
+
+
 def candidates(
     frame: DataFrame,
     sanitized: str,
@@ -85,17 +100,12 @@ def candidates(
     the table arrives as one row per input partition. A bit that is set by chance costs one move.
     """
     rows = hashed(frame, sanitized, enabled, model_name).filter("text_hash IS NOT NULL")
-    place = F.xxhash64("text_hash")
-    at = F.pmod(place, F.lit(SIEVE // 64))
-    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(text_hash), 40), 64) as int))")
     repeats = rows.groupBy("text_hash").count().filter("count > 1")
-    sieve = repeats.select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumns({"_at": at, "_bit": bit}).join(F.broadcast(sieve), "_at", "left")
-    repeated = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    alone, repeated = parted(rows, "text_hash", repeats)
     named = [model_name] if model_name else []
     keys = [*named, "text_hash", sanitized]
-    alone = marked.filter(~repeated).select(*keys, F.lit(1).cast("long").alias("copies"))
-    together = marked.filter(repeated).groupBy(*keys).agg(F.count("*").alias("copies"))
+    alone = alone.select(*keys, F.lit(1).cast("long").alias("copies"))
+    together = repeated.groupBy(*keys).agg(F.count("*").alias("copies"))
     return alone.unionByName(together).select(
         *named, "text_hash", model.prompt(sanitized).alias("prompt"), "copies"
     )
@@ -199,10 +209,14 @@ def apply_verdicts(
 ) -> DataFrame:
     """Replace condemned texts; a text without a verdict is left alone.
 
-    ``malicious`` says whether the text was replaced. Few condemned hashes are sent to the rows by
-    Spark itself; of many, Spark splits the hot ones.
+    ``malicious`` says whether the text was replaced. Only rows that may hold a condemned text meet
+    the condemned hashes; the others, and those no model was asked about, stay where they lie.
+    The frame is read twice: pass a table, best the result of ``asked``.
     """
-    joined = hashed(frame, sanitized).join(condemned(verdicts), "text_hash", "left")
+    bad = written(condemned(verdicts), "condemned")
+    clear, maybe = parted(hashed(frame, sanitized), "text_hash", bad)
+    clear = clear.withColumn("malicious", F.lit(False))
+    joined = clear.unionByName(maybe.join(bad, "text_hash", "left"))
     replaced = F.coalesce("malicious", F.lit(False)) & inbound.open_for_model(sanitized)
     if enabled is not None:
         replaced = replaced & enabled
