@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 from scorers import bad_words, broken, by_name, everything, fleeting, hanging, unmade
+from shuffles import shuffled
 
 from textguard.functions import fixed, model
 from textguard.operators import fitted, verdict_store
@@ -308,24 +309,6 @@ def test_settings_of_a_job_are_put_back(spark):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def shuffled(frame):
-    """Rows that the frame's shuffles and sorts move, once it has run."""
-    frame.collect()
-    todo, rows = [frame._jdf.queryExecution().executedPlan()], 0
-    while todo:
-        node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "ShuffleExchangeExec":
-            rows += node.metrics().apply("shuffleRecordsWritten").value()
-        if kind == "AdaptiveSparkPlanExec":
-            todo.append(node.executedPlan())
-        elif kind.endswith("QueryStageExec"):
-            todo.append(node.plan())
-        else:
-            todo.extend(node.children().apply(i) for i in range(node.children().size()))
-    return rows
-
-
 @pytest.mark.parametrize("bits", [64, second.SIEVE])
 def test_only_rows_of_condemned_texts_are_shuffled(spark, monkeypatch, bits):
     monkeypatch.setattr(second, "SIEVE", bits)
